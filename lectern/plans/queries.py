@@ -27,17 +27,7 @@ HEAD_PREFIX = "1. Head line\nStrengths: "
 HEAD_SUFFIX = "\n\tGeneral Comment:  Done."
 MASK_SUFFIX = " XXX [SEP] x[unk]xxxx"
 
-REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        REGISTRY[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
+from .registry import ORACLE, REGISTRY, register  # noqa: E402
 
 
 def _docs_with_headings(spark, sf_dir):
@@ -184,6 +174,9 @@ def label_combinations(spark, sf_dir):
     return LO.label_combinations(df, ML_CATS)
 
 
+from . import splits as _splits  # noqa: E402,F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
 
