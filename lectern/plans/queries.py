@@ -175,6 +175,7 @@ def label_combinations(spark, sf_dir):
 
 
 from . import splits as _splits  # noqa: E402,F401  (registers its queries)
+from . import models as _models  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
