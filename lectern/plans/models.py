@@ -171,7 +171,7 @@ def sql_nb(train: str, score: str, keys, out: str, strict: bool = False, vocab:
                  CAST(1.0 / (1.0 + exp(-margin)) {cmp} 0.5 AS INTEGER) AS pred FROM {out}_m)"""
 
 
-def sql_metrics(src: str, keys) -> str:
+def sql_metrics(src: str, keys, name: str = "") -> str:
     """The fourteen metrics per group, rounded, from a CTE with label/pred columns."""
     k = ", ".join(keys)
     sel = (k + ", ") if keys else ""
@@ -201,42 +201,44 @@ def sql_metrics(src: str, keys) -> str:
     }
     cols = ",\n       ".join(f"round({vals[m]}, {DIGITS}) AS {m}" for m in M.METRICS)
     return f"""
-conf AS (SELECT {sel}
+{name}conf AS (SELECT {sel}
        CAST(sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp,
        CAST(sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fp,
        CAST(sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn,
        CAST(sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn
 FROM {src}{grp})
 SELECT {sel}{cols}
-FROM conf"""
+FROM {name}conf"""
 
 
 def sql_metrics_unrounded(src: str, keys) -> str:
     return sql_metrics(src, keys).replace(f"round(", "(").replace(f", {DIGITS}) AS", ") AS")
 
 
-SQL_BIN = Q.SQL_HOLDOUT + SQL_TEXTS + """,
+BIN_PART = """,
 btr AS (SELECT row_id, category, label FROM h WHERE split = 'train'),
 bte AS (SELECT row_id, category, label FROM h WHERE split = 'test')""" + sql_nb("btr", "bte", ["category"], "bs")
+SQL_BIN = Q.SQL_HOLDOUT + SQL_TEXTS + BIN_PART
 
-SQL_ML_LONG = Q.SQL_PLAIN + """,
+ML_LONG_PART = """,
 mlw AS (SELECT p.row_id, p.split, CAST(l.quality + l.toxic = 0 AS INTEGER) AS "none", l.quality, l.toxic
         FROM p JOIN labels l ON p.row_id = l.doc_id),
 mll AS (SELECT row_id, split, 'none' AS category, "none" AS label FROM mlw
         UNION ALL SELECT row_id, split, 'quality', quality FROM mlw
         UNION ALL SELECT row_id, split, 'toxic', toxic FROM mlw)"""
-
-SQL_ML = SQL_ML_LONG + SQL_TEXTS + """,
+ML_PART = ML_LONG_PART + """,
 mtr AS (SELECT row_id, category, label FROM mll WHERE split = 'train'),
 mte AS (SELECT row_id, category, label FROM mll WHERE split = 'test')""" + sql_nb("mtr", "mte", ["category"], "ms", strict=True)
+SQL_ML = Q.SQL_PLAIN + SQL_TEXTS + ML_PART
 
-SQL_MT = Q.SQL_HOLDOUT + SQL_TEXTS + f""",
+MT_PART = f""",
 tmx AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(Q.SEED, "'mix'", 'category', 'row_id')}) AS mix_rank,
                count(*) OVER (PARTITION BY category) AS _n FROM h WHERE split = 'train'),
 tmm AS (SELECT DISTINCT row_id FROM (SELECT *, min(_n) OVER () AS _min FROM tmx) WHERE mix_rank <= _min),
 voc AS (SELECT DISTINCT t.token FROM tt t JOIN tmm ON t.row_id = tmm.row_id),
 ttr AS (SELECT row_id, category, label FROM h WHERE split = 'train'),
 tte AS (SELECT row_id, category, label FROM h WHERE split = 'test')""" + sql_nb("ttr", "tte", ["category"], "ts", vocab="voc")
+SQL_MT = Q.SQL_HOLDOUT + SQL_TEXTS + MT_PART
 
 SQL_CV = Q.SQL_KFOLD + SQL_TEXTS + f""",
 fv AS (SELECT kf.row_id, kf.category, kf.label, v.view AS fold

@@ -92,11 +92,12 @@ def sql_kfold(src: str, out: str) -> str:
 SQL_HOLDOUT = "WITH " + SQL_LONG + sql_holdout("l", "h")
 SQL_KFOLD = SQL_HOLDOUT + sql_kfold("h", "kf")
 
-SQL_PLAIN = f"""WITH w AS (SELECT doc_id AS row_id, doc_id FROM labels),
+PLAIN_PART = f"""w AS (SELECT doc_id AS row_id, doc_id FROM labels),
 r AS (SELECT *, row_number() OVER (ORDER BY {S.md5_key(SEED, "'holdout'", 'row_id')}) AS _r,
              count(*) OVER () AS _n FROM w),
 p AS (SELECT row_id, doc_id, CASE WHEN _r <= (_n * {SHARE.numerator} + {SHARE.denominator - 1}) // {SHARE.denominator}
                             THEN 'test' ELSE 'train' END AS split FROM r)"""
+SQL_PLAIN = "WITH " + PLAIN_PART
 
 
 @register("holdout_stratified", SQL_HOLDOUT + """
