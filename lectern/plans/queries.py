@@ -178,6 +178,7 @@ from . import splits as _splits  # noqa: E402,F401  (registers its queries)
 from . import models as _models  # noqa: E402,F401
 from . import features as _features  # noqa: E402,F401
 from . import fewshot as _fewshot  # noqa: E402,F401
+from . import sinks as _sinks  # noqa: E402,F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
