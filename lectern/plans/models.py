@@ -445,3 +445,34 @@ SELECT doc_id, n_chars FROM ({_sql_lang_cte()}) JOIN documents USING (doc_id) WH
 def language_gate(spark, sf_dir):
     en, _ = LG.language_gate(ST.documents(spark, sf_dir).select("doc_id", "text", "n_chars"))
     return en.select("doc_id", "n_chars")
+
+
+# --------------------------------------------------------------------------- Spark ML plug-in
+def lr_scores(spark, sf_dir, roundtrip: bool = False):
+    from ..operators import ml as ML
+    from ..session import scratch_path
+    h = Q.holdout(spark, sf_dir)
+    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
+    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
+    tx = texts(spark, sf_dir)
+    fmodel = ML.fit_features(tx, train)
+    feats = ML.featurize(fmodel, tx)
+    heads = ML.fit_heads(feats, train, CATS)
+    if roundtrip:
+        path = scratch_path(spark, "lr-model")
+        ML.save_heads(fmodel, heads, path)
+        fmodel, heads = ML.load_heads(path, CATS)
+        feats = ML.featurize(fmodel, tx)
+    return ML.score_heads(heads, feats, test)
+
+
+@register("fit_binary_lr")
+def fit_binary_lr(spark, sf_dir):
+    """Logistic regression heads over shared TF-IDF features (rows-only check)."""
+    return rounded(lr_scores(spark, sf_dir), ["prob"])
+
+
+@register("model_roundtrip_lr")
+def model_roundtrip_lr(spark, sf_dir):
+    """Same heads saved to the shared folder, loaded back and applied (rows-only check)."""
+    return rounded(lr_scores(spark, sf_dir, roundtrip=True), ["prob"])
