@@ -66,6 +66,62 @@ def complement_folds(counts: DataFrame, k: int, count_col: str, fold: str = "fol
             .agg(F.sum(count_col).alias(count_col)).select(*counts.columns))
 
 
+def nested_counts(counts: DataFrame, count_col: str, chunk: int, level: str = "chunk_idx",
+                  top: str = "n_chunks", out: str = "train_size") -> DataFrame:
+    """Counts per chunk -> counts of every nested subset (chunks ``1..j``, size ``j*chunk``).
+
+    Prefix sums taken on aggregated counts, so token occurrences are counted once.
+    """
+    others = [c for c in counts.columns if c not in (level, top, count_col)]
+    e = counts.withColumn("_j", F.explode(F.sequence(level, top)))
+    return (e.groupBy(*others, (F.col("_j") * chunk).cast("int").alias(out))
+            .agg(F.sum(count_col).alias(count_col)))
+
+
+def fit_nested(chunk_counts: DataFrame, chunk_docs: DataFrame, needed: DataFrame, chunk: int,
+               part: str = "category", label: str = "label", alpha: float = ALPHA):
+    """Models for nested subsets (chunks ``1..j``) from counts per chunk.
+
+    Only the weights of tokens in ``needed (part, token)`` (e.g. the tokens of the rows to
+    score) are expanded to every subset model; each model's token totals and vocabulary
+    size come from prefix sums over per-chunk aggregates, so nothing vocabulary-sized is
+    multiplied by the number of models.
+    """
+    lab = F.col(label)
+    lvl = ["chunk_idx", "n_chunks"]
+    n1 = F.sum(F.when(lab == 1, F.col("n")).otherwise(0))
+    n0 = F.sum(F.when(lab == 0, F.col("n")).otherwise(0))
+    tot = chunk_counts.groupBy(part, *lvl).agg(n1.alias("tot1"), n0.alias("tot0"))
+    first = (chunk_counts.groupBy(part, "n_chunks", "token").agg(F.min("chunk_idx").alias("chunk_idx"))
+             .groupBy(part, *lvl).agg(F.count(F.lit(1)).alias("vocab_size")))
+    docs = chunk_docs.groupBy(part, *lvl).agg(
+        F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
+        F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
+    per_chunk = (tot.join(first, [part, *lvl], "full").join(docs, [part, *lvl], "full")
+                 .na.fill(0, ["tot1", "tot0", "vocab_size", "docs1", "docs0"]))
+    e = per_chunk.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
+    head = (e.groupBy(part, (F.col("_j") * chunk).cast("int").alias("train_size"))
+            .agg(*[F.sum(c).alias(c) for c in ("tot1", "tot0", "vocab_size", "docs1", "docs0")]))
+    head = sized_broadcast(head)
+    keys = [part, "train_size"]
+    kept = chunk_counts.join(needed, [part, "token"], "left_semi")
+    per_tok = (nested_counts(kept, "n", chunk)
+               .groupBy(*keys, "token").agg(
+                   F.sum(F.when(lab == 1, F.col("n")).otherwise(0)).alias("n1"),
+                   F.sum(F.when(lab == 0, F.col("n")).otherwise(0)).alias("n0")))
+    return _weights_bias(per_tok, head, keys, alpha)
+
+
+def _weights_bias(per_tok: DataFrame, head: DataFrame, keys, alpha: float):
+    a = F.lit(alpha)
+    c = F.col
+    weight = (F.log((c("n1") + a) / (c("tot1") + a * c("vocab_size")))
+              - F.log((c("n0") + a) / (c("tot0") + a * c("vocab_size"))))
+    weights = per_tok.join(head, keys).select(*keys, "token", weight.alias("weight"))
+    bias = head.select(*keys, F.log((c("docs1") + a) / (c("docs0") + a)).alias("bias"))
+    return weights, bias
+
+
 def fit(counts: DataFrame, docs: DataFrame, keys, label: str = "label", alpha: float = ALPHA,
         n_models: int | None = None):
     """``(weights, bias)`` from token and document counts."""
@@ -80,13 +136,7 @@ def fit(counts: DataFrame, docs: DataFrame, keys, label: str = "label", alpha: f
         F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
         F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
     head = sized_broadcast(totals.join(priors, keys), known_bound=n_models)
-    a = F.lit(alpha)
-    c = F.col
-    weight = (F.log((c("n1") + a) / (c("tot1") + a * c("vocab_size")))
-              - F.log((c("n0") + a) / (c("tot0") + a * c("vocab_size"))))
-    weights = per_tok.join(head, keys).select(*keys, "token", weight.alias("weight"))
-    bias = head.select(*keys, F.log((c("docs1") + a) / (c("docs0") + a)).alias("bias"))
-    return weights, bias
+    return _weights_bias(per_tok, head, keys, alpha)
 
 
 def score(assign: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFrame, keys,
@@ -109,3 +159,26 @@ def score(assign: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFra
     cmp = (prob > threshold) if strict else (prob >= threshold)
     return (out.withColumn("prob", prob).withColumn("pred", cmp.cast("int"))
             .select("row_id", *keys, *carry, "margin", "prob", "pred"))
+
+
+def score_all_models(rows: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFrame,
+                     part: str = "category", model: str = "train_size", label: str = "label",
+                     text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Scores every row of a ``part`` under every model of that part (e.g. a fixed test set
+    under all learning-curve models).
+
+    Term frequencies per row are joined to the weights on ``(part, token)``, so only
+    (row, model) pairs that share a token are produced; the bias grid (rows x models)
+    supplies rows without any known token.
+    """
+    tok = _token_assign_rows(texts, rows, [part, label], text_col, outer=False)
+    tf = tok.groupBy("row_id", part, label, "token").agg(F.count(F.lit(1)).alias("_tf"))
+    hits = (tf.join(weights, [part, "token"])
+            .groupBy("row_id", part, label, model).agg(F.sum(F.col("_tf") * F.col("weight")).alias("_s")))
+    grid = rows.select("row_id", part, label).join(sized_broadcast(bias), part)
+    margin = F.col("bias") + F.coalesce(F.col("_s"), F.lit(0.0))
+    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), margin))
+    out = grid.join(hits, ["row_id", part, label, model], "left").withColumn("margin", margin)
+    prob = 1.0 / (1.0 + F.exp(-F.col("margin")))
+    return (out.withColumn("prob", prob).withColumn("pred", (prob >= threshold).cast("int"))
+            .select("row_id", part, model, label, "margin", "prob", "pred"))

@@ -105,6 +105,20 @@ def fold_views(folded: DataFrame, k: int = 5, fold: str = "fold") -> DataFrame:
             .withColumn("role", F.when(F.col(fold) == F.col("view"), F.lit("val")).otherwise(F.lit("train"))))
 
 
+def subset_chunks(train_long: DataFrame, chunk: int, seed: int = 1, part: str = "category",
+                  row_id: str = "row_id", n_parts: int | None = None) -> DataFrame:
+    """Each training row's chunk ``chunk_idx`` (1-based, by shuffled rank) and the number of
+    whole chunks ``n_chunks`` of its category; remainder rows (``chunk_idx > n_chunks``)
+    are dropped. Subset ``j`` is the union of chunks ``1..j``."""
+    keyed = train_long.withColumn("_key", shuffle_key(seed, "subset", F.col(part), F.col(row_id)))
+    ranked = exact_rank(keyed, [part], "_key", out="_rank", total="_n",
+                        part_bound=n_parts)
+    return (ranked.withColumn("chunk_idx", F.expr(f"(_rank + {chunk - 1}) div {chunk}").cast("int"))
+            .withColumn("n_chunks", F.expr(f"_n div {chunk}").cast("int"))
+            .where(F.col("chunk_idx") <= F.col("n_chunks"))
+            .drop("_key", "_rank", "_n"))
+
+
 def growing_subsets(train_long: DataFrame, chunk: int, seed: int = 1, part: str = "category",
                     row_id: str = "row_id", n_parts: int | None = None) -> DataFrame:
     """Nested training subsets of ``chunk``, ``2*chunk``, … rows per category.
@@ -112,15 +126,10 @@ def growing_subsets(train_long: DataFrame, chunk: int, seed: int = 1, part: str
     A row of shuffled rank ``r`` belongs to every subset of size ``>= r``; the count of
     subsets is ``floor(n / chunk)`` and the remainder rows are in none.
     """
-    keyed = train_long.withColumn("_key", shuffle_key(seed, "subset", F.col(part), F.col(row_id)))
-    ranked = exact_rank(keyed, [part], "_key", out="_rank", total="_n",
-                        part_bound=n_parts)
-    first = F.expr(f"(_rank + {chunk - 1}) div {chunk}")
-    last = F.expr(f"_n div {chunk}")
-    return (ranked.where(first <= last)
-            .withColumn("_j", F.explode(F.sequence(first, last)))
+    chunks = subset_chunks(train_long, chunk, seed, part, row_id, n_parts)
+    return (chunks.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
             .withColumn("train_size", (F.col("_j") * chunk).cast("int"))
-            .drop("_key", "_rank", "_n", "_j"))
+            .drop("_j", "chunk_idx", "n_chunks"))
 
 
 def task_mix(train_long: DataFrame, categories, seed: int = 1, part: str = "category",

@@ -89,15 +89,21 @@ def cv_scores(spark, sf_dir):
 
 
 def curve_scores(spark, sf_dir):
+    """Every subset model of every category: tokens counted once per chunk, subset counts
+    as prefix sums over chunks; the fixed test rows are scored by every subset model."""
     h = Q.holdout(spark, sf_dir)
     train = h.where(F.col("split") == SP.TRAIN)
-    subsets = SP.growing_subsets(train, Q.CHUNK, Q.SEED, n_parts=len(CATS))
-    sizes = sized_broadcast(subsets.select("category", "train_size").distinct())
-    test = (h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
-            .join(sizes, "category"))
-    keys = ["category", "train_size"]
-    return fit_score(spark, sf_dir, subsets.select("row_id", "category", "label", "train_size"),
-                     test, keys)
+    chunks = SP.subset_chunks(train, Q.CHUNK, Q.SEED, n_parts=len(CATS)).select(
+        "row_id", "category", "label", "chunk_idx", "n_chunks")
+    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
+    tx = texts(spark, sf_dir)
+    ckeys = ["category", "chunk_idx", "n_chunks"]
+    test_rows = h.where(F.col("split") == SP.TEST).select("row_id", "category")
+    needed = (tx.join(test_rows, "row_id")
+              .select("category", F.explode(NB.model_tokens()).alias("token")).distinct())
+    weights, bias = NB.fit_nested(NB.token_counts(chunks, tx, ckeys), NB.doc_counts(chunks, ckeys),
+                                  needed, Q.CHUNK)
+    return NB.score_all_models(test, tx, weights, bias)
 
 
 def rounded(df, cols):
