@@ -102,7 +102,6 @@ def fit_nested(chunk_counts: DataFrame, chunk_docs: DataFrame, needed: DataFrame
     e = per_chunk.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
     head = (e.groupBy(part, (F.col("_j") * chunk).cast("int").alias("train_size"))
             .agg(*[F.sum(c).alias(c) for c in ("tot1", "tot0", "vocab_size", "docs1", "docs0")]))
-    head = sized_broadcast(head)
     keys = [part, "train_size"]
     kept = chunk_counts.join(needed, [part, "token"], "left_semi")
     per_tok = (nested_counts(kept, "n", chunk)
@@ -112,12 +111,13 @@ def fit_nested(chunk_counts: DataFrame, chunk_docs: DataFrame, needed: DataFrame
     return _weights_bias(per_tok, head, keys, alpha)
 
 
-def _weights_bias(per_tok: DataFrame, head: DataFrame, keys, alpha: float):
+def _weights_bias(per_tok: DataFrame, head: DataFrame, keys, alpha: float, n_models: int | None = None):
     a = F.lit(alpha)
     c = F.col
     weight = (F.log((c("n1") + a) / (c("tot1") + a * c("vocab_size")))
               - F.log((c("n0") + a) / (c("tot0") + a * c("vocab_size"))))
-    weights = per_tok.join(head, keys).select(*keys, "token", weight.alias("weight"))
+    weights = (per_tok.join(sized_broadcast(head, known_bound=n_models), keys)
+               .select(*keys, "token", weight.alias("weight")))
     bias = head.select(*keys, F.log((c("docs1") + a) / (c("docs0") + a)).alias("bias"))
     return weights, bias
 
@@ -135,8 +135,7 @@ def fit(counts: DataFrame, docs: DataFrame, keys, label: str = "label", alpha: f
     priors = docs.groupBy(*keys).agg(
         F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
         F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
-    head = sized_broadcast(totals.join(priors, keys), known_bound=n_models)
-    return _weights_bias(per_tok, head, keys, alpha)
+    return _weights_bias(per_tok, totals.join(priors, keys), keys, alpha, n_models)
 
 
 def score(assign: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFrame, keys,

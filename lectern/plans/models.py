@@ -127,21 +127,9 @@ def english_sentences(spark, sf_dir):
 
 def sentence_scores(spark, sf_dir):
     """Every sentence of every English review scored by every category model."""
+    from ..operators import prevalence as PV
     weights, bias = final_models(spark, sf_dir)
-    sents = english_sentences(spark, sf_dir)
-    wide = weights.groupBy("token").pivot("category", CATS).agg(F.first("weight"))
-    wide = sized_broadcast(wide)
-    tok = sents.select("doc_id", "pos", F.explode_outer(NB.model_tokens("sentence")).alias("token"))
-    sums = (tok.join(wide, "token", "left").groupBy("doc_id", "pos")
-            .agg(*[F.sum(F.coalesce(F.col(c), F.lit(0.0))).alias(c) for c in CATS]))
-    lng = sums.unpivot(["doc_id", "pos"], CATS, "category", "_s")
-    b = sized_broadcast(bias, known_bound=len(CATS))
-    margin = F.greatest(F.lit(-NB.MARGIN_LIMIT), F.least(F.lit(NB.MARGIN_LIMIT), F.col("bias") + F.col("_s")))
-    prob = 1.0 / (1.0 + F.exp(-margin))
-    # The top class of the two-class score list is "yes" only when it beats "no" outright.
-    return (lng.join(b, "category").withColumn("prob", prob)
-            .withColumn("is_yes", F.col("prob") > 0.5)
-            .select("doc_id", "pos", "category", "prob", "is_yes"))
+    return PV.score_sentences(english_sentences(spark, sf_dir), weights, bias, CATS)
 
 
 # --------------------------------------------------------------------------- SQL side
@@ -425,10 +413,8 @@ SELECT doc_id, category, count(*) AS n_sentences,
 FROM sp GROUP BY doc_id, category
 """)
 def review_prevalence(spark, sf_dir):
-    s = sentence_scores(spark, sf_dir)
-    return rounded(s.groupBy("doc_id", "category").agg(
-        F.count(F.lit(1)).alias("n_sentences"),
-        F.avg(F.col("is_yes").cast("double")).alias("share")), ["share"])
+    from ..operators import prevalence as PV
+    return rounded(PV.prevalence(sentence_scores(spark, sf_dir)), ["share"])
 
 
 @register("language_id", f"""
