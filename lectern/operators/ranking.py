@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Largest dimension table sent to every executor. Above it the join shuffles instead.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 200_000
 
 
 def shuffle_key(seed: int, *parts) -> Column:
