@@ -87,3 +87,12 @@ def global_index(df: DataFrame, order_cols, out: str = "idx", n_parts: int | Non
     return (tagged.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
             .drop("_pid", "_mid", "_off", "_first"))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the shared checkpoint folder and reads it back: cuts the lineage of a
+    table that several later jobs reuse (e.g. a split assignment), so it is computed once
+    and a lost executor does not force recomputing it."""
+    from ..session import shared_dir
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -13,7 +13,7 @@ from ..operators import lang as LG
 from ..operators import metrics as M
 from ..operators import sentences as SO
 from ..operators import split as SP
-from ..operators.ranking import sized_broadcast
+from ..operators.ranking import materialize, sized_broadcast
 from ..sources import tables as ST
 from . import splits as Q
 from . import sqltext as S
@@ -41,7 +41,7 @@ def fit_score(spark, sf_dir, train, score_rows, keys, n_models=None, strict=Fals
 
 def binary_scores(spark, sf_dir):
     """One model per category on its stratified training rows, applied to its test rows."""
-    h = Q.holdout(spark, sf_dir)
+    h = materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
     test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
     return fit_score(spark, sf_dir, train, test, ["category"], n_models=len(CATS))
@@ -50,7 +50,7 @@ def binary_scores(spark, sf_dir):
 def multilabel_long(spark, sf_dir):
     wide = LO.add_none(Q.labels_wide(spark, sf_dir), CATS, after="doc_id")
     split = SP.holdout_plain(wide, Q.SHARE, Q.SEED)
-    return LO.to_long(split, ML_CATS, extra_cols=("split",))
+    return materialize(LO.to_long(split, ML_CATS, extra_cols=("split",)))
 
 
 def multilabel_scores(spark, sf_dir):
@@ -64,7 +64,7 @@ def multilabel_scores(spark, sf_dir):
 def multitask_scores(spark, sf_dir):
     """Shared vocabulary from the evenly mixed training rows of all categories; one head per
     category on its own training rows, restricted to that vocabulary."""
-    h = Q.holdout(spark, sf_dir)
+    h = materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN)
     mix = SP.task_mix(train, CATS, Q.SEED).select("row_id").distinct()
     tx = texts(spark, sf_dir)
@@ -78,7 +78,7 @@ def multitask_scores(spark, sf_dir):
 def cv_scores(spark, sf_dir):
     """Every fold model of every category in one pass: counts per own fold, then each fold
     model's training counts are the other folds' counts."""
-    kf = Q.kfold(spark, sf_dir).select("row_id", "category", "label", "fold")
+    kf = materialize(Q.kfold(spark, sf_dir).select("row_id", "category", "label", "fold"))
     tx = texts(spark, sf_dir)
     keys = ["category", "fold"]
     counts = NB.complement_folds(NB.token_counts(kf, tx, keys), Q.K, "n")
@@ -91,7 +91,7 @@ def cv_scores(spark, sf_dir):
 def curve_scores(spark, sf_dir):
     """Every subset model of every category: tokens counted once per chunk, subset counts
     as prefix sums over chunks; the fixed test rows are scored by every subset model."""
-    h = Q.holdout(spark, sf_dir)
+    h = materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN)
     chunks = SP.subset_chunks(train, Q.CHUNK, Q.SEED, n_parts=len(CATS)).select(
         "row_id", "category", "label", "chunk_idx", "n_chunks")
@@ -111,7 +111,7 @@ def rounded(df, cols):
 
 
 def final_models(spark, sf_dir):
-    h = Q.holdout(spark, sf_dir)
+    h = materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
     tx = texts(spark, sf_dir)
     counts = NB.token_counts(train, tx, ["category"])
