@@ -66,9 +66,13 @@ def token_ids(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "r
     v = sized_broadcast(vocab.select("token", "token_id"))
     ided = pos_tok.join(v, "token", "left").withColumn(
         "_id", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK)))
-    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "_id")))
-    grouped = ided.groupBy(id_col, *keep).agg(F.sort_array(pairs).alias("_p"))
+    # Every token is looked up and counted; only the positions that fit the fixed length
+    # are collected, so a very long document never becomes one huge array.
+    keep_pos = F.col("token").isNotNull() & (F.col("pos") < max_length - 2)
+    pairs = F.collect_list(F.when(keep_pos, F.struct("pos", "_id")))
+    grouped = ided.groupBy(id_col, *keep).agg(
+        F.sort_array(pairs).alias("_p"), F.count("token").cast("int").alias("n_tokens"))
     ids = F.transform(F.col("_p"), lambda p: p["_id"])
     fx = fixed_length(ids, max_length)
-    return grouped.select(id_col, *keep, F.size("_p").alias("n_tokens"),
+    return grouped.select(id_col, *keep, "n_tokens",
                           fx["input_ids"].alias("input_ids"), fx["attention_mask"].alias("attention_mask"))
