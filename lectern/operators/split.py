@@ -146,3 +146,21 @@ def task_mix(train_long: DataFrame, categories, seed: int = 1, part: str = "cate
             .where(F.col("mix_rank") <= F.col("_min"))
             .withColumn("mix_pos", (F.col("mix_rank") - 1) * len(categories) + ordinal)
             .drop("_key", "_n", "_min"))
+
+
+def check_partition(rows: DataFrame, split_df: DataFrame, part: str = "category",
+                    row_id: str = "row_id") -> DataFrame:
+    """Per ``part``: rows, train, test, rows in both (``intersect``) and rows in neither
+    (``exceptAll`` of the input against the split rows). A valid split has 0 and 0."""
+    keys = [part, row_id]
+    train = split_df.where(F.col("split") == TRAIN).select(*keys)
+    test = split_df.where(F.col("split") == TEST).select(*keys)
+    both = train.intersect(test).groupBy(part).agg(F.count(F.lit(1)).alias("n_both"))
+    missing = (rows.select(*keys).exceptAll(train.unionByName(test))
+               .groupBy(part).agg(F.count(F.lit(1)).alias("n_missing")))
+    sizes = split_df.groupBy(part).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(F.when(F.col("split") == TRAIN, 1).otherwise(0)).cast("long").alias("n_train"),
+        F.sum(F.when(F.col("split") == TEST, 1).otherwise(0)).cast("long").alias("n_test"))
+    return (sizes.join(both, part, "left").join(missing, part, "left")
+            .na.fill(0, ["n_both", "n_missing"]))

@@ -287,12 +287,15 @@ SELECT row_id, category,
 FROM arr
 """)
 def argmax_label(spark, sf_dir):
+    """Two-class score list per row (``no``, ``yes``), its top class and score."""
+    from ..functions import scoring as SC
     s = binary_scores(spark, sf_dir)
     scores = F.array(1.0 - F.col("prob"), F.col("prob"))
-    top = F.array_position(scores, F.array_max(scores)) - 1
+    listed = SC.score_list(scores)
+    top = SC.argmax(F.transform(listed, lambda e: e["score"]))
     return rounded(s.select("row_id", "category",
-                            F.element_at(F.array(F.lit("no"), F.lit("yes")), (top + 1).cast("int")).alias("top_label"),
-                            F.array_max(scores).alias("top_score")), ["top_score"])
+                            F.get(listed, top)["label"].alias("top_label"),
+                            F.get(listed, top)["score"].alias("top_score")), ["top_score"])
 
 
 @register("score_multilabel", SQL_ML + f"""
@@ -468,3 +471,53 @@ def fit_binary_lr(spark, sf_dir):
 def model_roundtrip_lr(spark, sf_dir):
     """Same heads saved to the shared folder, loaded back and applied (rows-only check)."""
     return rounded(lr_scores(spark, sf_dir, roundtrip=True), ["prob"])
+
+
+# --------------------------------------------------------------------------- external scorer
+# Test double for an external classifier: the logistic of how often a cue occurs. The same
+# formula is written in SQL below.
+EXT_CUES = {"quality": " the ", "toxic": " und "}
+
+
+def _load_cue_scorer():
+    import math
+
+    def model(texts):
+        out = []
+        for t in texts:
+            low = t.lower()
+            out.append([[{"label": "no", "score": 1.0 - p}, {"label": "yes", "score": p}]
+                        for p in [1.0 / (1.0 + math.exp(-(low.count(c) - 3.0))) for c in EXT_CUES.values()]])
+        return out
+    return model
+
+
+def external_scores(spark, sf_dir):
+    """Each test text is scored once for all categories (one UDF pass over the text); the
+    long test rows then pick their category's score list by position."""
+    from ..functions import scoring as SC
+    from ..operators import external as EX
+    h = materialize(Q.holdout(spark, sf_dir))
+    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
+    tx = texts(spark, sf_dir).join(test.select("row_id").distinct(), "row_id", "left_semi")
+    per_text = tx.select("row_id", EX.external_scores(F.col("text"), _load_cue_scorer, nested=True).alias("all"))
+    ordinal = F.array_position(F.array(*[F.lit(c) for c in EXT_CUES]), F.col("category")) - 1
+    return (test.join(per_text, "row_id")
+            .select("row_id", "category", "label", SC.score_of(F.get(F.col("all"), ordinal.cast("int")), 1).alias("prob"))
+            .withColumn("pred", SC.decide(F.col("prob"))))
+
+
+def _sql_cue_count(expr, cue):
+    return f"((length(lower({expr})) - length(replace(lower({expr}), {S.q(cue)}, ''))) / {len(cue)})"
+
+
+@register("score_external", Q.SQL_HOLDOUT + SQL_TEXTS + f""",
+es AS (SELECT h.row_id, h.category, h.label,
+              1.0 / (1.0 + exp(-(CASE h.category """ + " ".join(
+    f"WHEN {S.q(c)} THEN {_sql_cue_count('tx.text', cue)}" for c, cue in EXT_CUES.items()) + f""" END - 3.0))) AS prob
+       FROM h JOIN tx ON h.row_id = tx.row_id WHERE h.split = 'test')
+SELECT row_id, category, label, round(prob, {DIGITS}) AS prob, CAST(prob >= 0.5 AS INTEGER) AS pred FROM es
+""")
+def score_external(spark, sf_dir):
+    """An external scorer (iterator pandas UDF, model loaded once per worker) on the test rows."""
+    return rounded(external_scores(spark, sf_dir), ["prob"])

@@ -187,3 +187,20 @@ def full_agreement_train(spark, sf_dir):
     h = SP.holdout_stratified(majority(spark, sf_dir), SHARE, SEED, n_parts=len(CATS))
     return (h.where((F.col("split") != SP.TRAIN) | F.col("full_agree"))
             .select("row_id", "category", "label", "split"))
+
+
+@register("holdout_check", SQL_HOLDOUT + """,
+tr AS (SELECT category, row_id FROM h WHERE split = 'train'),
+te AS (SELECT category, row_id FROM h WHERE split = 'test'),
+bo AS (SELECT category, count(*) AS n_both FROM (SELECT * FROM tr INTERSECT SELECT * FROM te) GROUP BY category),
+mi AS (SELECT category, count(*) AS n_missing FROM
+       (SELECT category, row_id FROM l EXCEPT ALL (SELECT * FROM tr UNION ALL SELECT * FROM te)) GROUP BY category),
+sz AS (SELECT category, count(*) AS n_rows,
+              CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
+              CAST(sum(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS BIGINT) AS n_test FROM h GROUP BY category)
+SELECT sz.category, n_rows, n_train, n_test, coalesce(n_both, 0) AS n_both, coalesce(n_missing, 0) AS n_missing
+FROM sz LEFT JOIN bo ON sz.category = bo.category LEFT JOIN mi ON sz.category = mi.category
+""")
+def holdout_check(spark, sf_dir):
+    """The hold-out is a disjoint and complete partition of every category's rows."""
+    return SP.check_partition(labels_long(spark, sf_dir), holdout(spark, sf_dir))
