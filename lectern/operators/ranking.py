@@ -20,7 +20,7 @@ def shuffle_key(seed: int, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+def sized_broadcast(df: DataFrame, max_rows: int | None = None,
                     known_bound: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven small.
 
@@ -28,6 +28,8 @@ def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
     table is persisted and counted. Larger tables are returned as they are, so the join
     falls back to a shuffle join (AQE may still pick broadcast at runtime).
     """
+    if max_rows is None:
+        max_rows = BROADCAST_MAX_ROWS
     if known_bound is not None and known_bound <= max_rows:
         return F.broadcast(df)
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

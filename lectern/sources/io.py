@@ -75,3 +75,14 @@ def save_table_model(weights: DataFrame, bias: DataFrame, path: str, partition_b
 
 def load_table_model(spark: SparkSession, path: str):
     return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/bias")
+
+
+def read_review_files(spark: SparkSession, path: str) -> DataFrame:
+    """Raw review reports, one file per review: ``(doc_id, path, text)``.
+
+    Each file is read whole (``wholetext``), so a review is one row whatever its line
+    structure; ``doc_id`` is a stable 64-bit hash of the file path.
+    """
+    df = spark.read.text(path, wholetext=True)
+    p = F.input_file_name()
+    return df.select(F.xxhash64(p).alias("doc_id"), p.alias("path"), F.col("value").alias("text"))
