@@ -62,16 +62,16 @@ def token_ids(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "r
     vocabulary is checked small); unknown tokens get ``[UNK]``. The whole text is
     tokenised; ``n_tokens`` is its full length before truncation.
     """
-    pos_tok = df.select(id_col, *keep, F.posexplode_outer(text_tokens(F.col(text_col))).alias("pos", "token"))
+    toks = df.select(id_col, *keep, text_tokens(F.col(text_col)).alias("_t"))
+    # The whole text is tokenised and counted (``n_tokens``); only the positions that fit
+    # the fixed length are looked up, so the vocabulary join never grows with document length.
+    pos_tok = (toks.select(id_col, *keep, F.size("_t").alias("n_tokens"),
+                           F.posexplode_outer(F.slice("_t", 1, max_length - 2)).alias("pos", "token")))
     v = sized_broadcast(vocab.select("token", "token_id"))
     ided = pos_tok.join(v, "token", "left").withColumn(
         "_id", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK)))
-    # Every token is looked up and counted; only the positions that fit the fixed length
-    # are collected, so a very long document never becomes one huge array.
-    keep_pos = F.col("token").isNotNull() & (F.col("pos") < max_length - 2)
-    pairs = F.collect_list(F.when(keep_pos, F.struct("pos", "_id")))
-    grouped = ided.groupBy(id_col, *keep).agg(
-        F.sort_array(pairs).alias("_p"), F.count("token").cast("int").alias("n_tokens"))
+    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "_id")))
+    grouped = ided.groupBy(id_col, *keep, "n_tokens").agg(F.sort_array(pairs).alias("_p"))
     ids = F.transform(F.col("_p"), lambda p: p["_id"])
     fx = fixed_length(ids, max_length)
     return grouped.select(id_col, *keep, "n_tokens",
