@@ -25,14 +25,15 @@ def sized_broadcast(df: DataFrame, max_rows: int | None = None,
     """Broadcast ``df`` only when its row count is proven small.
 
     ``known_bound`` is a static upper bound (e.g. categories x buckets); without one the
-    table is persisted and counted. Larger tables are returned as they are, so the join
-    falls back to a shuffle join (AQE may still pick broadcast at runtime).
+    table is persisted (on disk, so execution memory stays free) and counted. Larger
+    tables are returned as they are, so the join falls back to a shuffle join (AQE may
+    still pick broadcast at runtime).
     """
     if max_rows is None:
         max_rows = BROADCAST_MAX_ROWS
     if known_bound is not None and known_bound <= max_rows:
         return F.broadcast(df)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.DISK_ONLY)
     if df.count() <= max_rows:
         return F.broadcast(df)
     return df
