@@ -97,13 +97,19 @@ def fit_nested(chunk_counts: DataFrame, chunk_docs: DataFrame, needed: DataFrame
     docs = chunk_docs.groupBy(part, *lvl).agg(
         F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
         F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
-    per_chunk = (tot.join(first, [part, *lvl], "full").join(docs, [part, *lvl], "full")
-                 .na.fill(0, ["tot1", "tot0", "vocab_size", "docs1", "docs0"]))
+    # Union of the three small per-chunk aggregates, reduced once (no full outer joins).
+    vals = ["tot1", "tot0", "vocab_size", "docs1", "docs0"]
+
+    def padded(df):
+        return df.select(part, *lvl, *[(F.col(v) if v in df.columns else F.lit(0)).cast("long").alias(v)
+                                      for v in vals])
+    per_chunk = (padded(tot).unionByName(padded(first)).unionByName(padded(docs))
+                 .groupBy(part, *lvl).agg(*[F.sum(v).alias(v) for v in vals]))
     e = per_chunk.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
     head = (e.groupBy(part, (F.col("_j") * chunk).cast("int").alias("train_size"))
             .agg(*[F.sum(c).alias(c) for c in ("tot1", "tot0", "vocab_size", "docs1", "docs0")]))
     keys = [part, "train_size"]
-    kept = chunk_counts.join(needed, [part, "token"], "left_semi")
+    kept = chunk_counts.join(sized_broadcast(needed), [part, "token"], "left_semi")
     per_tok = (nested_counts(kept, "n", chunk)
                .groupBy(*keys, "token").agg(
                    F.sum(F.when(lab == 1, F.col("n")).otherwise(0)).alias("n1"),
@@ -170,14 +176,17 @@ def score_all_models(rows: DataFrame, texts: DataFrame, weights: DataFrame, bias
     (row, model) pairs that share a token are produced; the bias grid (rows x models)
     supplies rows without any known token.
     """
+    keys = ["row_id", part, label, model]
     tok = _token_assign_rows(texts, rows, [part, label], text_col, outer=False)
     tf = tok.groupBy("row_id", part, label, "token").agg(F.count(F.lit(1)).alias("_tf"))
     hits = (tf.join(weights, [part, "token"])
-            .groupBy("row_id", part, label, model).agg(F.sum(F.col("_tf") * F.col("weight")).alias("_s")))
-    grid = rows.select("row_id", part, label).join(sized_broadcast(bias), part)
-    margin = F.col("bias") + F.coalesce(F.col("_s"), F.lit(0.0))
-    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), margin))
-    out = grid.join(hits, ["row_id", part, label, model], "left").withColumn("margin", margin)
+            .select(*keys, (F.col("_tf") * F.col("weight")).alias("_v"), F.lit(None).cast("double").alias("bias")))
+    grid = (rows.select("row_id", part, label).join(sized_broadcast(bias), part)
+            .select(*keys, F.lit(0.0).alias("_v"), "bias"))
+    # One reduction over grid rows and weighted token hits: no join after the aggregate.
+    summed = hits.unionByName(grid).groupBy(*keys).agg(F.sum("_v").alias("_s"), F.max("bias").alias("bias"))
+    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), F.col("bias") + F.col("_s")))
+    out = summed.withColumn("margin", margin)
     prob = 1.0 / (1.0 + F.exp(-F.col("margin")))
     return (out.withColumn("prob", prob).withColumn("pred", (prob >= threshold).cast("int"))
             .select("row_id", part, model, label, "margin", "prob", "pred"))
