@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as TF
 from ..operators import bayes as NB
 from ..operators import labels as LO
 from ..operators import lang as LG
 from ..operators import metrics as M
 from ..operators import sentences as SO
 from ..operators import split as SP
-from ..operators.ranking import materialize, sized_broadcast
+from ..operators.ranking import materialize
 from ..sources import tables as ST
 from . import splits as Q
 from . import sqltext as S
