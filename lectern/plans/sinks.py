@@ -48,7 +48,7 @@ def metric_sink_roundtrip(spark, sf_dir):
     """Test metrics written as CSV with the reference's column names, one folder per category."""
     metrics = MD.rounded(M.eval_metrics(MD.binary_scores(spark, sf_dir), ["category"]), M.METRICS)
     path = scratch_path(spark, "metrics-csv")
-    IO.write_csv(metrics, path, partition_by=("category",))
+    IO.write_csv(metrics, path, partition_by=("category",), categories=CATS)
     return IO.read_metrics_csv(spark, path, _METRIC_SCHEMA)
 
 

@@ -36,9 +36,16 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def write_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite",
-              spaced_metric_names: bool = True) -> None:
-    """CSV sink; metric columns get the reference's spaced names (``f1 macro``) here only."""
+              spaced_metric_names: bool = True, categories=None) -> None:
+    """CSV sink; metric columns get the reference's spaced names (``f1 macro``) here only.
+
+    With ``categories`` the rows are written in category order (the only place an order
+    matters); the sort runs inside each output partition, not as a global sort.
+    """
     out = df
+    if categories is not None and "category" in df.columns:
+        ordinal = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
+        out = out.sortWithinPartitions(ordinal, *[c for c in ("fold", "train_size") if c in df.columns])
     if spaced_metric_names:
         out = out.select(*[F.col(c).alias(c.replace("_", " ")) if c in METRICS else F.col(c)
                            for c in df.columns])
