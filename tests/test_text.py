@@ -51,3 +51,14 @@ def test_sentences_with_context(spark):
     assert [r["sentence"] for r in rows] == ["One here.", "Two there.", "Three."]
     assert rows[0]["sentence_pre"] is None and rows[-1]["sentence_post"] is None
     assert rows[1]["sentence_pre"] == "One here." and rows[1]["sentence_post"] == "Three."
+
+
+def test_context_from_rows_equals_window(spark):
+    from pyspark.sql import Window
+    rows = [(d, p, f"s{d}-{p}") for d in range(3) for p in range(d * 4 + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, pos int, sentence string")
+    got = sorted(map(tuple, SO.context_from_rows(df).collect()))
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    exp = df.select("*", F.lag("sentence").over(w).alias("sentence_pre"),
+                    F.lead("sentence").over(w).alias("sentence_post"))
+    assert got == sorted(map(tuple, exp.collect()))
