@@ -2,7 +2,6 @@ import math
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from lectern.operators import bayes as NB
 
