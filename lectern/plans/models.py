@@ -520,3 +520,21 @@ SELECT row_id, category, label, round(prob, {DIGITS}) AS prob, CAST(prob >= 0.5
 def score_external(spark, sf_dir):
     """An external scorer (iterator pandas UDF, model loaded once per worker) on the test rows."""
     return rounded(external_scores(spark, sf_dir), ["prob"])
+
+
+@register("predictions_binary", SQL_BIN + f"""
+SELECT bs.category, bs.row_id, l.doc_id, bs.pred AS yes_class, round(bs.prob, {DIGITS}) AS yes_prob
+FROM bs JOIN labels l ON bs.row_id = l.doc_id
+""")
+def predictions_binary(spark, sf_dir):
+    """Binary approach: class and probability of ``yes`` per test row, with its ``doc_id``
+    carried through scoring (no join back to the labelled table)."""
+    h = materialize(Q.holdout(spark, sf_dir))
+    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
+    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label", "doc_id")
+    tx = texts(spark, sf_dir)
+    counts = NB.token_counts(train, tx, ["category"])
+    weights, bias = NB.fit(counts, NB.doc_counts(train, ["category"]), ["category"], n_models=len(CATS))
+    s = NB.score(test, tx, weights, bias, ["category"], carry=("label", "doc_id"), n_models=len(CATS))
+    return rounded(s.select("category", "row_id", "doc_id", F.col("pred").alias("yes_class"),
+                            F.col("prob").alias("yes_prob")), ["yes_prob"])
