@@ -30,4 +30,6 @@ def scorer_udf(load: Callable[[], Callable[[list[str]], list]], nested: bool = F
 
 
 def external_scores(text: Column, load, nested: bool = False) -> Column:
+    from ..session import ship_package
+    ship_package()
     return scorer_udf(load, nested)(text)

@@ -55,6 +55,8 @@ def generate(df: DataFrame, generator: Callable[[pd.DataFrame], pd.Series],
     Rows pass through the Python step unchanged (no join back, no second scan); only
     the answer column is added.
     """
+    from ..session import ship_package
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField("_answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
