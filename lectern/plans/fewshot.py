@@ -9,6 +9,7 @@ from ..functions import text as TF
 from ..operators import metrics as M
 from ..operators import prompt as PR
 from ..operators import split as SP
+from ..operators.ranking import materialize
 from ..sources import tables as ST
 from ..sources import templates as TP
 from . import models as MD
@@ -32,19 +33,20 @@ def keyword_generator(pdf: pd.DataFrame) -> pd.Series:
     return pd.Series([one(c, m) for c, m in zip(pdf["category"], pdf["messages"])], index=pdf.index)
 
 
-def test_rows(spark, sf_dir):
-    h = Q.holdout(spark, sf_dir).where(F.col("split") == SP.TEST).select("row_id", "category", "label")
+def test_rows(spark, sf_dir, h=None):
+    h = (h if h is not None else Q.holdout(spark, sf_dir))
+    h = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
     tx = MD.texts(spark, sf_dir).select("row_id", TF.model_text(F.col("text"), TF.FEWSHOT_SEP).alias("text"))
     return h.join(tx, "row_id")
 
 
-def rendered(spark, sf_dir):
-    return PR.render(test_rows(spark, sf_dir), TP.template_table(spark),
+def rendered(spark, sf_dir, h=None):
+    return PR.render(test_rows(spark, sf_dir, h), TP.template_table(spark),
                      n_templates=len(TP.REVIEW_TEMPLATES) + len(TP.DATA_TEMPLATES))
 
 
-def labelled(spark, sf_dir):
-    chat = PR.generate(rendered(spark, sf_dir), keyword_generator)
+def labelled(spark, sf_dir, h=None):
+    chat = PR.generate(rendered(spark, sf_dir, h), keyword_generator)
     gen = PR.answer(F.col("chat"))
     return chat.select("row_id", "category", "label", gen.alias("gen_label"),
                        PR.parse_yes(gen).alias("gen_label_bool"))
@@ -145,10 +147,11 @@ FROM cmp GROUP BY category""")
 def compare_approaches(spark, sf_dir):
     """F1 macro per category for every approach, side by side."""
     keep = ["category", "label", "pred"]
+    h = materialize(Q.holdout(spark, sf_dir))  # one stratified split shared by three approaches
     ml = MD.multilabel_scores(spark, sf_dir).where(F.col("category") != "none")
-    fs = labelled(spark, sf_dir).withColumnRenamed("gen_label_bool", "pred")
-    parts = [("binary", MD.binary_scores(spark, sf_dir)), ("multilabel", ml),
-             ("multitask", MD.multitask_scores(spark, sf_dir)), ("fewshot", fs)]
+    fs = labelled(spark, sf_dir, h).withColumnRenamed("gen_label_bool", "pred")
+    parts = [("binary", MD.binary_scores(spark, sf_dir, h)), ("multilabel", ml),
+             ("multitask", MD.multitask_scores(spark, sf_dir, h)), ("fewshot", fs)]
     allp = None
     for name, df in parts:
         d = df.select(F.lit(name).alias("approach"), *keep)

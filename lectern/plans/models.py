@@ -38,9 +38,9 @@ def fit_score(spark, sf_dir, train, score_rows, keys, n_models=None, strict=Fals
     return NB.score(score_rows, tx, weights, bias, keys, strict=strict, n_models=n_models)
 
 
-def binary_scores(spark, sf_dir):
+def binary_scores(spark, sf_dir, h=None):
     """One model per category on its stratified training rows, applied to its test rows."""
-    h = materialize(Q.holdout(spark, sf_dir))
+    h = h if h is not None else materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
     test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
     return fit_score(spark, sf_dir, train, test, ["category"], n_models=len(CATS))
@@ -60,10 +60,10 @@ def multilabel_scores(spark, sf_dir):
     return fit_score(spark, sf_dir, train, test, ["category"], n_models=len(ML_CATS), strict=True)
 
 
-def multitask_scores(spark, sf_dir):
+def multitask_scores(spark, sf_dir, h=None):
     """Shared vocabulary from the evenly mixed training rows of all categories; one head per
     category on its own training rows, restricted to that vocabulary."""
-    h = materialize(Q.holdout(spark, sf_dir))
+    h = h if h is not None else materialize(Q.holdout(spark, sf_dir))
     train = h.where(F.col("split") == SP.TRAIN)
     mix = SP.task_mix(train, CATS, Q.SEED).select("row_id").distinct()
     tx = texts(spark, sf_dir)
