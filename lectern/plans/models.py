@@ -538,3 +538,18 @@ def predictions_binary(spark, sf_dir):
     s = NB.score(test, tx, weights, bias, ["category"], carry=("label", "doc_id"), n_models=len(CATS))
     return rounded(s.select("category", "row_id", "doc_id", F.col("pred").alias("yes_class"),
                             F.col("prob").alias("yes_prob")), ["yes_prob"])
+
+
+@register("review_sentences_wide", SQL_SENT_SCORES + ", se_txt AS (SELECT doc_id, pos, sentence FROM se)\n"
+          "SELECT sp.doc_id, sp.pos, se_txt.sentence, "
+          + ", ".join(f"bool_or(CASE WHEN sp.category = '{c}' THEN sp.prob > 0.5 END) AS {c}" for c in CATS)
+          + "\nFROM sp JOIN se_txt ON sp.doc_id = se_txt.doc_id AND sp.pos = se_txt.pos"
+          "\nGROUP BY sp.doc_id, sp.pos, se_txt.sentence")
+def review_sentences_wide(spark, sf_dir):
+    """The per-sentence result table: the sentence and one yes/no column per category."""
+    from ..operators import prevalence as PV
+    weights, bias = final_models(spark, sf_dir)
+    sents = english_sentences(spark, sf_dir)
+    scored = PV.score_sentences(sents, weights, bias, CATS)
+    wide = PV.wide_view(scored, CATS)
+    return wide.join(sents, ["doc_id", "pos"]).select("doc_id", "pos", "sentence", *CATS)
