@@ -50,6 +50,11 @@ def without_ids(df: DataFrame, drop: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, on, "left_anti")
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A staged thin table with a broadcast hint if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs) as ``(node, component)`` with
     ``component`` = the smallest node reachable. Nodes without edges are not returned.

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards
+from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, superminhash
 from .common import scan_table
 from .registry import ORACLE, REGISTRY, register
 
@@ -50,6 +50,11 @@ def op6(spark, sf_dir):
     return bpe.encode_documents(scan_table(spark, sf_dir, "documents"), digests=True)
 
 
+@register("op7_superminhash")
+def op7(spark, sf_dir):
+    return superminhash.near_groups(scan_table(spark, sf_dir, "documents"))
+
+
 @register("op9_shortest_pack_first")
 def op9(spark, sf_dir):
     return packing.pack_documents(scan_table(spark, sf_dir, "documents"))
