@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, superminhash
+from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, superminhash, toxicity
 from .common import scan_table
 from .registry import ORACLE, REGISTRY, register
 
@@ -60,6 +60,15 @@ def op9(spark, sf_dir):
     return packing.pack_documents(scan_table(spark, sf_dir, "documents"))
 
 
+@register("op10_toxicity_gru")
+def op10(spark, sf_dir):
+    docs = scan_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, scan_table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity_score").alias("score"),
+        F.col("toxicity_flag").alias("predicted"))
+
+
 def queries():
     return dict(REGISTRY)
 
