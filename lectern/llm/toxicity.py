@@ -327,7 +327,7 @@ def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("toxicity_score", "toxicity_flag")
-    schema = docs.schema.add("toxicity_score", "double").add("toxicity_flag", "int")
+    schema = docs.schema.add("toxicity_score", "double").add("toxicity_flag", "integer")
 
     def run(batches):
         p = shared.value
