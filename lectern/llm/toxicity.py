@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ship_package
 from .common import sized, staged
@@ -327,7 +328,8 @@ def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("toxicity_score", "toxicity_flag")
-    schema = docs.schema.add("toxicity_score", "double").add("toxicity_flag", "integer")
+    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType()),
+                           T.StructField("toxicity_flag", T.IntegerType())])
 
     def run(batches):
         p = shared.value
