@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, superminhash, toxicity
+from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, suffix_dedup, superminhash, toxicity
 from .common import scan_table
 from .registry import ORACLE, REGISTRY, register
 
@@ -55,6 +55,11 @@ def op7(spark, sf_dir):
     return superminhash.near_groups(scan_table(spark, sf_dir, "documents"))
 
 
+@register("op8_suffix_repeats")
+def op8(spark, sf_dir):
+    return suffix_dedup.remove_repeats(scan_table(spark, sf_dir, "documents"))
+
+
 @register("op9_shortest_pack_first")
 def op9(spark, sf_dir):
     return packing.pack_documents(scan_table(spark, sf_dir, "documents"))
