@@ -120,3 +120,16 @@ def sequences(h, n: int):
         out = out * np.uint64(0xF1357AEA2E62A9C5) + h[i:i + count]
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def sliding_min(keys, width: int):
+    """Least value of every ``width`` values in a row."""
+    import numpy as np
+
+    n = len(keys)
+    padded = np.full(-(-n // width) * width + width, ~np.uint64(0))
+    padded[:n] = keys
+    block = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(block, axis=1).reshape(-1)
+    back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return np.minimum(back[:n - width + 1], ahead[width - 1:n])

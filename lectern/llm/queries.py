@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bitplane, bpe, chunk_dedup, multi_index, packing, shards, suffix_dedup, superminhash, toxicity
+from . import bitplane, bpe, chain_dedup, chunk_dedup, multi_index, packing, shards, suffix_dedup, superminhash, toxicity
 from .common import scan_table
 from .registry import ORACLE, REGISTRY, register
 
@@ -21,6 +21,11 @@ def op1(spark, sf_dir):
     return bitplane.read_documents(spark, path)
 
 
+@register("op2_collinear_chains")
+def op2(spark, sf_dir):
+    return chain_dedup.passages(scan_table(spark, sf_dir, "documents")).drop("k")
+
+
 @register("op3_multi_index_links")
 def op3(spark, sf_dir):
     return multi_index.link_vectors(scan_table(spark, sf_dir, "embeddings"))
