@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, without_ids
+from .common import free_names, staged, without_ids
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CHUNK_MIN, CHUNK_MAX = 768, 8192
@@ -95,9 +95,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that :func:`exact_groups` does not keep."""
+    key, sha = free_names(docs.columns, "gone_id", "gone_sha")
     gone = staged(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
-                  .select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).distinct(),
-                  "gone")
-    keyed = docs.withColumns({"_gone_id": F.col(id_col).cast("long"),
-                              "_gone_sha": F.sha2(normalised(F.col(text_col)).cast("binary"), 256)})
-    return without_ids(keyed, gone, ["_gone_id", "_gone_sha"]).select(*docs.columns)
+                  .select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct(), "gone")
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"),
+                              sha: F.sha2(normalised(F.col(text_col)).cast("binary"), 256)})
+    return without_ids(keyed, gone, [key, sha]).select(*docs.columns)

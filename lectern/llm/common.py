@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,9 +36,16 @@ def prefix_offsets(totals: DataFrame, order: str, sums: list[str], within: str |
                                 for s in sums])
 
 
-def row_key(*cols: str) -> Column:
-    """64-bit key of the columns, to spread rows that share an id."""
-    return F.xxhash64(*cols)
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column."""
+    used = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def without_ids(df: DataFrame, drop: DataFrame, on: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prefix_offsets, staged
+from .common import free_names, prefix_offsets, staged
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text",
@@ -59,8 +59,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
 def write_shards(docs: DataFrame, placement: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """The rows of ``docs`` as Parquet folders ``shard=<n>``, each sorted by slot. ``id_col``
     must be unique. A shard may be written by several tasks (range of slots each)."""
-    cols = docs.columns
-    moved = docs.join(placement.select(F.col("doc_id").alias("_key"), F.col("shard").alias("shard"), "slot"),
-                      F.col(id_col) == F.col("_key")).drop("_key")
-    (moved.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .select(*cols, "slot", "shard").write.partitionBy("shard").parquet(path))
+    key, slot, shard = free_names(docs.columns, "placed_id", "slot", "shard")
+    moved = docs.join(placement.select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot)),
+                      F.col(id_col) == F.col(key)).drop(key)
+    (moved.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(path))
