@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import components, sized, staged, without_ids
+from .common import components, find, free_names, sized, staged, union, without_ids
 from .hashing import batch_words, mix, sequences
 
 WIDTH = 5                 # words of a shingle
@@ -25,6 +25,7 @@ PERCENT = 75              # 100 * intersection >= PERCENT * union
 # A pair at 0.75 has an estimate below this with probability under 1e-6 (over 5 deviations).
 LEAST_ESTIMATE = 0.55
 BLOCK = 1024              # documents of one side of a bucket in a comparison
+REGION_BLOCK = 256        # documents of one side of a region, with their full sets
 HUB_MEMBERS = 256         # members verified against one copy of a hub's set
 ELEMENTS = 200_000        # shingles whose permutations are held at once
 
@@ -161,10 +162,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     2. Documents with equal sets are one class; only one member goes on.
     3. Classes that share a band key are candidates. Each is verified against the bucket's
        first class on full sets; verified links are joined by union-find.
-    4. Buckets that still hold several components are compared, in blocks, on the signatures'
-       bytes. Pairs of different components with an estimate near the threshold or above are
-       verified on full sets as well. So a pair in a common bucket is verified, or already in
-       one component, or its estimate rules it out; no pair is emitted for the others.
+    4. In buckets that still hold several components, classes of different components whose
+       signatures' bytes agree enough are put in one region (a block returns a forest of such
+       pairs, never the pairs). A region's classes are compared on full sets, in blocks, and
+       each block returns a forest of verified links. So a pair in a common bucket is
+       verified, or already in one component, or its estimate rules it out.
 
     A bucket of any size is split into blocks, a hub's members into portions, and equi-joins
     on hot keys are left to AQE's skew handling.
@@ -193,10 +195,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     after = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group"))
     mixed = (after.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
              .where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rest = _across(after.join(mixed, "key"), reps)
-    more = staged(_verified(rest.join(links, ["a", "b"], "left_anti"), reps, texts), "more")
-    if not more.isEmpty():
-        groups = components(links.unionByName(more))
+    around = components(staged(_alike(after.join(mixed, "key"), reps), "alike"))
+    around = staged(around.withColumnRenamed("component", "region").join(groups, "node", "left")
+                    .select("region", "node", F.coalesce("component", "node").alias("group")), "regions")
+    if not around.isEmpty():
+        groups = components(links.unionByName(staged(_across(around, reps, texts), "more")))
 
     placed = staged(thin.join(classes, "set_key", "left").join(groups, "node", "left")
                     .select("row", "doc_id", "n_shingles", F.coalesce("component", "node", "row").alias("group")),
@@ -208,10 +211,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with the document of the smallest id of each component."""
+    key, = free_names(docs.columns, "gone_id")
     gone = staged(near_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
-                  .select(F.col("doc_id").alias("_gone_id")).distinct(), "gone")
-    keyed = docs.withColumn("_gone_id", F.col(id_col).cast("long"))
-    return without_ids(keyed, gone, ["_gone_id"]).select(*docs.columns)
+                  .select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return without_ids(docs.withColumn(key, F.col(id_col).cast("long")), gone, [key]).select(*docs.columns)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -230,16 +233,20 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
                            F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"),
                            F.lit(True).alias("is_hub"))
     roles = staged(members.unionByName(hubs), "roles")
-    needed = staged(roles.select("node").distinct().join(reps.select("node", "doc_id", "set_key"), "node"), "needed")
-    mine = needed.select("node", "set_key", F.col("doc_id").alias("_doc"))
-    sets = (texts.join(sized(mine), F.col("doc_id").eqNullSafe(F.col("_doc")))
-            .select("node", "set_key", "text").mapInArrow(_sets, "node long, members binary"))
-    return (sets.join(sized(roles), "node")
+    return (_full_sets(roles.select("node").distinct(), reps, texts).join(sized(roles), "node")
             .repartition("hub", "portion").sortWithinPartitions("hub", "portion", F.desc("is_hub"))
             .select("hub", "portion", "is_hub", "node", "members")
             .mapInArrow(_against_hub, "a long, b long"))
 
 
+def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(node, members)``: the full sets of some classes, from their texts."""
+    needed = staged(nodes.join(reps.select("node", "doc_id", "set_key"), "node"), "needed")
+    mine = needed.select("node", "set_key", F.col("doc_id").alias("_doc"))
+    return (texts.join(sized(mine), F.col("doc_id").eqNullSafe(F.col("_doc")))
+            .select("node", "set_key", "text").mapInArrow(_sets, "node long, members binary"))
+
+
 def _sets(batches):
     import pyarrow as pa
 
@@ -284,48 +291,82 @@ def _against_hub(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _across(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose signatures agree enough."""
-    full = rows.join(reps.select("node", "slots", "n_shingles"), "node")
+def _in_blocks(rows: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """Rows with a count of ``blocks`` per key, dealt to pairs of blocks (i <= j) of their key;
+    a block's rows come on the left side with itself and the later ones."""
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["group", "node", "slots", "n_shingles"]
-    # a block meets itself and the later ones
-    left = full.select("key", mine.alias("i"), every.alias("j"), F.lit(True).alias("left"), *cols).where("i <= j")
-    right = full.select("key", every.alias("i"), mine.alias("j"), F.lit(False).alias("left"), *cols).where("i <= j")
-    return (left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(_estimates, "a long, b long").distinct())
+    left = rows.select(key, mine.alias("i"), every.alias("j"), F.lit(True).alias("left"), *cols).where("i <= j")
+    right = rows.select(key, every.alias("i"), mine.alias("j"), F.lit(False).alias("left"), *cols).where("i <= j")
+    return left.unionByName(right).repartition(key, "i", "j").sortWithinPartitions(key, "i", "j")
 
 
-def _estimates(batches):
+def _alike(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """Forest (a, b) of the pairs within a bucket that lie in different components and whose
+    signatures agree enough."""
+    full = rows.join(reps.select("node", "slots", "n_shingles"), "node")
+    return (_in_blocks(full, "key", ["group", "node", "slots", "n_shingles"])
+            .mapInArrow(lambda batches: _each_block(batches, False), "a long, b long"))
+
+
+def _across(regions: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Forest (a, b) of the verified links between components within a region."""
+    blocks = regions.groupBy("region").agg(F.ceil(F.count("*") / REGION_BLOCK).cast("int").alias("blocks"))
+    full = (_full_sets(regions.select("node"), reps, texts).join(regions, "node").join(blocks, "region")
+            .join(reps.select("node", "slots", "n_shingles"), "node"))
+    return (_in_blocks(full, "region", ["group", "node", "slots", "n_shingles", "members"])
+            .mapInArrow(lambda batches: _each_block(batches, True), "a long, b long"))
+
+
+def _each_block(batches, verify: bool):
     import pyarrow as pa
 
+    def out(rows):
+        pairs = list(_forest(rows, verify))
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
     key, rows = None, []
     for batch in batches:
         for k, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
             if (k, i, j) != key:
-                yield _pairs_of(rows, pa)
+                if rows:
+                    yield out(rows)
                 key, rows = (k, i, j), []
             rows.append(row)
-    yield _pairs_of(rows, pa)
+    if rows:
+        yield out(rows)
 
 
-def _pairs_of(rows, pa):
+def _forest(rows, verify: bool):
+    """Pairs of a left and a right row in different components, with signatures that agree and,
+    on request, full sets that are similar; a pair whose ends the block has already joined is
+    passed over, so there are fewer pairs than rows."""
     import numpy as np
 
     left, right = [r for r in rows if r[0]], [r for r in rows if not r[0]]
-    a: list[int] = []
-    b: list[int] = []
-    if left and right:
-        g, n = (np.array([r[i] for r in right], dtype=np.int64) for i in (1, 2))
-        size = np.array([r[4] for r in right], dtype=np.int64)
-        slots = np.array([np.frombuffer(r[3], np.uint8) for r in right])
-        for _, group, node, own, count in left:
-            may = (g != group) & (100 * np.minimum(size, count) >= PERCENT * np.maximum(size, count))
-            which = np.nonzero(may)[0]
-            if len(which):
-                agree = (slots[which] == np.frombuffer(own, np.uint8)).mean(axis=1) >= LEAST_ESTIMATE
-                for other in n[which[agree]].tolist():
-                    a.append(max(node, other))
-                    b.append(min(node, other))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    if not left or not right:
+        return
+    parent: dict = {}
+    if verify:  # components known before are joined to begin with
+        for _, group, node, *_rest in rows:
+            union(parent, ("g", group), ("n", node))
+    size = np.array([r[4] for r in right], dtype=np.int64)
+    slots = np.array([np.frombuffer(r[3], np.uint8) for r in right])
+    groups = np.array([r[1] for r in right], dtype=np.int64)
+    sets = [np.frombuffer(r[5], np.uint64) for r in right] if verify else None
+    for _, group, node, own, count, *members in left:
+        may = (groups != group) & (100 * np.minimum(size, count) >= PERCENT * np.maximum(size, count))
+        which = np.nonzero(may)[0]
+        if not len(which):
+            continue
+        agree = (slots[which] == np.frombuffer(own, np.uint8)).mean(axis=1)
+        order = np.argsort(-agree, kind="stable")
+        mine = np.frombuffer(members[0], np.uint64) if verify else None
+        for i in which[order[agree[order] >= LEAST_ESTIMATE]].tolist():
+            other = right[i][2]
+            a, b = ("n", node), ("n", other)
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            if find(parent, a) != find(parent, b) and (not verify or similar(mine, sets[i])):
+                union(parent, a, b)
+                yield max(node, other), min(node, other)
