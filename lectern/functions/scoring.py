@@ -11,7 +11,9 @@ def _c(c) -> Column:
 
 
 def sigmoid(x) -> Column:
-    return 1.0 / (1.0 + F.exp(-_c(x)))
+    """Stable at any size: only ever takes ``exp`` of a negative number."""
+    e = F.exp(-F.abs(_c(x)))
+    return F.when(_c(x) >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
 
 
 def softmax(logits) -> Column:

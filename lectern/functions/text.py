@@ -23,7 +23,7 @@ FEWSHOT_SEP = " . "
 # ---------------------------------------------------------------------------------------------
 
 # Whitespace class for tokens, written out so that Java regex and RE2 (the SQL oracle) agree.
-TOKEN_SPLIT = r"[ \t\n\x0B\f\r]+"
+TOKEN = r"\[[A-Z]+\]|[^ \t\n\x0B\f\r\p{P}]+|\p{P}"
 LETTER_SPLIT = r"[^\p{L}]+"
 
 _REGEX_META = set("\\^$.|?*+()[]{}")
@@ -122,8 +122,10 @@ def model_text(c, sep_replacement: str = " [SEP] ") -> Column:
 
 
 def tokens(c) -> Column:
-    """Whitespace tokens of an already normalised text; ``[UNK]``/``[SEP]`` stay whole."""
-    return F.filter(F.split(_c(c), TOKEN_SPLIT), lambda x: x != "")
+    """Words and punctuation marks of an already normalised text. A bracketed special token
+    (``[UNK]``, ``[SEP]``) stays whole; any other punctuation mark is a token of its own, so
+    ``word`` and ``word.`` share a feature."""
+    return F.regexp_extract_all(_c(c), F.lit(TOKEN), F.lit(0))
 
 
 def letter_words(c) -> Column:

@@ -1,192 +1,139 @@
-"""Bag-of-words multinomial Naive Bayes, fitted and applied with DataFrame aggregations.
-
-A model is two tables: ``weights (keys…, token, weight)`` with the log-likelihood ratio
-of each training token, and ``bias (keys…, bias)`` with the smoothed log prior ratio.
-``keys`` identify the model, e.g. ``(category)`` for one model per category or
-``(category, fold)`` for cross-validation, so every category and fold is fitted in the
-same jobs. The class-1 score of a text is ``sigmoid(bias + sum of weights of its tokens)``;
-tokens never seen in training count 0. Any linear bag-of-words model (e.g. a fitted
-logistic regression over term counts) has the same form and is applied by ``score``.
-
-Data movement: the per-row assignment list (small) is joined to the text once; tokens
-and assignments are then exploded inside one stage and reduced by a map-side-combined
-``groupBy``. Weights are broadcast when their row count is checked small, otherwise the
-scoring join shuffles on ``(keys, token)`` with AQE splitting hot-token partitions.
+"""Bag-of-words multinomial Naive Bayes for many models at once, with DataFrame aggregations.
+
+Everything runs on one table of term counts ``(row_id, token, tf)``. Training rows carry a
+*cell* (e.g. category x fold); a model trains on a list of cells. One aggregate over the
+tokens gives the counts of every cell, and the models are array arithmetic inside the
+token's row: a k-fold model is the sum of the other folds' cells, a learning-curve model
+the sum of the first chunks. A fitted set of models is
+
+* ``weights (token, w array<double>)``: one row per token, one element per model;
+* ``bias (bias array<double>)``: one row.
+
+Scoring joins the term counts to the weights once, on ``token``, and reduces arrays per row,
+so the join does not grow with the number of models. No table is counted or persisted while
+a plan is built; whether the weights are broadcast is left to AQE, which sees their bytes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scoring as SC
 from ..functions import text as TF
-from .ranking import sized_broadcast
 
 ALPHA = 1.0
-MARGIN_LIMIT = 50.0
 
 
 def model_tokens(text_col: str = "text", sep_replacement: str = " [SEP] "):
     return TF.tokens(TF.model_text(F.col(text_col), sep_replacement))
 
 
-def _attach(texts: DataFrame, assign: DataFrame, cols) -> DataFrame:
-    """``texts`` rows with the list of their assignments (one shuffle of the text)."""
-    per_row = assign.groupBy("row_id").agg(F.collect_list(F.struct(*cols)).alias("_a"))
-    return texts.join(per_row, "row_id")
+def term_counts(texts: DataFrame, ids=("row_id",), text_col: str = "text") -> DataFrame:
+    """``(ids…, token, tf)``: the one table that fits and scores share."""
+    return (texts.select(*ids, F.explode(model_tokens(text_col)).alias("token"))
+            .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
+
 
+def _sum(cols: list[Column]) -> Column:
+    out = cols[0]
+    for c in cols[1:]:
+        out = out + c
+    return out
 
-def _token_assign_rows(texts: DataFrame, assign: DataFrame, cols, text_col: str, outer: bool) -> DataFrame:
-    joined = _attach(texts, assign, cols)
-    gen = F.explode_outer if outer else F.explode
-    t = joined.select("row_id", gen(model_tokens(text_col)).alias("token"), "_a")
-    return t.select("row_id", "token", F.explode("_a").alias("_x")).select("row_id", "token", "_x.*")
 
+def fit(tf: DataFrame, rows: DataFrame, n_cells: int, trains: list[list[int]], alpha: float = ALPHA,
+        mix: DataFrame | None = None, views: list[int] | None = None):
+    """``(weights, bias)`` of ``len(trains)`` models.
+
+    ``rows (row_id, cell, label)`` are the labelled rows; model ``m`` trains on the cells
+    ``trains[m]``. Without ``mix`` a token's log-likelihood ratio is smoothed by ``alpha``
+    uniformly over the model's own vocabulary. With ``mix (row_id, view)`` the models share
+    what the mixed rows of their view (``views[m]``) say about tokens: the smoothing mass,
+    ``alpha`` per token of the view's vocabulary, is spread by the mix's token distribution
+    (a row counts as often as it is mixed in).
+    """
+    cells = range(n_cells)
+    marked = rows.select("row_id", "cell", "label", F.lit(None).cast("int").alias("view"))
+    n_views = max(views) + 1 if mix is not None else 0
+    if mix is not None:
+        marked = marked.unionByName(mix.select("row_id", F.lit(None).cast("int").alias("cell"),
+                                               F.lit(None).cast("int").alias("label"), "view"))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    inc = {f"i{c}_{y}": count((F.col("cell") == c) & (F.col("label") == y)) for c in cells for y in (0, 1)}
+    inc |= {f"v{v}": count(F.col("view") == v) for v in range(n_views)}
+    per_row = marked.groupBy("row_id").agg(*[e.alias(k) for k, e in inc.items()])
+
+    tok = (tf.join(per_row, "row_id").groupBy("token")
+           .agg(*[F.sum(F.col("tf") * F.col(k)).alias(k) for k in inc]))
+    models = range(len(trains))
+    n = {(m, y): _sum([F.col(f"i{c}_{y}") for c in trains[m]]) for m in models for y in (0, 1)}
+    per = tok.select("token", *[n[m, y].alias(f"n{m}_{y}") for m in models for y in (0, 1)],
+                     *[f"v{v}" for v in range(n_views)])
+    seen = {m: (F.col(f"n{m}_1") + F.col(f"n{m}_0")) > 0 for m in models}
+    if mix is not None:  # the view's vocabulary: tokens of any of its models' training rows
+        groups = {v: [seen[m] for m in models if views[m] == v] for v in range(n_views)}
+        any_seen = {v: F.greatest(*[s.cast("int") for s in ss], F.lit(0)) > 0 for v, ss in groups.items()}
+        seen = {m: any_seen[views[m]] for m in models}
+    totals = per.agg(*[F.sum(f"n{m}_{y}").alias(f"t{m}_{y}") for m in models for y in (0, 1)],
+                     *[F.sum(seen[m].cast("long")).alias(f"size{m}") for m in models],
+                     *[F.sum(f"v{v}").alias(f"mixed{v}") for v in range(n_views)])
+    a = F.lit(alpha)
 
-def token_counts(train: DataFrame, texts: DataFrame, keys, label: str = "label",
-                 text_col: str = "text") -> DataFrame:
-    """``(keys…, label, token, n)``: token occurrences over each model's training rows."""
-    rows = _token_assign_rows(texts, train, list(keys) + [label], text_col, outer=False)
-    return rows.groupBy(*keys, label, "token").agg(F.count(F.lit(1)).alias("n"))
+    def ratio(m: int, y: int) -> Column:
+        size = F.col(f"size{m}")
+        if mix is None:
+            return (F.col(f"n{m}_{y}") + a) / (F.col(f"t{m}_{y}") + a * size)
+        share = (F.col(f"v{views[m]}") + 1) / (F.col(f"mixed{views[m]}") + size)
+        return (F.col(f"n{m}_{y}") + a * size * share) / (F.col(f"t{m}_{y}") + a * size)
+
+    weight = [F.when(seen[m], F.log(ratio(m, 1)) - F.log(ratio(m, 0))).otherwise(0.0) for m in models]
+    weights = per.join(F.broadcast(totals)).select("token", F.array(*weight).alias("w"))  # totals: one row
+    docs = per_row.agg(*[F.sum(k).alias(k) for k in inc])
+    bias = docs.select(F.array(*[F.log((F.coalesce(n[m, 1], F.lit(0)) + a) / (F.coalesce(n[m, 0], F.lit(0)) + a))
+                                 for m in models]).alias("bias"))
+    return weights, bias
 
 
-def doc_counts(train: DataFrame, keys, label: str = "label") -> DataFrame:
-    return train.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_docs"))
+def sums(tf: DataFrame, weights: DataFrame, n_models: int, ids=("row_id",)) -> DataFrame:
+    """``(ids…, s array<double>)``: each row's weight sum under every model."""
+    return (tf.join(weights, "token").groupBy(*ids)
+            .agg(F.array(*[F.sum(F.col("tf") * F.get("w", F.lit(m))) for m in range(n_models)]).alias("s")))
 
 
-def complement_folds(counts: DataFrame, k: int, count_col: str, fold: str = "fold") -> DataFrame:
-    """Counts per own fold -> counts of every fold model's training part (all other folds).
+def score(tf: DataFrame, rows: DataFrame, weights: DataFrame, bias: DataFrame, n_models: int,
+          threshold: float = 0.5, strict: bool = False) -> DataFrame:
+    """``rows (row_id, m, …)`` with ``margin, prob, pred`` under model ``m`` of each row.
 
-    Runs on aggregated counts, so the k-fold blow-up never touches token occurrences.
+    ``pred`` is ``prob >= threshold`` (``>`` with ``strict``). Rows without any known token
+    have the model's bias alone.
     """
-    others = [c for c in counts.columns if c not in (fold, count_col)]
-    e = (counts.withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(k))))
-         .where(F.col("_m") != F.col(fold)))
-    return (e.groupBy(*others, F.col("_m").alias(fold))
-            .agg(F.sum(count_col).alias(count_col)).select(*counts.columns))
+    per_row = sums(tf, weights, n_models)
+    out = (rows.join(per_row, "row_id", "left").join(F.broadcast(bias))  # bias: one row
+           .withColumn("margin", F.get("bias", F.col("m")) + F.coalesce(F.get("s", F.col("m")), F.lit(0.0)))
+           .drop("s", "bias"))
+    return (out.withColumn("prob", SC.sigmoid("margin"))
+            .withColumn("pred", SC.decide(F.col("prob"), threshold, strict)))
 
 
-def nested_counts(counts: DataFrame, count_col: str, chunk: int, level: str = "chunk_idx",
-                  top: str = "n_chunks", out: str = "train_size") -> DataFrame:
-    """Counts per chunk -> counts of every nested subset (chunks ``1..j``, size ``j*chunk``).
+def long_weights(weights: DataFrame, names: list[str], key: str = "category") -> DataFrame:
+    """``(key, token, weight)``, one row per token and model, for storage by model."""
+    named = F.array(*[F.lit(x) for x in names])
+    return (weights.select("token", F.posexplode("w").alias("m", "weight"))
+            .select(F.get(named, F.col("m")).alias(key), "token", "weight"))
 
-    Prefix sums taken on aggregated counts, so token occurrences are counted once.
-    """
-    others = [c for c in counts.columns if c not in (level, top, count_col)]
-    e = counts.withColumn("_j", F.explode(F.sequence(level, top)))
-    return (e.groupBy(*others, (F.col("_j") * chunk).cast("int").alias(out))
-            .agg(F.sum(count_col).alias(count_col)))
 
+def wide_weights(long_form: DataFrame, names: list[str], key: str = "category") -> DataFrame:
+    """The inverse of :func:`long_weights`; a token a model lacks weighs 0."""
+    return long_form.groupBy("token").agg(F.array(*[
+        F.coalesce(F.max(F.when(F.col(key) == x, F.col("weight"))), F.lit(0.0)) for x in names]).alias("w"))
 
-def fit_nested(chunk_counts: DataFrame, chunk_docs: DataFrame, needed: DataFrame, chunk: int,
-               part: str = "category", label: str = "label", alpha: float = ALPHA):
-    """Models for nested subsets (chunks ``1..j``) from counts per chunk.
 
-    Only the weights of tokens in ``needed (part, token)`` (e.g. the tokens of the rows to
-    score) are expanded to every subset model; each model's token totals and vocabulary
-    size come from prefix sums over per-chunk aggregates, so nothing vocabulary-sized is
-    multiplied by the number of models.
-    """
-    lab = F.col(label)
-    lvl = ["chunk_idx", "n_chunks"]
-    n1 = F.sum(F.when(lab == 1, F.col("n")).otherwise(0))
-    n0 = F.sum(F.when(lab == 0, F.col("n")).otherwise(0))
-    tot = chunk_counts.groupBy(part, *lvl).agg(n1.alias("tot1"), n0.alias("tot0"))
-    first = (chunk_counts.groupBy(part, "n_chunks", "token").agg(F.min("chunk_idx").alias("chunk_idx"))
-             .groupBy(part, *lvl).agg(F.count(F.lit(1)).alias("vocab_size")))
-    docs = chunk_docs.groupBy(part, *lvl).agg(
-        F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
-        F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
-    # Union of the three small per-chunk aggregates, reduced once (no full outer joins).
-    vals = ["tot1", "tot0", "vocab_size", "docs1", "docs0"]
-
-    def padded(df):
-        return df.select(part, *lvl, *[(F.col(v) if v in df.columns else F.lit(0)).cast("long").alias(v)
-                                      for v in vals])
-    per_chunk = (padded(tot).unionByName(padded(first)).unionByName(padded(docs))
-                 .groupBy(part, *lvl).agg(*[F.sum(v).alias(v) for v in vals]))
-    e = per_chunk.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
-    head = (e.groupBy(part, (F.col("_j") * chunk).cast("int").alias("train_size"))
-            .agg(*[F.sum(c).alias(c) for c in ("tot1", "tot0", "vocab_size", "docs1", "docs0")]))
-    keys = [part, "train_size"]
-    kept = chunk_counts.join(sized_broadcast(needed), [part, "token"], "left_semi")
-    per_tok = (nested_counts(kept, "n", chunk)
-               .groupBy(*keys, "token").agg(
-                   F.sum(F.when(lab == 1, F.col("n")).otherwise(0)).alias("n1"),
-                   F.sum(F.when(lab == 0, F.col("n")).otherwise(0)).alias("n0")))
-    return _weights_bias(per_tok, head, keys, alpha)
-
-
-def _weights_bias(per_tok: DataFrame, head: DataFrame, keys, alpha: float, n_models: int | None = None):
-    a = F.lit(alpha)
-    c = F.col
-    weight = (F.log((c("n1") + a) / (c("tot1") + a * c("vocab_size")))
-              - F.log((c("n0") + a) / (c("tot0") + a * c("vocab_size"))))
-    weights = (per_tok.join(sized_broadcast(head, known_bound=n_models), keys)
-               .select(*keys, "token", weight.alias("weight")))
-    bias = head.select(*keys, F.log((c("docs1") + a) / (c("docs0") + a)).alias("bias"))
-    return weights, bias
+def long_bias(bias: DataFrame, names: list[str], key: str = "category") -> DataFrame:
+    named = F.array(*[F.lit(x) for x in names])
+    return (bias.select(F.posexplode("bias").alias("m", "bias"))
+            .select(F.get(named, F.col("m")).alias(key), "bias"))
 
 
-def fit(counts: DataFrame, docs: DataFrame, keys, label: str = "label", alpha: float = ALPHA,
-        n_models: int | None = None):
-    """``(weights, bias)`` from token and document counts."""
-    keys = list(keys)
-    lab = F.col(label)
-    per_tok = counts.groupBy(*keys, "token").agg(
-        F.sum(F.when(lab == 1, F.col("n")).otherwise(0)).alias("n1"),
-        F.sum(F.when(lab == 0, F.col("n")).otherwise(0)).alias("n0"))
-    totals = per_tok.groupBy(*keys).agg(F.sum("n1").alias("tot1"), F.sum("n0").alias("tot0"),
-                                        F.count(F.lit(1)).alias("vocab_size"))
-    priors = docs.groupBy(*keys).agg(
-        F.sum(F.when(lab == 1, F.col("n_docs")).otherwise(0)).alias("docs1"),
-        F.sum(F.when(lab == 0, F.col("n_docs")).otherwise(0)).alias("docs0"))
-    return _weights_bias(per_tok, totals.join(priors, keys), keys, alpha, n_models)
-
-
-def score(assign: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFrame, keys,
-          carry=("label",), text_col: str = "text", threshold: float = 0.5,
-          strict: bool = False, n_models: int | None = None) -> DataFrame:
-    """``(row_id, keys…, carry…, margin, prob, pred)`` for every assigned row.
-
-    ``pred`` is ``prob >= threshold`` (``>`` with ``strict``).
-    """
-    keys, carry = list(keys), list(carry)
-    rows = _token_assign_rows(texts, assign, keys + carry, text_col, outer=True)
-    w = sized_broadcast(weights)
-    hit = rows.join(w, keys + ["token"], "left")
-    summed = hit.groupBy("row_id", *keys, *carry).agg(F.sum(F.coalesce("weight", F.lit(0.0))).alias("_s"))
-    b = sized_broadcast(bias, known_bound=n_models)
-    margin = F.coalesce(F.col("bias"), F.lit(0.0)) + F.col("_s")
-    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), margin))
-    out = summed.join(b, keys, "left").withColumn("margin", margin)
-    prob = 1.0 / (1.0 + F.exp(-F.col("margin")))
-    cmp = (prob > threshold) if strict else (prob >= threshold)
-    return (out.withColumn("prob", prob).withColumn("pred", cmp.cast("int"))
-            .select("row_id", *keys, *carry, "margin", "prob", "pred"))
-
-
-def score_all_models(rows: DataFrame, texts: DataFrame, weights: DataFrame, bias: DataFrame,
-                     part: str = "category", model: str = "train_size", label: str = "label",
-                     text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Scores every row of a ``part`` under every model of that part (e.g. a fixed test set
-    under all learning-curve models).
-
-    Term frequencies per row are joined to the weights on ``(part, token)``, so only
-    (row, model) pairs that share a token are produced; the bias grid (rows x models)
-    supplies rows without any known token.
-    """
-    keys = ["row_id", part, label, model]
-    tok = _token_assign_rows(texts, rows, [part, label], text_col, outer=False)
-    tf = tok.groupBy("row_id", part, label, "token").agg(F.count(F.lit(1)).alias("_tf"))
-    hits = (tf.join(weights, [part, "token"])
-            .select(*keys, (F.col("_tf") * F.col("weight")).alias("_v"), F.lit(None).cast("double").alias("bias")))
-    grid = (rows.select("row_id", part, label).join(sized_broadcast(bias), part)
-            .select(*keys, F.lit(0.0).alias("_v"), "bias"))
-    # One reduction over grid rows and weighted token hits: no join after the aggregate.
-    summed = hits.unionByName(grid).groupBy(*keys).agg(F.sum("_v").alias("_s"), F.max("bias").alias("bias"))
-    margin = F.greatest(F.lit(-MARGIN_LIMIT), F.least(F.lit(MARGIN_LIMIT), F.col("bias") + F.col("_s")))
-    out = summed.withColumn("margin", margin)
-    prob = 1.0 / (1.0 + F.exp(-F.col("margin")))
-    return (out.withColumn("prob", prob).withColumn("pred", (prob >= threshold).cast("int"))
-            .select("row_id", part, model, label, "margin", "prob", "pred"))
+def wide_bias(long_form: DataFrame, names: list[str], key: str = "category") -> DataFrame:
+    return long_form.agg(F.array(*[F.max(F.when(F.col(key) == x, F.col("bias"))) for x in names]).alias("bias"))

@@ -1,19 +1,19 @@
 """Spark ML classifiers as plug-ins: one shared feature pipeline, one logistic head per category.
 
-Features (term counts -> IDF) are fitted once on all training rows and shared by every
-head, as in the multi-label and multi-task set-ups; each head is a ``LogisticRegression``
-fitted on its category's training rows. Heads are independent Spark jobs submitted from a
-small driver thread pool (the category list is bounded), and scoring stays in the JVM.
+Features (hashed term counts -> IDF) are fitted once on all training rows and shared by every
+head, as in the multi-label and multi-task set-ups. Hashing needs no vocabulary, so no token
+is left out and nothing vocabulary-sized reaches the driver. Each head is a
+``LogisticRegression`` fitted on its category's training rows; heads are independent Spark
+jobs submitted from a small driver thread pool (the category list is bounded).
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from . import bayes as NB
 
 
-def feature_pipeline(vocab_size: int = 1 << 18, min_df: float = 1.0) -> Pipeline:
+def feature_pipeline(n_features: int = 1 << 18) -> Pipeline:
     return Pipeline(stages=[
-        CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=min_df),
+        HashingTF(inputCol="tokens", outputCol="tf", numFeatures=n_features),
         IDF(inputCol="tf", outputCol="features")])
 
 
@@ -36,12 +36,15 @@ def fit_features(texts: DataFrame, train_rows: DataFrame, **kw) -> PipelineModel
     return feature_pipeline(**kw).fit(rows)
 
 
-def fit_heads(features: DataFrame, train: DataFrame, categories, max_iter: int = 20,
-              reg_param: float = 0.0, parallelism: int = 4) -> dict:
-    """``{category: LogisticRegressionModel}`` from ``(row_id, features)`` and long train rows."""
+def featurize(model: PipelineModel, texts: DataFrame) -> DataFrame:
+    return model.transform(with_tokens(texts)).select("row_id", "features")
+
+
+def fit_heads(train: DataFrame, categories, max_iter: int = 20, reg_param: float = 0.0,
+              parallelism: int = 4) -> dict:
+    """``{category: LogisticRegressionModel}`` from staged long rows ``(category, label, features)``."""
     def one(cat):
-        rows = (train.where(F.col("category") == cat).select("row_id", F.col("label").cast("double"))
-                .join(features, "row_id"))
+        rows = train.where(F.col("category") == cat).select(F.col("label").cast("double"), "features")
         return cat, LogisticRegression(maxIter=max_iter, regParam=reg_param, labelCol="label",
                                        featuresCol="features").fit(rows)
 
@@ -49,23 +52,17 @@ def fit_heads(features: DataFrame, train: DataFrame, categories, max_iter: int =
         return dict(pool.map(one, list(categories)))
 
 
-def score_heads(heads: dict, features: DataFrame, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``(row_id, category, label, prob, pred)`` for the long ``rows`` of every head's category."""
+def score_heads(heads: dict, rows: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``(row_id, category, label, prob, pred)`` for the long ``rows`` (with ``features``)."""
     out = None
     for cat, model in heads.items():
-        part = (rows.where(F.col("category") == cat).join(features, "row_id"))
-        scored = model.transform(part).select(
+        scored = model.transform(rows.where(F.col("category") == cat)).select(
             "row_id", "category", "label",
             vector_to_array(F.col("probability")).getItem(1).alias("prob"))
         out = scored if out is None else out.unionByName(scored)
     return out.withColumn("pred", (F.col("prob") >= threshold).cast("int"))
 
 
-def featurize(model: PipelineModel, texts: DataFrame) -> DataFrame:
-    feats = model.transform(with_tokens(texts)).select("row_id", "features")
-    return feats.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def save_heads(feature_model: PipelineModel, heads: dict, path: str) -> None:
     """One directory per fitted model; nothing is overwritten between folds or categories."""
     feature_model.write().overwrite().save(f"{path}/features")

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import templates as TP
-from .ranking import sized_broadcast
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
 
@@ -25,9 +24,9 @@ def _msg(role: str, content: Column) -> Column:
 
 
 def render(df: DataFrame, templates: DataFrame, text_col: str = "text", category_col: str = "category",
-           n_templates: int | None = None, out_col: str = "messages") -> DataFrame:
+           out_col: str = "messages") -> DataFrame:
     """Adds the six-message chat for each row's category (templates broadcast; one per category)."""
-    t = sized_broadcast(templates.withColumnRenamed("category", category_col), known_bound=n_templates)
+    t = F.broadcast(templates.withColumnRenamed("category", category_col))  # one row per category
     task = F.replace(F.replace(F.lit(TP.TASK_TEXT), F.lit("{title}"), F.col("title")),
                      F.lit("{question}"), F.col("question"))
     examples = F.replace(F.replace(F.lit(TP.EXAMPLES_TEXT), F.lit("{yes_example}"), F.col("yes_example")),
@@ -49,14 +48,15 @@ def prompt_text(messages: Column) -> Column:
 
 def generate(df: DataFrame, generator: Callable[[pd.DataFrame], pd.Series],
              id_cols=("row_id", "category"), messages_col: str = "messages",
-             out_col: str = "chat") -> DataFrame:
+             out_col: str = "chat", text_col: str = "text") -> DataFrame:
     """Runs ``generator`` on Arrow batches and appends its answer as a seventh message.
 
     Rows pass through the Python step unchanged (no join back, no second scan); only
-    the answer column is added.
+    the answer column is added. ``text_col`` is dropped first: the last message holds it.
     """
     from ..session import ship_package
     ship_package(df.sparkSession)
+    df = df.drop(text_col)
     schema = T.StructType(df.schema.fields + [T.StructField("_answer", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

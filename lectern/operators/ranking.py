@@ -1,15 +1,10 @@
-"""Deterministic shuffle keys, exact ranks without one giant task, size-checked broadcast."""
+"""Deterministic shuffle keys, exact ranks without one giant task, tables staged on shared storage."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest dimension table sent to every executor. Above it the join shuffles instead.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def shuffle_key(seed: int, *parts) -> Column:
     """``md5('seed|part|…')``: a uniform order that does not depend on partitioning.
 
@@ -20,27 +15,8 @@ def shuffle_key(seed: int, *parts) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def sized_broadcast(df: DataFrame, max_rows: int | None = None,
-                    known_bound: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven small.
-
-    ``known_bound`` is a static upper bound (e.g. categories x buckets); without one the
-    table is persisted (on disk, so execution memory stays free) and counted. Larger
-    tables are returned as they are, so the join falls back to a shuffle join (AQE may
-    still pick broadcast at runtime).
-    """
-    if max_rows is None:
-        max_rows = BROADCAST_MAX_ROWS
-    if known_bound is not None and known_bound <= max_rows:
-        return F.broadcast(df)
-    df = df.persist(StorageLevel.DISK_ONLY)
-    if df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def exact_rank(df: DataFrame, part_cols, key_col: str, lead_cols=(), out: str = "rank",
-               total: str | None = None, n_hex: int = 3, part_bound: int | None = None) -> DataFrame:
+               total: str | None = None, n_hex: int = 3) -> DataFrame:
     """``row_number() over (partition by part order by lead…, key)``, computed in parallel.
 
     A plain window puts each partition (e.g. one category/label stratum holding a third of
@@ -50,8 +26,9 @@ def exact_rank(df: DataFrame, part_cols, key_col: str, lead_cols=(), out: str =
     and each row's rank is its offset plus its ``row_number`` inside its bucket. Up to
     ``16**n_hex`` tasks share every stratum; the result equals the plain window exactly.
 
-    ``total`` names an optional column with the partition size. ``part_bound`` is a
-    static bound on the number of distinct ``part_cols + lead_cols`` values.
+    Nulls in the partition columns are a partition of their own (null-safe join). The
+    offsets meet the rows on the keys that the window needs anyway, so the join adds no
+    shuffle of the rows. ``total`` names an optional column with the partition size.
     """
     part_cols, lead_cols = list(part_cols), list(lead_cols)
     bucket = "_rank_bucket"
@@ -64,38 +41,40 @@ def exact_rank(df: DataFrame, part_cols, key_col: str, lead_cols=(), out: str =
     if total:
         cols.append(F.sum("_n").over(Window.partitionBy(*part_cols)).alias(total))
     offsets = counts.select(*cols)
-    bound = None if part_bound is None else part_bound * 16 ** n_hex
-    offsets = sized_broadcast(offsets, known_bound=bound)
     inside = Window.partitionBy(*grp).orderBy(key_col)
-    return (keyed.join(offsets, grp)
+    there = offsets.select(*[F.col(c).alias(f"_o_{i}") for i, c in enumerate(grp)],
+                           *[c for c in offsets.columns if c not in grp])
+    match = [F.col(c).eqNullSafe(F.col(f"_o_{i}")) for i, c in enumerate(grp)]
+    return (keyed.join(there, match)
             .withColumn(out, F.col("_off") + F.row_number().over(inside))
-            .drop(bucket, "_off"))
+            .drop(bucket, "_off", *[f"_o_{i}" for i in range(len(grp))]))
 
 
 def global_index(df: DataFrame, order_cols, out: str = "idx", n_parts: int | None = None) -> DataFrame:
     """Dense 1-based position of every row in a total order, without a one-task window.
 
-    Range-partition and sort, pin the result with ``checkpoint`` (shared folder, survives
+    Range-partition and sort, pin the result as a table in the shared folder (survives
     executor loss), then position = offset of the partition (small table of partition
     sizes) + position inside it.
     """
-    spark = df.sparkSession
-    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pinned = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).checkpoint()
-    pid = F.spark_partition_id()
-    tagged = pinned.withColumn("_pid", pid).withColumn("_mid", F.monotonically_increasing_id())
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pinned = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+    pinned = materialize(pinned.withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
+    sizes = pinned.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", "_first", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (tagged.join(F.broadcast(offsets), "_pid")
+    return (pinned.join(F.broadcast(offsets), "_pid")  # one row per partition
             .withColumn(out, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
             .drop("_pid", "_mid", "_off", "_first"))
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared checkpoint folder and reads it back: cuts the lineage of a
-    table that several later jobs reuse (e.g. a split assignment), so it is computed once
-    and a lost executor does not force recomputing it."""
-    from ..session import shared_dir
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` as Parquet to the shared checkpoint folder and reads it back: cuts the
+    lineage of a table that several later jobs reuse (e.g. a split assignment), so it is
+    computed once and a lost executor does not force recomputing it."""
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 All splits work on the long form ``(row_id, category, label, …)`` so every category is
 split in the same job. Orders come from md5 keys (``ranking.shuffle_key``), ranks from
-``ranking.exact_rank``; per-stratum quotas are computed on tiny aggregate tables that
-are broadcast (their size is bounded by categories x labels).
+``ranking.exact_rank``; per-stratum quotas are computed on tiny aggregate tables (their
+size is bounded by categories x labels, so AQE broadcasts them). Rows with a null category
+or label are strata of their own: no row is lost.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import exact_rank, shuffle_key, sized_broadcast
+from .ranking import exact_rank, shuffle_key
 
 TRAIN, TEST = "train", "test"
 
@@ -46,19 +47,17 @@ def stratified_quota(strata: DataFrame, share, part: str = "category", label: st
 
 
 def holdout_stratified(long_df: DataFrame, share=Fraction(1, 6), seed: int = 1,
-                       part: str = "category", label: str = "label", row_id: str = "row_id",
-                       n_parts: int | None = None) -> DataFrame:
+                       part: str = "category", label: str = "label", row_id: str = "row_id") -> DataFrame:
     """One stratified train/test split per category; adds ``split`` and ``rank``."""
     keyed = long_df.withColumn("_key", shuffle_key(seed, "holdout", F.col(part), F.col(row_id)))
     strata = keyed.groupBy(part, label).agg(F.count(F.lit(1)).alias("n_c"))
-    quota = sized_broadcast(stratified_quota(strata, share, part, label),
-                            known_bound=None if n_parts is None else 2 * n_parts)
-    ranked = exact_rank(keyed, [part, label], "_key", out="_rank",
-                        part_bound=None if n_parts is None else 2 * n_parts)
-    return (ranked.join(quota.select(part, label, "test_quota"), [part, label])
+    quota = stratified_quota(strata, share, part, label)
+    ranked = exact_rank(keyed, [part, label], "_key", out="_rank")
+    quota = quota.select(F.col(part).alias("_q_part"), F.col(label).alias("_q_label"), "test_quota")
+    return (ranked.join(quota, F.col(part).eqNullSafe(F.col("_q_part")) & F.col(label).eqNullSafe(F.col("_q_label")))
             .withColumn("split", F.when(F.col("_rank") <= F.col("test_quota"), F.lit(TEST))
                         .otherwise(F.lit(TRAIN)))
-            .drop("_key", "_rank", "test_quota"))
+            .drop("_key", "_rank", "test_quota", "_q_part", "_q_label"))
 
 
 def holdout_plain(rows: DataFrame, share=Fraction(1, 6), seed: int = 1,
@@ -66,20 +65,18 @@ def holdout_plain(rows: DataFrame, share=Fraction(1, 6), seed: int = 1,
     """One split for all categories (multi-label: label sets cannot be stratified)."""
     s = _fraction(share)
     keyed = rows.withColumn("_key", shuffle_key(seed, "holdout", F.col(row_id)))
-    ranked = exact_rank(keyed, [], "_key", out="_rank", total="_n", part_bound=1)
+    ranked = exact_rank(keyed, [], "_key", out="_rank", total="_n")
     n_test = F.expr(f"(_n * {s.numerator} + {s.denominator - 1}) div {s.denominator}")
     return (ranked.withColumn("split", F.when(F.col("_rank") <= n_test, F.lit(TEST)).otherwise(F.lit(TRAIN)))
             .drop("_key", "_rank", "_n"))
 
 
 def kfold_stratified(train_long: DataFrame, k: int = 5, seed: int = 1, part: str = "category",
-                     label: str = "label", row_id: str = "row_id",
-                     n_parts: int | None = None) -> DataFrame:
+                     label: str = "label", row_id: str = "row_id") -> DataFrame:
     """Stratified k folds per category: rows sorted by (label, key) are dealt round-robin,
     so fold sizes differ by at most one overall and within each class."""
     keyed = train_long.withColumn("_key", shuffle_key(seed, "kfold", F.col(part), F.col(row_id)))
-    ranked = exact_rank(keyed, [part], "_key", lead_cols=[label], out="_rank",
-                        part_bound=None if n_parts is None else 2 * n_parts)
+    ranked = exact_rank(keyed, [part], "_key", lead_cols=[label], out="_rank")
     return (ranked.withColumn("fold", (F.pmod(F.col("_rank") - 1, F.lit(k)) + 1).cast("int"))
             .drop("_key", "_rank"))
 
@@ -87,7 +84,7 @@ def kfold_stratified(train_long: DataFrame, k: int = 5, seed: int = 1, part: str
 def kfold_plain(train_rows: DataFrame, k: int = 5, seed: int = 1, row_id: str = "row_id") -> DataFrame:
     """``ntile(k)`` over the key order: the first ``n mod k`` folds get one more row."""
     keyed = train_rows.withColumn("_key", shuffle_key(seed, "kfold", F.col(row_id)))
-    ranked = exact_rank(keyed, [], "_key", out="_rank", total="_n", part_bound=1)
+    ranked = exact_rank(keyed, [], "_key", out="_rank", total="_n")
     fold = F.expr(f"""CASE WHEN _rank <= (_n % {k}) * (_n div {k} + 1)
                            THEN (_rank - 1) div (_n div {k} + 1) + 1
                            ELSE (_n % {k}) + (_rank - (_n % {k}) * (_n div {k} + 1) - 1) div (_n div {k}) + 1
@@ -105,47 +102,45 @@ def fold_views(folded: DataFrame, k: int = 5, fold: str = "fold") -> DataFrame:
             .withColumn("role", F.when(F.col(fold) == F.col("view"), F.lit("val")).otherwise(F.lit("train"))))
 
 
-def subset_chunks(train_long: DataFrame, chunk: int, seed: int = 1, part: str = "category",
-                  row_id: str = "row_id", n_parts: int | None = None) -> DataFrame:
-    """Each training row's chunk ``chunk_idx`` (1-based, by shuffled rank) and the number of
-    whole chunks ``n_chunks`` of its category; remainder rows (``chunk_idx > n_chunks``)
-    are dropped. Subset ``j`` is the union of chunks ``1..j``."""
+def subset_chunks(train_long: DataFrame, steps: int = 5, seed: int = 1, part: str = "category",
+                  row_id: str = "row_id") -> DataFrame:
+    """Each training row's chunk ``chunk_idx`` (1 to ``steps``, by shuffled rank) and its
+    category's ``chunk_rows`` = n div steps. Remainder rows are in no chunk. Subset ``j`` is
+    the union of chunks ``1..j``, so the number of subsets does not follow the data (the
+    reference's five steps of 500 over 2,500 rows)."""
     keyed = train_long.withColumn("_key", shuffle_key(seed, "subset", F.col(part), F.col(row_id)))
-    ranked = exact_rank(keyed, [part], "_key", out="_rank", total="_n",
-                        part_bound=n_parts)
-    return (ranked.withColumn("chunk_idx", F.expr(f"(_rank + {chunk - 1}) div {chunk}").cast("int"))
-            .withColumn("n_chunks", F.expr(f"_n div {chunk}").cast("int"))
-            .where(F.col("chunk_idx") <= F.col("n_chunks"))
+    ranked = exact_rank(keyed, [part], "_key", out="_rank", total="_n")
+    return (ranked.withColumn("chunk_rows", F.expr(f"_n div {steps}").cast("int"))
+            .where(F.col("_rank") <= F.col("chunk_rows") * steps)
+            .withColumn("chunk_idx", F.expr("(_rank + chunk_rows - 1) div chunk_rows").cast("int"))
             .drop("_key", "_rank", "_n"))
 
 
-def growing_subsets(train_long: DataFrame, chunk: int, seed: int = 1, part: str = "category",
-                    row_id: str = "row_id", n_parts: int | None = None) -> DataFrame:
-    """Nested training subsets of ``chunk``, ``2*chunk``, … rows per category.
-
-    A row of shuffled rank ``r`` belongs to every subset of size ``>= r``; the count of
-    subsets is ``floor(n / chunk)`` and the remainder rows are in none.
-    """
-    chunks = subset_chunks(train_long, chunk, seed, part, row_id, n_parts)
-    return (chunks.withColumn("_j", F.explode(F.sequence("chunk_idx", "n_chunks")))
-            .withColumn("train_size", (F.col("_j") * chunk).cast("int"))
-            .drop("_j", "chunk_idx", "n_chunks"))
+def growing_subsets(train_long: DataFrame, steps: int = 5, seed: int = 1, part: str = "category",
+                    row_id: str = "row_id") -> DataFrame:
+    """Nested training subsets of one to ``steps`` chunks per category: a row of chunk ``i``
+    belongs to the subsets ``i..steps``; the remainder rows are in none."""
+    chunks = subset_chunks(train_long, steps, seed, part, row_id)
+    return (chunks.withColumn("_j", F.explode(F.sequence(F.col("chunk_idx"), F.lit(steps))))
+            .withColumn("train_size", (F.col("_j") * F.col("chunk_rows")).cast("int"))
+            .drop("_j", "chunk_idx", "chunk_rows"))
 
 
 def task_mix(train_long: DataFrame, categories, seed: int = 1, part: str = "category",
-             row_id: str = "row_id") -> DataFrame:
+             row_id: str = "row_id", within: str | None = None) -> DataFrame:
     """Even mixing over categories: each category contributes as many rows as the smallest
-    one, interleaved one row per category at a time (``mix_pos``)."""
+    one, interleaved one row per category at a time (``mix_pos``). ``within`` names a column
+    (e.g. a fold view) that gets a mix of its own per value."""
+    keys = [part] + ([within] if within else [])
     keyed = train_long.withColumn("_key", shuffle_key(seed, "mix", F.col(part), F.col(row_id)))
-    ranked = exact_rank(keyed, [part], "_key", out="mix_rank", total="_n", part_bound=len(categories))
-    sizes = ranked.groupBy(part).agg(F.first("_n").alias("_n"))
-    smallest = sized_broadcast(sizes.select(part, F.min("_n").over(Window.partitionBy()).alias("_min")),
-                               known_bound=len(categories))
+    ranked = exact_rank(keyed, keys, "_key", out="mix_rank")
+    sizes = train_long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))  # one row per category (and view)
+    smallest = sizes.groupBy(*keys[1:]).agg(F.min("_n").alias("_min"))
     ordinal = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col(part))
-    return (ranked.join(smallest, part)
-            .where(F.col("mix_rank") <= F.col("_min"))
+    joined = ranked.join(smallest, within) if within else ranked.join(F.broadcast(smallest))  # one row
+    return (joined.where(F.col("mix_rank") <= F.col("_min"))
             .withColumn("mix_pos", (F.col("mix_rank") - 1) * len(categories) + ordinal)
-            .drop("_key", "_n", "_min"))
+            .drop("_key", "_min"))
 
 
 def check_partition(rows: DataFrame, split_df: DataFrame, part: str = "category",

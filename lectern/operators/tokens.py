@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as TF
-from .ranking import global_index, sized_broadcast
+from .ranking import global_index
 
 # Special tokens and their ids.
 SPECIAL_IDS = {"[PAD]": 0, "[UNK]": 1, "[CLS]": 2, "[SEP]": 3}
@@ -58,20 +58,20 @@ def token_ids(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "r
               text_col: str = "text", keep=()) -> DataFrame:
     """``(id, keep…, n_tokens, input_ids, attention_mask)`` for every row of ``df``.
 
-    Tokens are looked up in the vocabulary with a left join (broadcast when the
-    vocabulary is checked small); unknown tokens get ``[UNK]``. The whole text is
+    Tokens are looked up in the vocabulary with a left join (AQE broadcasts a small
+    vocabulary); unknown tokens get ``[UNK]``. The whole text is
     tokenised; ``n_tokens`` is its full length before truncation.
     """
     toks = df.select(id_col, *keep, text_tokens(F.col(text_col)).alias("_t"))
     # The whole text is tokenised and counted (``n_tokens``); only the positions that fit
     # the fixed length are looked up, so the vocabulary join never grows with document length.
     pos_tok = (toks.select(id_col, *keep, F.size("_t").alias("n_tokens"),
-                           F.posexplode_outer(F.slice("_t", 1, max_length - 2)).alias("pos", "token")))
-    v = sized_broadcast(vocab.select("token", "token_id"))
-    ided = pos_tok.join(v, "token", "left").withColumn(
+                           F.posexplode_outer(F.slice("_t", 1, max_length - 2)).alias("_at", "token")))
+    ided = pos_tok.join(vocab.select("token", "token_id"), "token", "left").withColumn(
         "_id", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK)))
-    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "_id")))
-    grouped = ided.groupBy(id_col, *keep, "n_tokens").agg(F.sort_array(pairs).alias("_p"))
+    pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_at", "_id")))
+    carried = [F.first(c).alias(c) for c in (*keep, "n_tokens")]  # the same on all of a row's tokens
+    grouped = ided.groupBy(id_col).agg(F.sort_array(pairs).alias("_p"), *carried)
     ids = F.transform(F.col("_p"), lambda p: p["_id"])
     fx = fixed_length(ids, max_length)
     return grouped.select(id_col, *keep, "n_tokens",

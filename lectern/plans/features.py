@@ -85,3 +85,25 @@ def token_ids_multi_hot(spark, sf_dir):
     t = TK.token_ids(rows, vocab(spark, sf_dir), MAX_LENGTH, keep=("hot",))
     return t.select("row_id", "n_tokens", F.array_join("input_ids", ",").alias("input_ids"),
                     F.array_join(F.transform("hot", lambda x: x.cast("int").cast("string")), ",").alias("labels"))
+
+
+@register("token_ids_context", "WITH " + SQL_VOCAB + f""",
+sa AS (SELECT doc_id, {S.sentence_array(S.clean('text'))} AS arr FROM documents),
+ss AS (SELECT doc_id, i - 1 AS pos, arr[i - 1] AS pre, arr[i] AS sentence, arr[i + 1] AS post
+       FROM (SELECT doc_id, arr, unnest(generate_series(1, len(arr))) AS i FROM sa)),
+src AS (SELECT doc_id * 100000 + pos AS row_id, doc_id, pos,
+               concat_ws(' ', coalesce(CASE WHEN pos > 0 THEN pre END, ''), coalesce(sentence, ''), coalesce(post, '')) AS text FROM ss)"""
+          + sql_token_ids("src", "row_id", 512) + """
+SELECT src.doc_id, CAST(src.pos AS INTEGER) AS pos, n_tokens, CAST(len(input_ids) AS INTEGER) AS length,
+       md5(array_to_string(input_ids, ',')) AS input_ids_md5
+FROM tk JOIN src ON tk.row_id = src.row_id
+""")
+def token_ids_context(spark, sf_dir):
+    """Ids of every sentence with its neighbours, at the length that goes with context (512)."""
+    from ..operators import sentences as SO
+    rows = SO.sentences_with_context(SO.clean_documents(ST.documents(spark, sf_dir)))
+    rows = SO.model_input(rows, single_sentence=False).select(
+        (F.col("doc_id") * 100000 + F.col("pos")).alias("row_id"), "doc_id", "pos", "text")
+    t = TK.token_ids(rows, vocab(spark, sf_dir), SO.max_length_for(False), keep=("doc_id", "pos"))
+    return t.select("doc_id", "pos", "n_tokens", F.size("input_ids").alias("length"),
+                    F.md5(F.array_join("input_ids", ",")).alias("input_ids_md5"))

@@ -41,8 +41,7 @@ def test_rows(spark, sf_dir, h=None):
 
 
 def rendered(spark, sf_dir, h=None):
-    return PR.render(test_rows(spark, sf_dir, h), TP.template_table(spark),
-                     n_templates=len(TP.REVIEW_TEMPLATES) + len(TP.DATA_TEMPLATES))
+    return PR.render(test_rows(spark, sf_dir, h), TP.template_table(spark))
 
 
 def labelled(spark, sf_dir, h=None):
@@ -101,6 +100,52 @@ def fewshot_labels(spark, sf_dir):
     return labelled(spark, sf_dir).select("row_id", "category", "gen_label", "gen_label_bool")
 
 
+# Every document gets one of the twelve review categories, by a hash of its key.
+_REVIEW = [t[0] for t in TP.REVIEW_TEMPLATES]
+_SQL_REVIEW_CATEGORY = ("[" + ", ".join(S.q(c) for c in _REVIEW) + "][1 + CAST(('0x' || substr("
+                        + S.md5_key(Q.SEED, "'review'", "doc_id") + f", 1, 6)) AS INTEGER) % {len(_REVIEW)}]")
+_SQL_REVIEW_TPL = ", ".join(f"({S.q(c)}, {S.q(t)}, {S.q(qq)}, {S.q(y)})" for c, t, qq, y in TP.REVIEW_TEMPLATES)
+
+
+@register("prompts_review", f"""
+WITH tpl AS (SELECT * FROM (VALUES {_SQL_REVIEW_TPL}) AS v(category, title, question, yes_example)),
+d AS (SELECT doc_id, {_SQL_REVIEW_CATEGORY} AS category, {S.model_text('text', TF.FEWSHOT_SEP)} AS text FROM documents)
+SELECT d.doc_id, d.category, 'system: ' || {S.q(TP.SYSTEM_TEXT)} || chr(10)
+  || 'user: ' || replace(replace({S.q(TP.TASK_TEXT)}, '{{title}}', title), '{{question}}', question) || chr(10)
+  || 'assistant: ' || {S.q(TP.ASK_EXAMPLES_TEXT)} || chr(10)
+  || 'user: ' || replace(replace({S.q(TP.EXAMPLES_TEXT)}, '{{yes_example}}', yes_example), '{{no_example}}', {S.q(TP.NO_EXAMPLE)}) || chr(10)
+  || 'assistant: ' || {S.q(TP.READY_TEXT)} || chr(10)
+  || 'user: ' || {S.q(TP.FINAL_PREFIX)} || text AS prompt_text
+FROM d JOIN tpl ON d.category = tpl.category
+""")
+def prompts_review(spark, sf_dir):
+    """The twelve review templates rendered over all documents."""
+    from ..operators.ranking import shuffle_key
+    pick = F.conv(F.substring(shuffle_key(Q.SEED, "review", F.col("doc_id")), 1, 6), 16, 10).cast("int") % len(_REVIEW)
+    docs = ST.documents(spark, sf_dir).select(
+        "doc_id", F.get(F.array(*[F.lit(c) for c in _REVIEW]), pick).alias("category"),
+        TF.model_text(F.col("text"), TF.FEWSHOT_SEP).alias("text"))
+    r = PR.render(docs, TP.template_table(spark, TP.REVIEW_TEMPLATES))
+    return r.select("doc_id", "category", PR.prompt_text(F.col("messages")).alias("prompt_text"))
+
+
+@register("generated_label_sink", SQL_PROMPTS + """
+SELECT row_id, category, gen_label, gen_label_bool FROM fl
+""")
+def generated_label_sink(spark, sf_dir):
+    """Generated labels with their row id, as CSV per category, written and read back."""
+    from pyspark.sql import types as T
+
+    from ..session import scratch_path
+    from ..sources import io as IO
+    rows = labelled(spark, sf_dir).select("row_id", "gen_label", "gen_label_bool", "category")
+    path = scratch_path(spark, "generated-labels")
+    IO.write_csv(rows, path, partition_by=("category",), spaced_metric_names=False)
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("gen_label", T.StringType()),
+                           T.StructField("gen_label_bool", T.IntegerType()), T.StructField("category", T.StringType())])
+    return IO.read_labelled_csv(spark, path, schema)
+
+
 @register("fewshot_metrics", SQL_PROMPTS + ", fm AS (SELECT category, label, gen_label_bool AS pred FROM fl),"
           + MD.sql_metrics("fm", ["category"]))
 def fewshot_metrics(spark, sf_dir):
@@ -131,7 +176,8 @@ def conversation_answers(spark, sf_dir):
 
 APPROACHES = ["binary", "multilabel", "multitask", "fewshot"]
 
-SQL_COMPARE = ("WITH " + Q.SQL_LONG + Q.sql_holdout("l", "h") + ",\n" + Q.PLAIN_PART + MD.SQL_TEXTS
+SQL_COMPARE = ("WITH " + Q.SQL_LONG + Q.sql_holdout("l", "h") + Q.SQL_VOTES + Q.sql_holdout("mv", "hv")
+               + ",\nha AS (SELECT * FROM hv WHERE split <> 'train' OR full_agree),\n" + Q.PLAIN_PART + MD.SQL_TEXTS
                + MD.BIN_PART + MD.ML_PART + MD.MT_PART + FS_PART + f""",
 allp AS (SELECT 'binary' AS approach, category, label, pred FROM bs
          UNION ALL SELECT 'multilabel', category, label, pred FROM ms WHERE category <> 'none'
@@ -147,11 +193,12 @@ FROM cmp GROUP BY category""")
 def compare_approaches(spark, sf_dir):
     """F1 macro per category for every approach, side by side."""
     keep = ["category", "label", "pred"]
-    h = materialize(Q.holdout(spark, sf_dir))  # one stratified split shared by three approaches
-    ml = MD.multilabel_scores(spark, sf_dir).where(F.col("category") != "none")
+    h = materialize(Q.holdout(spark, sf_dir))  # one stratified split shared by two approaches
+    tf = MD.terms(spark, sf_dir)               # one table of term counts shared by three
+    ml = MD.multilabel_scores(spark, sf_dir, tf=tf).where(F.col("category") != "none")
     fs = labelled(spark, sf_dir, h).withColumnRenamed("gen_label_bool", "pred")
-    parts = [("binary", MD.binary_scores(spark, sf_dir, h)), ("multilabel", ml),
-             ("multitask", MD.multitask_scores(spark, sf_dir, h)), ("fewshot", fs)]
+    parts = [("binary", MD.binary_scores(spark, sf_dir, h, tf)), ("multilabel", ml),
+             ("multitask", MD.multitask_scores(spark, sf_dir, tf)), ("fewshot", fs)]
     allp = None
     for name, df in parts:
         d = df.select(F.lit(name).alias("approach"), *keep)

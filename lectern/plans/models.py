@@ -29,21 +29,43 @@ def texts(spark, sf_dir) -> DataFrame:
     return ST.labelled_rows(spark, sf_dir, CATS).select("row_id", "doc_id", F.col("sentence").alias("text"))
 
 
-def fit_score(spark, sf_dir, train, score_rows, keys, n_models=None, strict=False, vocab=None):
-    tx = texts(spark, sf_dir)
-    counts = NB.token_counts(train, tx, keys)
-    if vocab is not None:
-        counts = counts.join(vocab, "token", "left_semi")
-    weights, bias = NB.fit(counts, NB.doc_counts(train, keys), keys, n_models=n_models)
-    return NB.score(score_rows, tx, weights, bias, keys, strict=strict, n_models=n_models)
+def terms(spark, sf_dir) -> DataFrame:
+    """The term counts of all labelled texts, staged once and shared by fits and scores."""
+    return materialize(NB.term_counts(texts(spark, sf_dir)))
+
+
+def numbered(df: DataFrame, cats, groups=None) -> DataFrame:
+    """Adds ``cell``: the position of a row's (category, group), groups counted from 1."""
+    at = F.array_position(F.array(*[F.lit(c) for c in cats]), F.col("category")).cast("int") - 1
+    return df.withColumn("cell", at if groups is None else at * groups + F.col("fold") - 1)
+
 
+def per_category(tf, h, cats, strict=False, mix=None, carry=()):
+    """One model per category on its training rows, applied to its test rows."""
+    rows = numbered(h, cats)
+    train = rows.where(F.col("split") == SP.TRAIN)
+    test = rows.where(F.col("split") == SP.TEST)
+    weights, bias = NB.fit(tf, train, len(cats), [[c] for c in range(len(cats))], mix=mix,
+                           views=None if mix is None else [0] * len(cats))
+    return NB.score(tf, test.select("row_id", "category", "label", F.col("cell").alias("m"), *carry),
+                    weights, bias, len(cats), strict=strict)
 
-def binary_scores(spark, sf_dir, h=None):
+
+def per_fold(tf, kf, cats, mix=None):
+    """Every fold model of every category at once: a fold model's counts are the sum of the
+    other folds' cells, and a row is scored by its own fold's model."""
+    rows = numbered(kf, cats, Q.K)
+    trains = [[c * Q.K + g for g in range(Q.K) if g != f] for c in range(len(cats)) for f in range(Q.K)]
+    weights, bias = NB.fit(tf, rows, len(cats) * Q.K, trains, mix=mix,
+                           views=None if mix is None else [f for _ in cats for f in range(Q.K)])
+    return NB.score(tf, rows.select("row_id", "category", "label", "fold", F.col("cell").alias("m")),
+                    weights, bias, len(trains))
+
+
+def binary_scores(spark, sf_dir, h=None, tf=None):
     """One model per category on its stratified training rows, applied to its test rows."""
     h = h if h is not None else materialize(Q.holdout(spark, sf_dir))
-    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
-    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
-    return fit_score(spark, sf_dir, train, test, ["category"], n_models=len(CATS))
+    return per_category(tf if tf is not None else terms(spark, sf_dir), h, CATS, carry=("doc_id",))
 
 
 def multilabel_long(spark, sf_dir):
@@ -52,57 +74,63 @@ def multilabel_long(spark, sf_dir):
     return materialize(LO.to_long(split, ML_CATS, extra_cols=("split",)))
 
 
-def multilabel_scores(spark, sf_dir):
-    """One head per category (``none`` included) on the same training rows; ``> 0.5``."""
-    lng = multilabel_long(spark, sf_dir)
-    train = lng.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
-    test = lng.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
-    return fit_score(spark, sf_dir, train, test, ["category"], n_models=len(ML_CATS), strict=True)
+def multilabel_scores(spark, sf_dir, strict=False, tf=None):
+    """One head per category (``none`` included) on the same training rows. Predictions take
+    ``>= 0.5``; ``strict`` gives the training summary's ``> 0.5``."""
+    return per_category(tf if tf is not None else terms(spark, sf_dir), multilabel_long(spark, sf_dir), ML_CATS,
+                        strict=strict, carry=("doc_id",))
 
 
-def multitask_scores(spark, sf_dir, h=None):
-    """Shared vocabulary from the evenly mixed training rows of all categories; one head per
-    category on its own training rows, restricted to that vocabulary."""
-    h = h if h is not None else materialize(Q.holdout(spark, sf_dir))
-    train = h.where(F.col("split") == SP.TRAIN)
-    mix = SP.task_mix(train, CATS, Q.SEED).select("row_id").distinct()
-    tx = texts(spark, sf_dir)
-    vocab = (tx.join(mix, "row_id", "left_semi")
-             .select(F.explode(NB.model_tokens()).alias("token")).distinct())
-    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
-    return fit_score(spark, sf_dir, train.select("row_id", "category", "label"), test,
-                     ["category"], n_models=len(CATS), vocab=vocab)
+def multitask_scores(spark, sf_dir, tf=None):
+    """Heads that share what the evenly mixed training rows of all categories say about tokens:
+    a head's smoothing follows the mix's token distribution, so rows of one task change the
+    model of another."""
+    h = materialize(Q.agreed_holdout(spark, sf_dir).select("row_id", "doc_id", "category", "label", "split"))
+    mix = SP.task_mix(h.where(F.col("split") == SP.TRAIN).select("row_id", "category"), CATS, Q.SEED)
+    return per_category(tf if tf is not None else terms(spark, sf_dir), h, CATS, carry=("doc_id",),
+                        mix=mix.select("row_id", F.lit(0).alias("view")))
 
 
 def cv_scores(spark, sf_dir):
-    """Every fold model of every category in one pass: counts per own fold, then each fold
-    model's training counts are the other folds' counts."""
+    """Stratified folds per category."""
     kf = materialize(Q.kfold(spark, sf_dir).select("row_id", "category", "label", "fold"))
-    tx = texts(spark, sf_dir)
-    keys = ["category", "fold"]
-    counts = NB.complement_folds(NB.token_counts(kf, tx, keys), Q.K, "n")
-    docs = NB.complement_folds(NB.doc_counts(kf, keys), Q.K, "n_docs")
-    n_models = len(CATS) * Q.K
-    weights, bias = NB.fit(counts, docs, keys, n_models=n_models)
-    return NB.score(kf, tx, weights, bias, keys, n_models=n_models)
+    return per_fold(terms(spark, sf_dir), kf, CATS)
+
+
+def cv_multilabel_scores(spark, sf_dir):
+    """Plain folds over the training rows: a row is in one fold for all categories."""
+    lng = multilabel_long(spark, sf_dir).where(F.col("split") == SP.TRAIN)
+    folds = SP.kfold_plain(lng.select("row_id").distinct(), Q.K, Q.SEED)
+    kf = materialize(lng.join(folds, "row_id").select("row_id", "category", "label", "fold"))
+    return per_fold(terms(spark, sf_dir), kf, ML_CATS)
+
+
+def cv_multitask_scores(spark, sf_dir):
+    """Stratified folds of the agreed training rows; each fold model has the even mix of its own
+    training part."""
+    h = Q.agreed_holdout(spark, sf_dir).where(F.col("split") == SP.TRAIN)
+    kf = materialize(SP.kfold_stratified(h, Q.K, Q.SEED).select("row_id", "category", "label", "fold"))
+    views = SP.fold_views(kf, Q.K).where("role = 'train'").select("row_id", "category", "view")
+    mix = SP.task_mix(views, CATS, Q.SEED, within="view")
+    return per_fold(terms(spark, sf_dir), kf, CATS, mix=mix.select("row_id", (F.col("view") - 1).alias("view")))
 
 
 def curve_scores(spark, sf_dir):
-    """Every subset model of every category: tokens counted once per chunk, subset counts
-    as prefix sums over chunks; the fixed test rows are scored by every subset model."""
+    """Every subset model of every category: tokens are counted once per chunk, a subset model
+    sums its first chunks inside the token's row; the fixed test rows are scored by all."""
     h = materialize(Q.holdout(spark, sf_dir))
-    train = h.where(F.col("split") == SP.TRAIN)
-    chunks = SP.subset_chunks(train, Q.CHUNK, Q.SEED, n_parts=len(CATS)).select(
-        "row_id", "category", "label", "chunk_idx", "n_chunks")
-    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
-    tx = texts(spark, sf_dir)
-    ckeys = ["category", "chunk_idx", "n_chunks"]
-    test_rows = h.where(F.col("split") == SP.TEST).select("row_id", "category")
-    needed = (tx.join(test_rows, "row_id")
-              .select("category", F.explode(NB.model_tokens()).alias("token")).distinct())
-    weights, bias = NB.fit_nested(NB.token_counts(chunks, tx, ckeys), NB.doc_counts(chunks, ckeys),
-                                  needed, Q.CHUNK)
-    return NB.score_all_models(test, tx, weights, bias)
+    steps = Q.STEPS
+    chunks = materialize(SP.subset_chunks(h.where(F.col("split") == SP.TRAIN), steps, Q.SEED)
+                         .select("row_id", "category", "label", F.col("chunk_idx").alias("fold"), "chunk_rows"))
+    trains = [[c * steps + g for g in range(j + 1)] for c in range(len(CATS)) for j in range(steps)]
+    tf = terms(spark, sf_dir)
+    weights, bias = NB.fit(tf, numbered(chunks, CATS, steps), len(trains), trains)
+    sizes = chunks.groupBy("category").agg(F.max("chunk_rows").alias("chunk_rows"))  # one row per category
+    test = (h.where(F.col("split") == SP.TEST).join(F.broadcast(sizes), "category")
+            .withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(steps)))))
+    rows = numbered(test, CATS, steps).select("row_id", "category", "label", F.col("cell").alias("m"),
+                                              (F.col("fold") * F.col("chunk_rows")).alias("train_size"))
+    return NB.score(tf, rows, weights, bias, len(trains))
 
 
 def rounded(df, cols):
@@ -111,10 +139,8 @@ def rounded(df, cols):
 
 def final_models(spark, sf_dir):
     h = materialize(Q.holdout(spark, sf_dir))
-    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
-    tx = texts(spark, sf_dir)
-    counts = NB.token_counts(train, tx, ["category"])
-    return NB.fit(counts, NB.doc_counts(train, ["category"]), ["category"], n_models=len(CATS))
+    train = numbered(h.where(F.col("split") == SP.TRAIN), CATS)
+    return NB.fit(NB.term_counts(texts(spark, sf_dir)), train, len(CATS), [[c] for c in range(len(CATS))])
 
 
 def english_sentences(spark, sf_dir):
@@ -137,31 +163,57 @@ tx AS (SELECT l.doc_id AS row_id, l.doc_id, d.text FROM labels l JOIN documents
 tt AS (SELECT row_id, unnest({S.tokens(S.model_text('text'))}) AS token FROM tx)"""
 
 
-def sql_nb(train: str, score: str, keys, out: str, strict: bool = False, vocab: str | None = None) -> str:
+def sql_sigmoid(margin: str) -> str:
+    e = f"exp(-abs({margin}))"
+    return f"CASE WHEN {margin} >= 0 THEN 1.0 / (1.0 + {e}) ELSE {e} / (1.0 + {e}) END"
+
+
+def sql_nb(train: str, score: str, keys, out: str, strict: bool = False, mix: str | None = None,
+           view: str | None = None) -> str:
+    """Fit and score CTEs. ``mix`` names the mixed rows of the shared smoothing (with the
+    column ``view`` if there is a mix per view)."""
     k = ", ".join(keys)
-    vf = f" WHERE t.token IN (SELECT token FROM {vocab})" if vocab else ""
     cmp = ">" if strict else ">="
+    a = NB.ALPHA
+    vk = f"{view}, " if view else ""
+    von = f"USING ({view}, token)" if view else "USING (token)"
+    if mix is None:
+        model = f""",
+{out}_w AS (SELECT {k}, token,
+                   ln((CAST(n1 AS DOUBLE) + {a}) / (CAST(tot1 AS DOUBLE) + {a} * vocab_size))
+                 - ln((CAST(n0 AS DOUBLE) + {a}) / (CAST(tot0 AS DOUBLE) + {a} * vocab_size)) AS weight
+            FROM {out}_cnt JOIN {out}_head USING ({k}))"""
+    else:
+        cross = f"JOIN {out}_vs USING ({view})" if view else f", {out}_vs"
+        heads = f"JOIN {out}_u USING ({view})" if view else f", {out}_u"
+        model = f""",
+{out}_u AS (SELECT DISTINCT {vk}token FROM {out}_cnt),
+{out}_mc AS (SELECT {"m." + view + ", " if view else ""}t.token, count(*) AS mixed FROM {mix} m JOIN tt t ON m.row_id = t.row_id
+             GROUP BY {"m." + view + ", " if view else ""}t.token),
+{out}_vs AS (SELECT {vk}count(*) AS v, sum(coalesce(mixed, 0)) AS mixed_all FROM {out}_u LEFT JOIN {out}_mc {von}
+             {"GROUP BY " + view if view else ""}),
+{out}_g AS (SELECT {k}, token, tot1, tot0, v, (coalesce(mixed, 0) + 1.0) / (mixed_all + v) AS p
+            FROM {out}_head {heads} LEFT JOIN {out}_mc {von} {cross}),
+{out}_w AS (SELECT {k}, token,
+                   ln((coalesce(n1, 0) + {a} * v * p) / (CAST(tot1 AS DOUBLE) + {a} * v))
+                 - ln((coalesce(n0, 0) + {a} * v * p) / (CAST(tot0 AS DOUBLE) + {a} * v)) AS weight
+            FROM {out}_g LEFT JOIN {out}_cnt USING ({k}, token))"""
     return f""",
-{out}_tr AS (SELECT {', '.join('a.' + x for x in keys)}, a.label, t.token FROM {train} a JOIN tt t ON a.row_id = t.row_id{vf}),
+{out}_tr AS (SELECT {', '.join('a.' + x for x in keys)}, a.label, t.token FROM {train} a JOIN tt t ON a.row_id = t.row_id),
 {out}_cnt AS (SELECT {k}, token, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS n1,
                      sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS n0 FROM {out}_tr GROUP BY {k}, token),
 {out}_tot AS (SELECT {k}, sum(n1) AS tot1, sum(n0) AS tot0, count(*) AS vocab_size FROM {out}_cnt GROUP BY {k}),
 {out}_pri AS (SELECT {k}, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS docs1,
                      sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS docs0 FROM {train} GROUP BY {k}),
-{out}_head AS (SELECT * FROM {out}_tot JOIN {out}_pri USING ({k})),
-{out}_w AS (SELECT {k}, token,
-                   ln((CAST(n1 AS DOUBLE) + {NB.ALPHA}) / (CAST(tot1 AS DOUBLE) + {NB.ALPHA} * vocab_size))
-                 - ln((CAST(n0 AS DOUBLE) + {NB.ALPHA}) / (CAST(tot0 AS DOUBLE) + {NB.ALPHA} * vocab_size)) AS weight
-            FROM {out}_cnt JOIN {out}_head USING ({k})),
-{out}_b AS (SELECT {k}, ln((CAST(docs1 AS DOUBLE) + {NB.ALPHA}) / (CAST(docs0 AS DOUBLE) + {NB.ALPHA})) AS bias FROM {out}_head),
+{out}_head AS (SELECT * FROM {out}_tot JOIN {out}_pri USING ({k})){model},
+{out}_b AS (SELECT {k}, ln((CAST(docs1 AS DOUBLE) + {a}) / (CAST(docs0 AS DOUBLE) + {a})) AS bias FROM {out}_head),
 {out}_st AS (SELECT s.row_id, {', '.join('s.' + x for x in keys)}, s.label, t.token
              FROM {score} s LEFT JOIN tt t ON s.row_id = t.row_id),
 {out}_ss AS (SELECT row_id, {k}, label, sum(coalesce(weight, 0.0)) AS _s
              FROM {out}_st LEFT JOIN {out}_w USING ({k}, token) GROUP BY row_id, {k}, label),
-{out}_m AS (SELECT ss.*, greatest(-{NB.MARGIN_LIMIT}, least({NB.MARGIN_LIMIT}, coalesce(bias, 0.0) + _s)) AS margin
-            FROM {out}_ss ss LEFT JOIN {out}_b USING ({k})),
-{out} AS (SELECT *, 1.0 / (1.0 + exp(-margin)) AS prob,
-                 CAST(1.0 / (1.0 + exp(-margin)) {cmp} 0.5 AS INTEGER) AS pred FROM {out}_m)"""
+{out}_m AS (SELECT ss.*, coalesce(bias, 0.0) + _s AS margin FROM {out}_ss ss LEFT JOIN {out}_b USING ({k})),
+{out}_p AS (SELECT *, {sql_sigmoid('margin')} AS prob FROM {out}_m),
+{out} AS (SELECT *, CAST(prob {cmp} 0.5 AS INTEGER) AS pred FROM {out}_p)"""
 
 
 def sql_metrics(src: str, keys, name: str = "") -> str:
@@ -221,28 +273,41 @@ mll AS (SELECT row_id, split, 'none' AS category, "none" AS label FROM mlw
         UNION ALL SELECT row_id, split, 'toxic', toxic FROM mlw)"""
 ML_PART = ML_LONG_PART + """,
 mtr AS (SELECT row_id, category, label FROM mll WHERE split = 'train'),
-mte AS (SELECT row_id, category, label FROM mll WHERE split = 'test')""" + sql_nb("mtr", "mte", ["category"], "ms", strict=True)
+mte AS (SELECT row_id, category, label FROM mll WHERE split = 'test')""" + sql_nb("mtr", "mte", ["category"], "ms")
 SQL_ML = Q.SQL_PLAIN + SQL_TEXTS + ML_PART
+SQL_ML_STRICT = SQL_ML + ",\nmx AS (SELECT * EXCLUDE (pred), CAST(prob > 0.5 AS INTEGER) AS pred FROM ms)"
 
+# The multi-task rows have majority labels of their own: their hold-out is ``ha``.
 MT_PART = f""",
 tmx AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(Q.SEED, "'mix'", 'category', 'row_id')}) AS mix_rank,
-               count(*) OVER (PARTITION BY category) AS _n FROM h WHERE split = 'train'),
-tmm AS (SELECT DISTINCT row_id FROM (SELECT *, min(_n) OVER () AS _min FROM tmx) WHERE mix_rank <= _min),
-voc AS (SELECT DISTINCT t.token FROM tt t JOIN tmm ON t.row_id = tmm.row_id),
-ttr AS (SELECT row_id, category, label FROM h WHERE split = 'train'),
-tte AS (SELECT row_id, category, label FROM h WHERE split = 'test')""" + sql_nb("ttr", "tte", ["category"], "ts", vocab="voc")
-SQL_MT = Q.SQL_HOLDOUT + SQL_TEXTS + MT_PART
+               count(*) OVER (PARTITION BY category) AS _n FROM ha WHERE split = 'train'),
+tmm AS (SELECT row_id FROM (SELECT *, min(_n) OVER () AS _min FROM tmx) WHERE mix_rank <= _min),
+ttr AS (SELECT row_id, category, label FROM ha WHERE split = 'train'),
+tte AS (SELECT row_id, category, label FROM ha WHERE split = 'test')""" + sql_nb("ttr", "tte", ["category"], "ts", mix="tmm")
+SQL_MT = Q.SQL_AGREED + SQL_TEXTS + MT_PART
 
 SQL_CV = Q.SQL_KFOLD + SQL_TEXTS + f""",
 fv AS (SELECT kf.row_id, kf.category, kf.label, v.view AS fold
        FROM kf, (SELECT unnest(generate_series(1, {Q.K})) AS view) v WHERE kf.fold <> v.view),
 fs AS (SELECT row_id, category, label, fold FROM kf)""" + sql_nb("fv", "fs", ["category", "fold"], "cs")
 
-SQL_CURVE = Q.SQL_HOLDOUT + SQL_TEXTS + f""",
-gt AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(Q.SEED, "'subset'", 'category', 'row_id')}) AS _r,
-              count(*) OVER (PARTITION BY category) AS _n FROM h WHERE split = 'train'),
-gs AS (SELECT row_id, category, label, CAST(_j * {Q.CHUNK} AS INTEGER) AS train_size FROM
-       (SELECT *, unnest(generate_series((_r + {Q.CHUNK - 1}) // {Q.CHUNK}, _n // {Q.CHUNK})) AS _j FROM gt)),
+SQL_CV_ML = Q.SQL_PLAIN + SQL_TEXTS + ML_LONG_PART + f""",
+pf AS (SELECT row_id, CAST(ntile({Q.K}) OVER (ORDER BY {S.md5_key(Q.SEED, "'kfold'", 'row_id')}) AS INTEGER) AS fold
+       FROM p WHERE split = 'train'),
+kf AS (SELECT mll.row_id, mll.category, mll.label, pf.fold FROM mll JOIN pf ON mll.row_id = pf.row_id),
+fv AS (SELECT kf.row_id, kf.category, kf.label, v.view AS fold
+       FROM kf, (SELECT unnest(generate_series(1, {Q.K})) AS view) v WHERE kf.fold <> v.view)""" + sql_nb(
+    "fv", "kf", ["category", "fold"], "cs")
+
+SQL_CV_MT = Q.SQL_AGREED + Q.sql_kfold("ha", "kf") + SQL_TEXTS + f""",
+fv AS (SELECT kf.row_id, kf.category, kf.label, v.view AS fold
+       FROM kf, (SELECT unnest(generate_series(1, {Q.K})) AS view) v WHERE kf.fold <> v.view),
+fx AS (SELECT *, row_number() OVER (PARTITION BY category, fold ORDER BY {S.md5_key(Q.SEED, "'mix'", 'category', 'row_id')}) AS mix_rank,
+              count(*) OVER (PARTITION BY category, fold) AS _n FROM fv),
+fm AS (SELECT row_id, fold FROM (SELECT *, min(_n) OVER (PARTITION BY fold) AS _min FROM fx) WHERE mix_rank <= _min),
+fs AS (SELECT row_id, category, label, fold FROM kf)""" + sql_nb("fv", "fs", ["category", "fold"], "cs", mix="fm", view="fold")
+
+SQL_CURVE = Q.SQL_HOLDOUT + SQL_TEXTS + Q.SQL_SUBSETS + """,
 gz AS (SELECT DISTINCT category, train_size FROM gs),
 gte AS (SELECT h.row_id, h.category, h.label, gz.train_size FROM h JOIN gz ON h.category = gz.category
         WHERE h.split = 'test')""" + sql_nb("gs", "gte", ["category", "train_size"], "lc")
@@ -304,11 +369,11 @@ def score_multilabel(spark, sf_dir):
     return rounded(multilabel_scores(spark, sf_dir).select("row_id", "category", "label", "prob", "pred"), ["prob"])
 
 
-@register("eval_metrics_flat", SQL_ML + f""",
+@register("eval_metrics_flat", SQL_ML_STRICT + f""",
 conf AS (SELECT sum(CASE WHEN label = 1 AND pred = 1 THEN 1 ELSE 0 END) AS tp,
        sum(CASE WHEN label = 0 AND pred = 1 THEN 1 ELSE 0 END) AS fp,
        sum(CASE WHEN label = 1 AND pred = 0 THEN 1 ELSE 0 END) AS fn,
-       sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS tn FROM ms)
+       sum(CASE WHEN label = 0 AND pred = 0 THEN 1 ELSE 0 END) AS tn FROM mx)
 SELECT round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0.0), {DIGITS}) AS accuracy,
        round(coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0), {DIGITS}) AS f1,
        round(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0), {DIGITS}) AS precision,
@@ -316,8 +381,9 @@ SELECT round(coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0.
 FROM conf
 """)
 def eval_metrics_flat(spark, sf_dir):
-    """Multi-label training summary: every row x category cell pooled (no category key)."""
-    return rounded(M.trainer_metrics(multilabel_scores(spark, sf_dir), []), M.TRAINER_METRICS)
+    """Multi-label training summary: every row x category cell pooled (no category key),
+    predictions by ``> 0.5``."""
+    return rounded(M.trainer_metrics(multilabel_scores(spark, sf_dir, strict=True), []), M.TRAINER_METRICS)
 
 
 @register("multilabel_metrics", SQL_ML + "," + sql_metrics("ms", ["category"]))
@@ -330,39 +396,67 @@ def multitask_metrics(spark, sf_dir):
     return rounded(M.eval_metrics(multitask_scores(spark, sf_dir), ["category"]), M.METRICS)
 
 
-@register("predictions_class", SQL_ML + """
-SELECT row_id, max(CASE WHEN category = 'none' THEN pred END) AS "none",
-       max(CASE WHEN category = 'quality' THEN pred END) AS quality,
-       max(CASE WHEN category = 'toxic' THEN pred END) AS toxic
-FROM ms GROUP BY row_id
-""")
+def _report(prefix: str, cats, value: str, digits: str = "") -> str:
+    cells = ", ".join(f"{'round(' if digits else ''}max(CASE WHEN category = '{c}' THEN {value} END){digits} AS \"{c}\""
+                      for c in cats)
+    return f"""
+SELECT row_id, row_id AS doc_id, {cells} FROM {prefix} GROUP BY row_id
+"""
+
+
+def report(scores, cats, value: str):
+    """Prediction table: one row per text with its ``doc_id``, one column per category."""
+    return scores.groupBy("row_id", "doc_id").pivot("category", list(cats)).agg(F.first(value))
+
+
+@register("predictions_class", SQL_ML + _report("ms", ML_CATS, "pred"))
 def predictions_class(spark, sf_dir):
-    s = multilabel_scores(spark, sf_dir)
-    return s.groupBy("row_id").pivot("category", ML_CATS).agg(F.first("pred"))
+    return report(multilabel_scores(spark, sf_dir), ML_CATS, "pred")
 
 
-@register("predictions_prob", SQL_ML + f"""
-SELECT row_id, round(max(CASE WHEN category = 'none' THEN prob END), {DIGITS}) AS "none",
-       round(max(CASE WHEN category = 'quality' THEN prob END), {DIGITS}) AS quality,
-       round(max(CASE WHEN category = 'toxic' THEN prob END), {DIGITS}) AS toxic
-FROM ms GROUP BY row_id
-""")
+@register("predictions_prob", SQL_ML + _report("ms", ML_CATS, "prob", f", {DIGITS})"))
 def predictions_prob(spark, sf_dir):
-    s = multilabel_scores(spark, sf_dir)
-    return rounded(s.groupBy("row_id").pivot("category", ML_CATS).agg(F.first("prob")), ML_CATS)
+    return rounded(report(multilabel_scores(spark, sf_dir), ML_CATS, "prob"), ML_CATS)
+
+
+@register("predictions_multitask", SQL_MT + f"""
+SELECT category, row_id, row_id AS doc_id, pred AS yes_class, round(prob, {DIGITS}) AS yes_prob FROM ts
+""")
+def predictions_multitask(spark, sf_dir):
+    """Multi-task report: each task's test rows with class and probability."""
+    s = multitask_scores(spark, sf_dir)
+    return rounded(s.select("category", "row_id", "doc_id", F.col("pred").alias("yes_class"),
+                            F.col("prob").alias("yes_prob")), ["yes_prob"])
+
+
+@register("score_multitask", SQL_MT + f"""
+SELECT row_id, category, label, round(prob, {DIGITS}) AS prob, pred FROM ts
+""")
+def score_multitask(spark, sf_dir):
+    return rounded(multitask_scores(spark, sf_dir).select("row_id", "category", "label", "prob", "pred"), ["prob"])
 
 
-@register("cv_results", SQL_CV + "," + sql_metrics("cs", ["category", "fold"]))
-def cv_results(spark, sf_dir):
-    return rounded(M.eval_metrics(cv_scores(spark, sf_dir), ["category", "fold"]), M.METRICS)
+def _sql_average(src: str) -> str:
+    return (src + ", per_fold AS (" + sql_metrics_unrounded("cs", ["category", "fold"]).replace(
+        "\nconf AS", "\nWITH conf AS", 1) + ")\nSELECT category, " + ", ".join(
+            f"round(avg({m}), {DIGITS}) AS {m}" for m in M.METRICS) + " FROM per_fold GROUP BY category")
 
 
-@register("cv_average", SQL_CV + ", per_fold AS (" + sql_metrics_unrounded("cs", ["category", "fold"]).replace(
-    "\nconf AS", "\nWITH conf AS", 1) + ")\nSELECT category, " + ", ".join(
-        f"round(avg({m}), {DIGITS}) AS {m}" for m in M.METRICS) + " FROM per_fold GROUP BY category")
-def cv_average(spark, sf_dir):
-    per_fold = M.eval_metrics(cv_scores(spark, sf_dir), ["category", "fold"])
-    return rounded(M.fold_average(per_fold, ["category"]), M.METRICS)
+def _cv_queries(suffix: str, sql: str, scores):
+    """Per-fold metrics and their fold average for one approach."""
+    @register(f"cv_results{suffix}", sql + "," + sql_metrics("cs", ["category", "fold"]))
+    def results(spark, sf_dir):
+        return rounded(M.eval_metrics(scores(spark, sf_dir), ["category", "fold"]), M.METRICS)
+
+    @register(f"cv_average{suffix}", _sql_average(sql))
+    def average(spark, sf_dir):
+        per_fold = M.eval_metrics(scores(spark, sf_dir), ["category", "fold"])
+        return rounded(M.fold_average(per_fold, ["category"]), M.METRICS)
+
+
+_cv_queries("", SQL_CV, cv_scores)
+_cv_queries("_multilabel", SQL_CV_ML, cv_multilabel_scores)
+_cv_queries("_multitask", SQL_CV_MT, cv_multitask_scores)
 
 
 @register("learning_curve_metrics", SQL_CURVE + "," + sql_metrics("lc", ["category", "train_size"]))
@@ -398,7 +492,7 @@ ssum AS (SELECT g.doc_id, g.pos, g.category, sum(coalesce(w.weight, 0.0)) AS _s
          LEFT JOIN bs_w w ON w.category = g.category AND w.token = t.token
          GROUP BY g.doc_id, g.pos, g.category),
 sp AS (SELECT s.doc_id, s.pos, s.category,
-              1.0 / (1.0 + exp(-greatest(-{NB.MARGIN_LIMIT}, least({NB.MARGIN_LIMIT}, b.bias + s._s)))) AS prob
+              {sql_sigmoid('(b.bias + s._s)')} AS prob
        FROM ssum s JOIN bs_b b ON s.category = b.category)"""
 
 
@@ -441,35 +535,78 @@ def language_gate(spark, sf_dir):
     return en.select("doc_id", "n_chars")
 
 
+# Registry of the review models: the display names of the templates, scored here by the model that a
+# hash of the name picks among the categories the tables have labels for.
+def _registry_rows():
+    from ..sources import templates as TP
+    return [(title, f"review-{c.replace('_', '-')}", c, CATS[i % len(CATS)])
+            for i, (c, title, _, _) in enumerate(TP.REVIEW_TEMPLATES)]
+
+
+@register("model_registry_scores", SQL_SENT_SCORES + ",\nreg AS (SELECT * FROM (VALUES "
+          + ", ".join("(" + ", ".join(S.q(x) for x in r) + ")" for r in _registry_rows())
+          + f""") AS v(display_name, model_id, review_category, category))
+SELECT display_name, model_id, count(*) AS n_sentences, CAST(sum(CAST(prob > 0.5 AS INTEGER)) AS BIGINT) AS n_yes
+FROM reg JOIN sp ON reg.category = sp.category
+WHERE review_category <> 'rationale' GROUP BY display_name, model_id
+""")
+def model_registry_scores(spark, sf_dir):
+    """Sentences flagged by each registered review model; the unreliable ``rationale`` model is
+    taken out of the registry by an anti-join with the exclusion table."""
+    from ..sources import templates as TP
+    registry = TP.model_registry(spark)
+    excluded = spark.createDataFrame([("rationale",)], "category string")
+    model_of = {review: category for _, _, review, category in _registry_rows()}
+    used = registry.join(F.broadcast(excluded), "category", "left_anti")
+    pairs = F.create_map(*[F.lit(x) for kv in model_of.items() for x in kv])
+    counts = sentence_scores(spark, sf_dir).groupBy("category").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("is_yes").cast("int")).alias("n_yes"))
+    return (used.withColumn("category", pairs[F.col("category")]).join(counts, "category")
+            .select("display_name", "model_id", "n_sentences", "n_yes"))
+
+
 # --------------------------------------------------------------------------- Spark ML plug-in
 def lr_scores(spark, sf_dir, roundtrip: bool = False):
+    """Scores of the test rows; with ``roundtrip`` also the saved and loaded model's (``prob2``)."""
     from ..operators import ml as ML
     from ..session import scratch_path
-    h = Q.holdout(spark, sf_dir)
-    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
-    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
+    h = materialize(Q.holdout(spark, sf_dir).select("row_id", "category", "label", "split"))
     tx = texts(spark, sf_dir)
-    fmodel = ML.fit_features(tx, train)
-    feats = ML.featurize(fmodel, tx)
-    heads = ML.fit_heads(feats, train, CATS)
+    fmodel = ML.fit_features(tx, h.where(F.col("split") == SP.TRAIN))
+    feats = materialize(ML.featurize(fmodel, tx).join(h, "row_id"))
+    train, test = feats.where(F.col("split") == SP.TRAIN), feats.where(F.col("split") == SP.TEST)
+    heads = ML.fit_heads(train, CATS)
+    scored = ML.score_heads(heads, test)
     if roundtrip:
         path = scratch_path(spark, "lr-model")
         ML.save_heads(fmodel, heads, path)
-        fmodel, heads = ML.load_heads(path, CATS)
-        feats = ML.featurize(fmodel, tx)
-    return ML.score_heads(heads, feats, test)
+        loaded, again = ML.load_heads(path, CATS)
+        test = ML.featurize(loaded, tx).join(h.where(F.col("split") == SP.TEST), "row_id")
+        scored = scored.join(ML.score_heads(again, test).select("row_id", "category", F.col("prob").alias("prob2")),
+                             ["row_id", "category"])
+    return scored
+
+
+_SQL_LR = Q.SQL_HOLDOUT + """
+SELECT category, count(*) AS n_scored, CAST(0 AS BIGINT) AS {bad} FROM h WHERE split = 'test' GROUP BY category
+"""
 
 
-@register("fit_binary_lr")
+@register("fit_binary_lr", _SQL_LR.format(bad="n_bad_prob"))
 def fit_binary_lr(spark, sf_dir):
-    """Logistic regression heads over shared TF-IDF features (rows-only check)."""
-    return rounded(lr_scores(spark, sf_dir), ["prob"])
+    """Logistic regression heads over hashed TF-IDF features: rows scored per category, and how
+    many have no probability between 0 and 1."""
+    good = F.col("prob").isNotNull() & ~F.isnan("prob") & F.col("prob").between(0, 1)
+    return (lr_scores(spark, sf_dir).groupBy("category")
+            .agg(F.count(F.lit(1)).alias("n_scored"), F.sum((~good).cast("long")).alias("n_bad_prob")))
 
 
-@register("model_roundtrip_lr")
+@register("model_roundtrip_lr", _SQL_LR.format(bad="n_changed"))
 def model_roundtrip_lr(spark, sf_dir):
-    """Same heads saved to the shared folder, loaded back and applied (rows-only check)."""
-    return rounded(lr_scores(spark, sf_dir, roundtrip=True), ["prob"])
+    """The same heads saved to the shared folder and loaded back: rows whose score changed."""
+    return (lr_scores(spark, sf_dir, roundtrip=True).groupBy("category")
+            .agg(F.count(F.lit(1)).alias("n_scored"),
+                 F.sum((F.abs(F.col("prob") - F.col("prob2")) > 1e-9).cast("long")).alias("n_changed")))
 
 
 # --------------------------------------------------------------------------- external scorer
@@ -529,13 +666,7 @@ FROM bs JOIN labels l ON bs.row_id = l.doc_id
 def predictions_binary(spark, sf_dir):
     """Binary approach: class and probability of ``yes`` per test row, with its ``doc_id``
     carried through scoring (no join back to the labelled table)."""
-    h = materialize(Q.holdout(spark, sf_dir))
-    train = h.where(F.col("split") == SP.TRAIN).select("row_id", "category", "label")
-    test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label", "doc_id")
-    tx = texts(spark, sf_dir)
-    counts = NB.token_counts(train, tx, ["category"])
-    weights, bias = NB.fit(counts, NB.doc_counts(train, ["category"]), ["category"], n_models=len(CATS))
-    s = NB.score(test, tx, weights, bias, ["category"], carry=("label", "doc_id"), n_models=len(CATS))
+    s = binary_scores(spark, sf_dir)
     return rounded(s.select("category", "row_id", "doc_id", F.col("pred").alias("yes_class"),
                             F.col("prob").alias("yes_prob")), ["yes_prob"])
 
@@ -549,7 +680,5 @@ def review_sentences_wide(spark, sf_dir):
     """The per-sentence result table: the sentence and one yes/no column per category."""
     from ..operators import prevalence as PV
     weights, bias = final_models(spark, sf_dir)
-    sents = english_sentences(spark, sf_dir)
-    scored = PV.score_sentences(sents, weights, bias, CATS)
-    wide = PV.wide_view(scored, CATS)
-    return wide.join(sents, ["doc_id", "pos"]).select("doc_id", "pos", "sentence", *CATS)
+    wide = PV.score_sentences_wide(english_sentences(spark, sf_dir), weights, bias, CATS, keep_text=True)
+    return wide.select("doc_id", "pos", "sentence", *[(F.col(c) > 0.5).alias(c) for c in CATS])

@@ -52,6 +52,72 @@ def metric_sink_roundtrip(spark, sf_dir):
     return IO.read_metrics_csv(spark, path, _METRIC_SCHEMA)
 
 
+def _metric_roundtrip(spark, metrics, name, extra=()):
+    """Writes a metric table as one ordered CSV file per category and reads it back, with each
+    row's place in its file (the sort has to survive the trip)."""
+    path = scratch_path(spark, name)
+    one = metrics.repartition("category")  # a category's few rows in one file
+    IO.write_csv(one, path, partition_by=("category",), categories=CATS)
+    schema = T.StructType([T.StructField(c, T.IntegerType()) for c in extra] + list(_METRIC_SCHEMA.fields))
+    return IO.read_metrics_csv(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
+
+
+def _placed(df, order):
+    """``file_order_kept``: are a category's rows in ``order`` as they lie in the file?"""
+    from pyspark.sql import Window
+    by_file = F.row_number().over(Window.partitionBy("category").orderBy("_at"))
+    by_key = F.row_number().over(Window.partitionBy("category").orderBy(order))
+    return df.withColumn("file_order_kept", by_file == by_key).drop("_at")
+
+
+def _with_flag(sql: str) -> str:
+    return f"SELECT *, true AS file_order_kept FROM ({sql})"
+
+
+@register("cv_sink_roundtrip", _with_flag(MD.SQL_CV + "," + MD.sql_metrics("cs", ["category", "fold"])))
+def cv_sink_roundtrip(spark, sf_dir):
+    """Per-fold metrics as CSV, one file per category in fold order."""
+    metrics = MD.rounded(M.eval_metrics(MD.cv_scores(spark, sf_dir), ["category", "fold"]), M.METRICS)
+    return _placed(_metric_roundtrip(spark, metrics, "cv-csv", ["fold"]), "fold")
+
+
+@register("cv_average_sink_roundtrip", MD._sql_average(MD.SQL_CV))
+def cv_average_sink_roundtrip(spark, sf_dir):
+    """Fold averages as CSV, one row per category."""
+    per_fold = M.eval_metrics(MD.cv_scores(spark, sf_dir), ["category", "fold"])
+    metrics = MD.rounded(M.fold_average(per_fold, ["category"]), M.METRICS)
+    return _metric_roundtrip(spark, metrics, "cv-average-csv").drop("_at")
+
+
+@register("curve_sink_roundtrip", _with_flag(MD.SQL_CURVE + "," + MD.sql_metrics("lc", ["category", "train_size"])))
+def curve_sink_roundtrip(spark, sf_dir):
+    """Learning-curve metrics as CSV with the column ``training size``, smallest subset first."""
+    metrics = MD.rounded(M.eval_metrics(MD.curve_scores(spark, sf_dir), ["category", "train_size"]), M.METRICS)
+    return _placed(_metric_roundtrip(spark, metrics, "curve-csv", ["train_size"]), "train_size")
+
+
+@register("csv_full_agreement", "WITH " + Q.SQL_LONG + Q.SQL_VOTES + """,
+wd AS (SELECT row_id, max(CASE WHEN category = 'quality' THEN label END) AS quality,
+              max(CASE WHEN category = 'toxic' THEN label END) AS toxic,
+              bool_or(CASE WHEN category = 'quality' THEN full_agree END) AS full_agree_quality,
+              bool_or(CASE WHEN category = 'toxic' THEN full_agree END) AS full_agree_toxic FROM mv GROUP BY row_id)
+SELECT wd.row_id, wd.row_id AS doc_id, d.text AS sentence, wd.quality, wd.toxic, full_agree_quality, full_agree_toxic
+FROM wd JOIN documents d ON wd.row_id = d.doc_id
+""")
+def csv_full_agreement(spark, sf_dir):
+    """Labelled CSV with a ``full_agree_<category>`` flag per category, written and read back."""
+    votes = Q.majority(spark, sf_dir)
+    wide = votes.groupBy("row_id", "doc_id").pivot("category", CATS).agg(
+        F.first("label").alias("label"), F.first("full_agree").alias("agree"))
+    wide = wide.select("row_id", "doc_id", *[F.col(f"{c}_label").alias(c) for c in CATS],
+                       *[F.col(f"{c}_agree").alias(f"full_agree_{c}") for c in CATS])
+    docs = ST.documents(spark, sf_dir).select("doc_id", F.col("text").alias("sentence"))
+    rows = wide.join(docs, "doc_id").select("row_id", "doc_id", "sentence", *CATS, *[f"full_agree_{c}" for c in CATS])
+    path = scratch_path(spark, "agreement-csv")
+    IO.write_csv(rows, path, spaced_metric_names=False)
+    return IO.read_labelled_csv(spark, path, rows.schema)
+
+
 _PRED_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("doc_id", T.LongType()),
     T.StructField("value", T.DoubleType()),
@@ -92,10 +158,9 @@ def model_roundtrip(spark, sf_dir):
     """Final per-category models saved as tables, loaded back, applied to the test rows."""
     weights, bias = MD.final_models(spark, sf_dir)
     path = scratch_path(spark, "nb-model")
-    IO.save_table_model(weights, bias, path)
+    IO.save_table_model(NB.long_weights(weights, CATS), NB.long_bias(bias, CATS), path)
     w, b = IO.load_table_model(spark, path)
-    h = Q.holdout(spark, sf_dir)
-    test = h.where(F.col("split") == "test").select("row_id", "category", "label")
-    s = NB.score(test, MD.texts(spark, sf_dir), w.select("category", "token", "weight"), b, ["category"],
-                 n_models=len(CATS))
+    test = Q.holdout(spark, sf_dir).where(F.col("split") == "test")
+    rows = MD.numbered(test, CATS).select("row_id", "category", "label", F.col("cell").alias("m"))
+    s = NB.score(MD.terms(spark, sf_dir), rows, NB.wide_weights(w, CATS), NB.wide_bias(b, CATS), len(CATS))
     return MD.rounded(s.select("row_id", "category", "label", "prob", "pred"), ["prob"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as LO
 from ..operators import split as SP
-from ..operators.ranking import shuffle_key
+from ..operators.ranking import materialize, shuffle_key
 from ..sources import tables as ST
 from . import sqltext as S
 from .registry import register
@@ -17,9 +17,8 @@ CATS = list(ST.DEFAULT_CATEGORIES)
 SHARE = Fraction(1, 6)
 K = 5
 SEED = 1
-# Subset step for the learning curve. The reference steps by 500 over 2,500 training rows;
-# the labelled table here has a few hundred training rows per category.
-CHUNK = 50
+# Learning-curve subsets per category (the reference's 500 to 2,500 rows by 500).
+STEPS = 5
 N_ANNOTATORS = 3
 
 
@@ -34,12 +33,12 @@ def labels_long(spark, sf_dir):
 
 
 def holdout(spark, sf_dir):
-    return SP.holdout_stratified(labels_long(spark, sf_dir), SHARE, SEED, n_parts=len(CATS))
+    return SP.holdout_stratified(labels_long(spark, sf_dir), SHARE, SEED)
 
 
 def kfold(spark, sf_dir):
     train = holdout(spark, sf_dir).where(F.col("split") == SP.TRAIN)
-    return SP.kfold_stratified(train, K, SEED, n_parts=len(CATS))
+    return SP.kfold_stratified(train, K, SEED)
 
 
 def plain_holdout(spark, sf_dir):
@@ -139,28 +138,19 @@ def fold_views(spark, sf_dir):
     return SP.fold_views(kfold(spark, sf_dir), K).select("row_id", "category", "fold", "view", "role")
 
 
-@register("growing_subsets", SQL_HOLDOUT + f""",
-t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(SEED, "'subset'", 'category', 'row_id')}) AS _r,
-             count(*) OVER (PARTITION BY category) AS _n FROM h WHERE split = 'train'),
-e AS (SELECT row_id, category, unnest(generate_series((_r + {CHUNK - 1}) // {CHUNK}, _n // {CHUNK})) AS _j FROM t)
-SELECT row_id, category, CAST(_j * {CHUNK} AS INTEGER) AS train_size FROM e
-""")
-def growing_subsets(spark, sf_dir):
-    train = holdout(spark, sf_dir).where(F.col("split") == SP.TRAIN)
-    return SP.growing_subsets(train, CHUNK, SEED, n_parts=len(CATS)).select("row_id", "category", "train_size")
+SQL_SUBSETS = f""",
+gt AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(SEED, "'subset'", 'category', 'row_id')}) AS _r,
+              count(*) OVER (PARTITION BY category) // {STEPS} AS _c FROM h WHERE split = 'train'),
+gs AS (SELECT row_id, category, label, CAST(_j * _c AS INTEGER) AS train_size FROM
+       (SELECT *, unnest(generate_series((_r + _c - 1) // _c, {STEPS})) AS _j FROM gt WHERE _r <= _c * {STEPS}))"""
 
 
-@register("task_mix", SQL_HOLDOUT + f""",
-t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(SEED, "'mix'", 'category', 'row_id')}) AS mix_rank,
-             count(*) OVER (PARTITION BY category) AS _n FROM h WHERE split = 'train'),
-m AS (SELECT *, min(_n) OVER () AS _min FROM t)
-SELECT row_id, category, mix_rank,
-       CAST((mix_rank - 1) * {len(CATS)} + list_position(['quality', 'toxic'], category) AS BIGINT) AS mix_pos
-FROM m WHERE mix_rank <= _min
+@register("growing_subsets", SQL_HOLDOUT + SQL_SUBSETS + """
+SELECT row_id, category, train_size FROM gs
 """)
-def task_mix(spark, sf_dir):
+def growing_subsets(spark, sf_dir):
     train = holdout(spark, sf_dir).where(F.col("split") == SP.TRAIN)
-    return SP.task_mix(train, CATS, SEED).select("row_id", "category", "mix_rank", "mix_pos")
+    return SP.growing_subsets(train, STEPS, SEED).select("row_id", "category", "train_size")
 
 
 SQL_VOTES = f""",
@@ -173,6 +163,30 @@ mv AS (SELECT row_id, doc_id, category, CAST(sum(vote) * 2 > count(*) AS INTEGER
        FROM v GROUP BY row_id, doc_id, category)"""
 
 
+# Multi-task rows: majority labels, training on fully agreed rows only, so that categories
+# differ in size and the mix has something to even out.
+SQL_AGREED = "WITH " + SQL_LONG + SQL_VOTES + sql_holdout("mv", "h") + """,
+ha AS (SELECT * FROM h WHERE split <> 'train' OR full_agree)"""
+
+
+def agreed_holdout(spark, sf_dir):
+    h = SP.holdout_stratified(majority(spark, sf_dir), SHARE, SEED)
+    return h.where((F.col("split") != SP.TRAIN) | F.col("full_agree"))
+
+
+@register("task_mix", SQL_AGREED + f""",
+t AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {S.md5_key(SEED, "'mix'", 'category', 'row_id')}) AS mix_rank,
+             count(*) OVER (PARTITION BY category) AS _n FROM ha WHERE split = 'train'),
+m AS (SELECT *, min(_n) OVER () AS _min FROM t)
+SELECT row_id, category, mix_rank,
+       CAST((mix_rank - 1) * {len(CATS)} + list_position(['quality', 'toxic'], category) AS BIGINT) AS mix_pos
+FROM m WHERE mix_rank <= _min
+""")
+def task_mix(spark, sf_dir):
+    train = materialize(agreed_holdout(spark, sf_dir).where(F.col("split") == SP.TRAIN).select("row_id", "category"))
+    return SP.task_mix(train, CATS, SEED).select("row_id", "category", "mix_rank", "mix_pos")
+
+
 @register("majority_vote", "WITH " + SQL_LONG + SQL_VOTES + """
 SELECT row_id, category, label, full_agree, n_votes FROM mv
 """)
@@ -184,9 +198,7 @@ def majority_vote(spark, sf_dir):
 SELECT row_id, category, label, split FROM h WHERE split <> 'train' OR full_agree
 """)
 def full_agreement_train(spark, sf_dir):
-    h = SP.holdout_stratified(majority(spark, sf_dir), SHARE, SEED, n_parts=len(CATS))
-    return (h.where((F.col("split") != SP.TRAIN) | F.col("full_agree"))
-            .select("row_id", "category", "label", "split"))
+    return agreed_holdout(spark, sf_dir).select("row_id", "category", "label", "split")
 
 
 @register("holdout_check", SQL_HOLDOUT + """,
@@ -203,4 +215,4 @@ FROM sz LEFT JOIN bo ON sz.category = bo.category LEFT JOIN mi ON sz.category =
 """)
 def holdout_check(spark, sf_dir):
     """The hold-out is a disjoint and complete partition of every category's rows."""
-    return SP.check_partition(labels_long(spark, sf_dir), holdout(spark, sf_dir))
+    return SP.check_partition(labels_long(spark, sf_dir), materialize(holdout(spark, sf_dir)))

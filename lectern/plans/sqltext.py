@@ -6,7 +6,7 @@ from __future__ import annotations
 UWS = (r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}"
        r"\x{202F}\x{205F}\x{3000}]")
 UDIGIT = r"\p{Nd}"
-TOKEN_SPLIT = r"[ \t\n\x0B\f\r]+"
+TOKEN = r"\[[A-Z]+\]|[^ \t\n\x0B\f\r\p{P}]+|\p{P}"
 
 
 def q(s: str) -> str:
@@ -37,7 +37,7 @@ def model_text(expr: str, sep: str = " [SEP] ") -> str:
 
 
 def tokens(expr: str) -> str:
-    return f"list_filter(string_split_regex({expr}, {q(TOKEN_SPLIT)}), lambda x: x <> '')"
+    return f"regexp_extract_all({expr}, {q(TOKEN)})"
 
 
 def letter_words(expr: str) -> str:

@@ -16,6 +16,9 @@ from ..operators.metrics import METRICS
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
              "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
+# Column names of the metric tables on disk.
+SINK_NAMES = {m: m.replace("_", " ") for m in METRICS} | {"train_size": "training size"}
+
 CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
 
 
@@ -37,7 +40,8 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 def write_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite",
               spaced_metric_names: bool = True, categories=None) -> None:
-    """CSV sink; metric columns get the reference's spaced names (``f1 macro``) here only.
+    """CSV sink; metric columns get the reference's spaced names (``f1 macro``,
+    ``training size``) here only.
 
     With ``categories`` the rows are written in category order (the only place an order
     matters); the sort runs inside each output partition, not as a global sort.
@@ -45,10 +49,11 @@ def write_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite"
     out = df
     if categories is not None and "category" in df.columns:
         ordinal = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
-        out = out.sortWithinPartitions(ordinal, *[c for c in ("fold", "train_size") if c in df.columns])
+        # the partition columns first: the writer would sort by them again and lose the rest
+        out = out.sortWithinPartitions(*partition_by, ordinal,
+                                       *[c for c in ("fold", "train_size") if c in df.columns])
     if spaced_metric_names:
-        out = out.select(*[F.col(c).alias(c.replace("_", " ")) if c in METRICS else F.col(c)
-                           for c in df.columns])
+        out = out.select(*[F.col(c).alias(SINK_NAMES.get(c, c)) for c in df.columns])
     (out.write.mode(mode).options(**CSV_OPTIONS)
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(*partition_by).csv(path))
@@ -56,10 +61,11 @@ def write_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite"
 
 def read_metrics_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Reads a metric CSV written by ``write_csv`` back to snake-case columns."""
-    spaced = T.StructType([T.StructField(f.name.replace("_", " ") if f.name in METRICS else f.name,
-                                         f.dataType, f.nullable) for f in schema.fields])
+    spaced = T.StructType([T.StructField(SINK_NAMES.get(f.name, f.name), f.dataType, f.nullable)
+                           for f in schema.fields])
+    back = {v: k for k, v in SINK_NAMES.items()}
     df = spark.read.schema(spaced).options(**CSV_OPTIONS).option("basePath", path).csv(path)
-    return df.select(*[F.col(f"`{c}`").alias(c.replace(" ", "_")) for c in df.columns])
+    return df.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in df.columns])
 
 
 def write_predictions(df: DataFrame, path: str,

@@ -3,7 +3,6 @@
 import pytest
 
 from conftest import SF_SMALL
-from lectern.operators import ranking
 from lectern.plans.queries import queries
 
 NAMES = ["holdout_stratified", "kfold_stratified", "cv_results", "learning_curve_metrics",
@@ -15,9 +14,8 @@ def collect(spark, name):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_shuffle_joins_give_same_result(spark, name, monkeypatch):
+def test_shuffle_joins_give_same_result(spark, name):
     expected = collect(spark, name)
-    monkeypatch.setattr(ranking, "BROADCAST_MAX_ROWS", 0)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")

@@ -24,7 +24,7 @@ def test_score_list_and_pick(spark):
 
 def test_excluded_category_is_not_scored(spark):
     sents = spark.createDataFrame([(1, 0, "good day")], "doc_id long, pos int, sentence string")
-    w = spark.createDataFrame([("a", "good", 1.0), ("rationale", "good", 5.0)], "category string, token string, weight double")
-    b = spark.createDataFrame([("a", 0.0), ("rationale", 0.0)], "category string, bias double")
+    w = spark.createDataFrame([("good", [1.0, 5.0])], "token string, w array<double>")
+    b = spark.createDataFrame([([0.0, 0.0],)], "bias array<double>")
     out = PV.score_sentences(sents, w, b, ["a", "rationale"]).collect()
     assert [r["category"] for r in out] == ["a"] and out[0]["is_yes"]

@@ -56,14 +56,34 @@ def test_kfold_plain_matches_ntile(spark):
 
 
 def test_subsets_nested(spark):
-    df = long_rows(spark, {"a": (180, 40)})
-    s = SP.growing_subsets(df, chunk=50).collect()
+    df = long_rows(spark, {"a": (180, 43), "b": (3, 0)})
+    s = SP.growing_subsets(df, steps=5).collect()
     by = {}
     for r in s:
-        by.setdefault(r["train_size"], set()).add(r["row_id"])
-    assert sorted(by) == [50, 100, 150, 200]
-    for a, b in zip(sorted(by), sorted(by)[1:]):
-        assert len(by[a]) == a and by[a] < by[b]
+        by.setdefault((r["category"], r["train_size"]), set()).add(r["row_id"])
+    assert sorted(by) == [("a", n) for n in (44, 88, 132, 176, 220)]  # too few rows of b for five chunks
+    sizes = sorted(n for _, n in by)
+    for a, b in zip(sizes, sizes[1:]):
+        assert len(by["a", a]) == a and by["a", a] < by["a", b]
+
+
+def test_null_labels_and_categories_lose_no_row(spark):
+    rows = [(i, None if i % 6 == 0 else "a", None if i % 4 == 0 else i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "row_id long, category string, label int")
+    assert SP.holdout_stratified(df).count() == 24
+    folds = SP.kfold_stratified(df, k=5).collect()
+    assert len(folds) == 24 and all(1 <= r["fold"] <= 5 for r in folds)
+
+
+def test_holdout_check_and_language_split_once(spark):
+    from lectern.operators import lang as LG
+
+    docs = spark.createDataFrame([(1, "the cat and the dog"), (2, "le chat et la souris"), (3, None), (4, "xyz")],
+                                 "doc_id long, text string")
+    df = LG.language_id(docs)
+    assert {r["doc_id"]: r["lang_detected"] for r in df.collect()} == {1: "en", 2: "fr", 3: "unknown", 4: "unknown"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1, plan
 
 
 def test_exact_rank_equals_window_under_skew(spark):
@@ -77,6 +97,13 @@ def test_exact_rank_equals_window_under_skew(spark):
     assert a == b
 
 
+def test_task_mix_within_views(spark):
+    df = long_rows(spark, {"a": (10, 0), "b": (6, 0)}).withColumn("view", F.explode(F.array(F.lit(1), F.lit(2))))
+    df = df.where("view = 1 or row_id < 12")
+    c = Counter((r["view"], r["category"]) for r in SP.task_mix(df, ["a", "b"], within="view").collect())
+    assert c == {(1, "a"): 6, (1, "b"): 6, (2, "a"): 2, (2, "b"): 2}
+
+
 def test_task_mix_even(spark):
     df = long_rows(spark, {"a": (40, 10), "b": (20, 5)})
     m = SP.task_mix(df, ["a", "b"]).collect()
