@@ -5,17 +5,50 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
+import struct
 import unicodedata
+from unicodedata import category
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .encode import KEPT_WORDS, tokenizer_path, words_of
-
-# White space of the tokenizer's normaliser (Unicode White_Space), and its word pattern: fixed values.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE + r"\p{L}\p{N}]+"
+from .encode import tokenizer_path, words_of
+
+# Parts (and words) whose ids a Python worker keeps, in two tables of this size.
+KEPT_PARTS, KEPT_CHARS = 400_000, 16 << 20
+# White space of the tokenizer's normaliser (Unicode White_Space), and the contractions of its
+# word pattern: fixed values.
+SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200b)}
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+ASCII_WORD = re.compile("|".join(CONTRACTIONS) + r"|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
+
+
+def split_words(text: str) -> list[str]:
+    """The tokenizer's words of a normalised text: a contraction's end, a run of letters, one
+    number, or a run of anything else but white space, whichever fits first."""
+    if text.isalpha():
+        return [text]
+    if text.isascii():
+        return ASCII_WORD.findall(text)
+    kinds = ["S" if c in SPACES else category(c)[0] for c in text]
+    out, i = [], 0
+    while i < len(text):
+        j = i + 1
+        end = next((c for c in CONTRACTIONS if text.startswith(c, i)), None) if text[i] == "'" else None
+        if end:
+            j = i + len(end)
+        elif kinds[i] == "L":
+            while j < len(text) and kinds[j] == "L":
+                j += 1
+        elif kinds[i] not in ("N", "S") or (kinds[i] == "S" and text[i] not in SPACES):
+            while j < len(text) and kinds[j] not in ("L", "N") and text[j] not in SPACES:
+                j += 1
+        if text[i] not in SPACES:
+            out.append(text[i:j])
+        i = j
+    return out
 
 
 def byte_letters() -> list[str]:
@@ -34,8 +67,6 @@ class MergeTable:
     """
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -48,11 +79,12 @@ class MergeTable:
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
-        self.pattern = regex.compile(WORD)
-        self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))
-                                         + ")") if self.added else None
+        self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+                                      + ")") if self.added else None
         self.word_ids: dict[str, list[int]] = {}
         self.part_ids: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.chars = 0
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word (letters of its bytes): all pairs' merge ranks in a priority queue,
@@ -90,12 +122,11 @@ class MergeTable:
                 continue
             plain = unicodedata.normalize("NFC", piece)
             plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-            for word in self.pattern.findall(plain):
+            for word in split_words(plain):
                 ids = self.word_ids.get(word)
                 if ids is None:
                     ids = self.merge("".join(self.letters[b] for b in word.encode("utf-8")))
-                    if len(word) <= 64:  # long words are rare; the table's memory stays bounded
-                        self.word_ids[word] = ids
+                    self.word_ids[word] = ids
                 out.extend(ids)
         return out
 
@@ -106,20 +137,18 @@ class MergeTable:
     def both(self, text: str | None) -> tuple[bytes, bytes]:
         """Ids as little-endian unsigned 32-bit integers, and the decoded text in UTF-8. Parts
         between white space are encoded and decoded once per worker and joined in order."""
-        import numpy as np
-
-        if len(self.word_ids) > KEPT_WORDS or len(self.part_ids) > KEPT_WORDS:
-            self.word_ids.clear()
-            self.part_ids.clear()
-        known, found = self.part_ids, []
-        for part in words_of(text or ""):
-            got = known.get(part)
+        if max(len(self.part_ids), len(self.word_ids)) > KEPT_PARTS or self.chars > KEPT_CHARS:
+            # the older table goes; parts met again move back, so frequent ones stay
+            self.part_ids, self.older, self.word_ids, self.chars = {}, self.part_ids, {}, 0
+        known, parts = self.part_ids, words_of(text or "")
+        for part in set(parts).difference(known):
+            got = self.older.get(part)
             if got is None:
                 ids = self.encode_part(part)
-                got = (np.array(ids, dtype="<u4").tobytes(), self.decode(ids).encode("utf-8"))
-                if len(part) <= 64:
-                    known[part] = got
-            found.append(got)
+                got = (struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8"))
+            known[part] = got
+            self.chars += len(part)
+        found = [known[part] for part in parts]
         return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])
 
 
@@ -137,8 +166,8 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     """``(doc_id, ids array<int>, decoded)``, or with ``digests`` ``(doc_id, n_tokens,
     ids_sha256, decoded_sha256)``, of every whole text.
 
-    A map over the scan, with no shuffle; a worker holds one Arrow batch of texts and at most
-    KEPT_WORDS words.
+    A map over the scan, with no shuffle; a worker holds one Arrow batch of texts and two
+    tables of KEPT_PARTS words.
 
     Defined cases: null and empty texts have no ids and decode to the empty text; null ids are
     kept; repeated rows each give a row; a very long text is one list; an empty table gives no
