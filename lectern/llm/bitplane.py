@@ -24,8 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import prefix_offsets
+from .common import prefix_offsets, prepare, staged, tidied
 from .encode import encoder, tokenizer_path
 
 BLOCK = 65_536
@@ -97,7 +96,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str | None = None,
     blocks as it needs; an empty table writes no block; other columns are not read.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     source = tokenizer or tokenizer_path()
 
     def blocks(batches):
@@ -105,7 +104,7 @@ def write_token_blocks(docs: DataFrame, path: str, tokenizer: str | None = None,
 
     (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
      .repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-     .mapInArrow(blocks, BLOCK_SCHEMA)
+     .mapInArrow(tidied(blocks, keep="encode"), BLOCK_SCHEMA)
      .write.option("compression", "none").parquet(path))
 
 
@@ -138,9 +137,8 @@ def _blocks(batches, source: str, end_id: int) -> Iterator:
                         ("doc_ids", pa.list_(pa.int64())), ("doc_at", pa.list_(pa.int64())),
                         ("doc_n", pa.list_(pa.int64()))])
     for batch in batches:
-        keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for i, key in enumerate(keys):
-            ids = enc.encode([texts[i].as_py()])[0] + end
+        for key, ids in zip(batch.column("doc_id").to_pylist(), enc.each(batch.column("text"))):
+            ids += end
             n, used = len(ids) // 4, 0
             docs.append((key, at, n))
             at += n
@@ -161,15 +159,16 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     total per part) and the place within the part. Blocks are read alone, in any order; a
     document over several blocks is put together from its pieces' checksums.
     """
-    ship_package(spark)
+    prepare(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    pieces = blocks.mapInArrow(_pieces, PIECE_SCHEMA)
-    # one row per piece; nearly all documents are one piece, the rest have one per block
+    pieces = staged(blocks.mapInArrow(tidied(_pieces), PIECE_SCHEMA), "pieces")
+    whole = (pieces.where("piece_n = n_tokens")  # nearly all documents lie in one block
+             .select("part", "at", "doc_id", "n_tokens", F.col("crc").alias("ids_crc32")))
     joined = F.udf(_join_pieces, "long")
-    docs = (pieces.groupBy("part", "at", "doc_id", "n_tokens")
-            .agg(F.array_sort(F.collect_list(F.struct("piece_at", "piece_n", "crc"))).alias("pieces"))
-            .withColumn("ids_crc32", F.when(F.size("pieces") == 1, F.col("pieces")[0]["crc"])
-                        .otherwise(joined("pieces"))))
+    cut = (pieces.where("piece_n < n_tokens").groupBy("part", "at", "doc_id", "n_tokens")  # one row per block
+           .agg(F.array_sort(F.collect_list(F.struct("piece_at", "piece_n", "crc"))).alias("pieces"))
+           .select("part", "at", "doc_id", "n_tokens", joined("pieces").alias("ids_crc32")))
+    docs = whole.unionByName(cut)
     totals = blocks.groupBy("part").agg(F.sum("n_ids").cast("long").alias("ids"))
     before = prefix_offsets(totals, "part", ["ids"])
     return (docs.join(F.broadcast(before.select("part", "ids_before")), "part")  # one row per part

@@ -13,7 +13,7 @@ from unicodedata import category
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from .common import prepare, tidied
 from .encode import tokenizer_path, words_of
 
 # Parts (and words) whose ids a Python worker keeps, in two tables of this size.
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
     kept; repeated rows each give a row; a very long text is one list; an empty table gives no
     rows; other columns are not read.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     path = tokenizer or tokenizer_path()
     schema = ("doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests
               else "doc_id long, ids array<int>, decoded string")
@@ -205,4 +205,4 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, id_col: str
                     ["doc_id", "ids", "decoded"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, schema))
+            .mapInArrow(tidied(run, keep="bpe"), schema))

@@ -83,8 +83,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty table gives no rows; other columns are not read.
     """
     listed = recipes(docs, id_col, text_col).withColumn("rh", F.xxhash64("recipe"))
-    groups = (listed.groupBy("rh", "recipe")
-              .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"))
+    # a table of its own, so that AQE sees two plain sides and splits the join at a hot group
+    groups = staged(listed.groupBy("rh", "recipe")
+                    .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"),
+                    "groups")
     return (listed.alias("d").join(groups.alias("g"), ["rh", "recipe"], "left")
             .select("doc_id",
                     F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

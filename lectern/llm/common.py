@@ -10,8 +10,21 @@ from pyspark.sql.window import Window
 
 from ..session import shared_dir, ship_package
 
-# Rows of an id table that may be broadcast: 1M longs are 8 MB. Larger ones are shuffled.
-BROADCAST_IDS = 1_000_000
+# Rows of an id table that may be broadcast: 300k longs are some 20 MB as a hash table. Larger ones are shuffled.
+BROADCAST_IDS = 300_000
+
+
+# Rows of an Arrow batch between Spark and Python: whole texts may be long, and a batch is held on
+# either side.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """What operators with Python steps need: the package on the executors, small batches."""
+    ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -72,13 +85,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shared folder; per round a node's edges are reduced by a map-side combined ``min``, and
     the join back to a hot node is a plain equi-join that AQE can split.
     """
-    ship_package(edges.sparkSession)
+    prepare(edges.sparkSession)
     e = (edges.where("a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")))
-    e = staged(e.mapInPandas(_local_forest, "u long, v long").distinct(), "edges")
+    e = staged(e.mapInPandas(tidied(_local_forest), "u long, v long").distinct(), "edges")
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         # large star: every larger neighbour of u hangs under u's smallest neighbour
         large = (both.where("v > u").join(low, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
@@ -135,6 +148,37 @@ def _local_forest(batches):
         yield pd.DataFrame({"u": [x for x, _ in out], "v": [r for _, r in out]}, dtype="int64")
 
 
+def tidied(fn, keep: str | None = None):
+    """``fn`` (batches -> batches) for a worker that other stages have used before: tables that
+    operators keep from task to task are dropped first, but for those of ``keep``, and freed
+    memory goes back to the system at either end, so that a job of many stages needs no more
+    memory than its largest stage."""
+    def run(batches):
+        _free(keep)
+        yield from fn(batches)
+        _free(keep)
+    return run
+
+
+def _free(keep: str | None) -> None:
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    for name, tables in (("encode", "_ENCODERS"), ("bpe", "_TABLES")):
+        module = sys.modules.get(f"{__package__}.{name}")
+        if name != keep and module is not None and getattr(module, tables):
+            getattr(module, tables).clear()
+            gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can
+        pass
+
+
 def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table through Spark's reader (any file system Spark knows)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -13,8 +13,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import components, staged
+from .common import components, prepare, staged, tidied
 
 THRESHOLD = 0.95
 SAMPLE = 20_000        # vectors that the codebooks and the depth are fitted on, at most
@@ -143,7 +142,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     component_id; an empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     part = F.col("v")
     base = staged(vectors.select(F.monotonically_increasing_id().alias("row"),
                                  F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
@@ -164,7 +163,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
                        stats["n"], threshold, target_recall)
 
     places = staged(classes.select("cls", "n", "v").mapInArrow(
-        lambda batches: _places(batches, index, dim), "cell long, home boolean, cls long, n long, v binary"), "places")
+        tidied(lambda batches: _places(batches, index, dim)), "cell long, home boolean, cls long, n long, v binary"), "places")
     # blocks of a cell: one row per cell (k * k at most)
     blocks = places.groupBy("cell").agg(
         F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("h_blocks"),
@@ -178,7 +177,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
                              F.lit(False).alias("home"), "cls", "n", "v", F.col("home").alias("own"))
     met = (homes.withColumn("own", F.lit(True)).unionByName(visitors)
            .repartition("cell", "hb", "vb").sortWithinPartitions("cell", "hb", "vb")
-           .mapInArrow(lambda batches: _compare(batches, index, threshold), "cls long, root long, n_links long"))
+           .mapInArrow(tidied(lambda batches: _compare(batches, index, threshold)), "cls long, root long, n_links long"))
     met = staged(met, "links")
 
     counts = met.groupBy("cls").agg(F.sum("n_links").alias("linked"))
@@ -188,7 +187,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
                .select("row", "vec_id", F.coalesce("component", "cls").alias("component"),
                        (F.col("n") - 1 + F.coalesce("linked", F.lit(0).cast("long"))).alias("n_links")))
     byclass = staged(byclass, "byclass")
-    low = byclass.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    low = staged(byclass.groupBy("component").agg(F.min("vec_id").alias("component_id")), "low")
     found = byclass.join(low, "component").select("vec_id", "n_links", "component_id")
     rest = base.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                         F.col("vec_id").alias("component_id"))

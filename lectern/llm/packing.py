@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..session import ship_package
-from .common import prefix_offsets, staged
+from .common import prefix_offsets, prepare, staged, tidied
 from .encode import encoder, tokenizer_path
 
 MAX_TOKENS = 2048
@@ -77,7 +76,7 @@ def cut_documents(docs: DataFrame, size: int = MAX_TOKENS, end_id: int = END_ID,
                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``size`` ids of every whole text (with ``end_id`` at its end): full
     pieces and a last, shorter one. ``with_ids`` adds the ids themselves, little-endian."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     source = tokenizer or tokenizer_path()
 
     def run(batches):
@@ -89,12 +88,12 @@ def cut_documents(docs: DataFrame, size: int = MAX_TOKENS, end_id: int = END_ID,
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: dict[str, list] = {n: [] for n in names}
-            for key, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = enc.encode([text.as_py()])[0] + end
+            for key, ids in zip(batch.column("doc_id").to_pylist(), enc.each(batch.column("text"))):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, size):
                     piece = ids[4 * at:4 * (at + size)]
-                    values = (key.as_py(), at, len(piece) // 4, zlib.crc32(piece), n, pid, tie, piece)
+                    values = (key, at, len(piece) // 4, zlib.crc32(piece), n, pid, tie, piece)
                     for name, v in zip(names, values):
                         rows[name].append(v)
                     tie += 1
@@ -105,7 +104,7 @@ def cut_documents(docs: DataFrame, size: int = MAX_TOKENS, end_id: int = END_ID,
 
     kinds = {n: pa.int64() for n in names} | {"length": pa.int32(), "pid": pa.int32(), "ids": pa.binary()}
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, PIECE + ", ids binary" * with_ids))
+            .mapInArrow(tidied(run, keep="encode"), PIECE + ", ids binary" * with_ids))
 
 
 def pack_documents(docs: DataFrame, size: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: str | None = None,

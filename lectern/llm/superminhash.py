@@ -14,8 +14,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import components, find, free_names, sized, staged, union, without_ids
+from .common import components, find, free_names, prepare, sized, staged, tidied, union, without_ids
 from .hashing import batch_words, mix, sequences
 
 WIDTH = 5                 # words of a shingle
@@ -177,17 +176,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of their own, linked if their texts are alike; a very long text is hashed in segments; an
     empty table gives no rows; other columns are not read.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(_sign, SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
+    signed = staged(texts.mapInArrow(tidied(_sign), SIGNED).withColumn("row", F.monotonically_increasing_id()), "signed")
     thin = signed.select("row", "doc_id", "n_shingles", "set_key")
     classes = staged(thin.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("node")), "classes")
     reps = staged(signed.join(classes.select("node"), F.col("row") == F.col("node"), "left_semi")
                   .withColumnRenamed("row", "node"), "reps")
 
     seen = reps.select(F.explode("bands").alias("key"), "node")
-    heads = seen.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = staged(seen.join(heads.select("key", "head"), "key"), "shared")
+    # a table of its own (as below): AQE then sees two plain sides and splits the join at a hot key
+    heads = staged(seen.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+                   .select("key", "head"), "heads")
+    shared = staged(seen.join(heads, "key"), "shared")
     stars = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     links = staged(_verified(stars, reps, texts), "links")
     groups = components(links)
@@ -204,7 +205,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = staged(thin.join(classes, "set_key", "left").join(groups, "node", "left")
                     .select("row", "doc_id", "n_shingles", F.coalesce("component", "node", "row").alias("group")),
                     "placed")
-    low = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    low = staged(placed.groupBy("group").agg(F.min("doc_id").alias("component_id")), "low")
     return (placed.join(low, "group").select("doc_id", "n_shingles", "component_id")
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
@@ -236,7 +237,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     return (_full_sets(roles.select("node").distinct(), reps, texts).join(sized(roles), "node")
             .repartition("hub", "portion").sortWithinPartitions("hub", "portion", F.desc("is_hub"))
             .select("hub", "portion", "is_hub", "node", "members")
-            .mapInArrow(_against_hub, "a long, b long"))
+            .mapInArrow(tidied(_against_hub), "a long, b long"))
 
 
 def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -244,7 +245,7 @@ def _full_sets(nodes: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame
     needed = staged(nodes.join(reps.select("node", "doc_id", "set_key"), "node"), "needed")
     mine = needed.select("node", "set_key", F.col("doc_id").alias("_doc"))
     return (texts.join(sized(mine), F.col("doc_id").eqNullSafe(F.col("_doc")))
-            .select("node", "set_key", "text").mapInArrow(_sets, "node long, members binary"))
+            .select("node", "set_key", "text").mapInArrow(tidied(_sets), "node long, members binary"))
 
 
 def _sets(batches):
@@ -306,7 +307,7 @@ def _alike(rows: DataFrame, reps: DataFrame) -> DataFrame:
     signatures agree enough."""
     full = rows.join(reps.select("node", "slots", "n_shingles"), "node")
     return (_in_blocks(full, "key", ["group", "node", "slots", "n_shingles"])
-            .mapInArrow(lambda batches: _each_block(batches, False), "a long, b long"))
+            .mapInArrow(tidied(lambda batches: _each_block(batches, False)), "a long, b long"))
 
 
 def _across(regions: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -315,7 +316,7 @@ def _across(regions: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
     full = (_full_sets(regions.select("node"), reps, texts).join(regions, "node").join(blocks, "region")
             .join(reps.select("node", "slots", "n_shingles"), "node"))
     return (_in_blocks(full, "region", ["group", "node", "slots", "n_shingles", "members"])
-            .mapInArrow(lambda batches: _each_block(batches, True), "a long, b long"))
+            .mapInArrow(tidied(lambda batches: _each_block(batches, True)), "a long, b long"))
 
 
 def _each_block(batches, verify: bool):

@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
-from .common import sized, staged
+from .common import prepare, sized, staged, tidied
 from .hashing import SEGMENT, _segment_words, mix
 
 WINDOW, STRIDE = 64, 48      # words of a window; the next one begins STRIDE words later
@@ -325,7 +324,7 @@ def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
     import pyarrow as pa
 
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
     docs = docs.drop("toxicity_score", "toxicity_flag")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType()),
@@ -349,7 +348,7 @@ def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id",
                      pa.array([int(v >= threshold) for v in scores], pa.int32())],
                     [*part.schema.names, "toxicity_score", "toxicity_flag"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def drop_toxic(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
