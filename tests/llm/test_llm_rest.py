@@ -194,7 +194,8 @@ def toxic_table(spark, n=400, seed=3):
     return frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
-def test_toxicity_on_held_out_rows(spark):
+def test_toxicity_on_held_out_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WINDOWS", 20_000)
     docs, labels = toxic_table(spark)
     model = toxicity.fit(docs, labels)
     got = toxicity.score_documents(docs, model).withColumn("held", toxicity.held_out(F.col("doc_id"))).collect()
@@ -224,7 +225,8 @@ def test_toxicity_without_labels(spark):
 
 
 # ---------------------------------------------------------------- pipeline
-def test_pipeline_against_plain_stages(spark, tmp_path):
+def test_pipeline_against_plain_stages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WINDOWS", 5_000)  # both runs train alike: the seed is fixed
     import corpus_pipeline
     from test_llm_dedup import LOW, near_expected, words
 
