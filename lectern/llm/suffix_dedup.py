@@ -15,11 +15,10 @@ from __future__ import annotations
 import hashlib
 from functools import cmp_to_key
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .common import sized, staged, without_ids
+from .common import prepare, sized, staged, tidied, without_ids
 from .hashing import mix, powers
 
 LENGTH = 200
@@ -27,7 +26,7 @@ GRAM = 64
 SPREAD = LENGTH - GRAM + 1   # anchors a window chooses from
 SEGMENT = 1 << 19            # bytes whose anchors are found at once
 GROUP = 2000                 # different surroundings of one anchor string sorted in one task
-KNOWN = 2_000_000            # repeated anchor strings that may be broadcast (16 MB)
+STEP = 8                     # windows that are first counted together
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -279,24 +278,42 @@ def _sort_groups(batches):
         yield flush(rows)
 
 
+def _cores(batches):
+    """For every STEP offsets in a row, the bytes that their windows have in common, as a digest."""
+    import pyarrow as pa
+
+    for big in batches:
+        cols: tuple[list, ...] = ([], [], [], [], [])
+        for k, at, lo, hi, n, before, after in zip(*(big.column(c).to_pylist() for c in
+                                                     ("k", "at", "lo", "hi", "n", "before", "after"))):
+            text = before[::-1] + after
+            for a in range(lo - lo % STEP, hi + 1, STEP):
+                # common to the offsets a to a + STEP - 1: a bytes before the anchor, and as many
+                # after as the last of them reaches
+                core = text[len(before) - a:len(before) + LENGTH - (a + STEP - 1)]
+                row = (hashlib.blake2b(core + a.to_bytes(4, "little"), digest_size=16).digest(), k, at, a, n)
+                for col, v in zip(cols, row):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
+                                         ["w", "k", "at", "a", "n"])
+
+
 def _single_windows(batches):
-    """Every window of the surroundings, as a digest of its bytes."""
+    """The windows at the asked-for offsets of the surroundings, as digests of their bytes."""
     import pyarrow as pa
 
     for big in batches:
-        for s in range(0, big.num_rows, 200):
-            cols: tuple[list, ...] = ([], [], [], [])
-            part = big.slice(s, 200)
-            for k, at, lo, hi, n, before, after in zip(*(part.column(c).to_pylist() for c in
-                                                         ("k", "at", "lo", "hi", "n", "before", "after"))):
-                text = before[::-1] + after
-                for o in range(lo, hi + 1):
-                    b = len(before) - o
-                    row = (hashlib.blake2b(text[b:b + LENGTH], digest_size=16).digest(), k, at - o, n)
-                    for col, v in zip(cols, row):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
-                                             ["w", "k", "begin", "n"])
+        cols: tuple[list, ...] = ([], [], [], [])
+        for k, at, lo, hi, n, before, after, starts in zip(*(big.column(c).to_pylist() for c in
+                                                             ("k", "at", "lo", "hi", "n", "before", "after", "starts"))):
+            text = before[::-1] + after
+            for o in (o for a in starts for o in range(max(a, lo), min(a + STEP - 1, hi) + 1)):
+                b = len(before) - o
+                row = (hashlib.blake2b(text[b:b + LENGTH], digest_size=16).digest(), k, at - o, n)
+                for col, v in zip(cols, row):
+                    col.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *[pa.array(c, pa.int64()) for c in cols[1:]]],
+                                         ["w", "k", "begin", "n"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -317,9 +334,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
        count. Of the others, and one of each kind of the former, the surroundings are fetched,
        brought together by anchor string and suffix-sorted.
     4. An anchor string with more than GROUP different surroundings (a passage many documents
-       share, at its edges) is not collected: its windows are counted one by one as digests.
+       share, at its edges) is not collected: what every STEP windows have in common is counted
+       as a digest, and only where that occurs twice are the windows counted one by one.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     thin = staged(keyed.select("k", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"),
                                F.sha2(F.col("text").cast("binary"), 256).alias("sha")), "thin")
@@ -330,10 +348,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spare = staged(marked.where("copies > 1 and k <> first").select("k").distinct(), "spare")
     some = without_ids(keyed.select("k", "text").where(F.octet_length("text") >= LENGTH), spare, ["k"])
 
-    twice = staged(some.select("text").mapInArrow(_anchor_hashes, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    twice = staged(some.select("text").mapInArrow(tidied(_anchor_hashes), "h long").groupBy("h").agg(F.count("*").alias("n"))
                    .where("n > 1").select("h"), "twice")
-    found = staged(some.mapInArrow(_anchor_rows, "h long, c long, k long, at long, lo int, hi int")
-                   .join(sized(twice, KNOWN), "h", "left_semi"), "anchors")
+    found = staged(some.mapInArrow(tidied(_anchor_rows), "h long, c long, k long, at long, lo int, hi int")
+                   .join(twice, "h", "left_semi"), "anchors")
 
     kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "lo", "hi")).alias("one"))
     kinds = staged(kinds, "kinds")
@@ -347,11 +365,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = staged(wanted, "wanted")
     lists = staged(wanted.groupBy("k").agg(F.collect_list(F.struct("h", "c", "n", "at", "lo", "hi")).alias("wanted")),
                    "lists")  # a document's own anchors
-    n_wanted = wanted.count()
-    asked = F.broadcast(lists) if n_wanted <= KNOWN // 2 else lists
-    around = some.join(asked, "k")
+    around = some.join(lists, "k")
     around = around.select("k", "wanted", "text").mapInArrow(
-        _surroundings, "h long, c long, k long, at long, lo int, hi int, n long, before binary, after binary")
+        tidied(_surroundings), "h long, c long, k long, at long, lo int, hi int, n long, before binary, after binary")
     hot = staged(wanted.where("many").select("h").distinct(), "hot")
     if hot.isEmpty():
         spans, rest = around, None
@@ -359,17 +375,36 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         around = staged(around, "around")
         spans, rest = around.join(hot, "h", "left_anti"), around.join(hot, "h", "left_semi")
     edges = (spans.select("h", "k", "at", "lo", "hi", "n", "before", "after")
-             .repartition("h").sortWithinPartitions("h").mapInArrow(_sort_groups, SPAN))
+             .repartition("h").sortWithinPartitions("h").mapInArrow(tidied(_sort_groups), SPAN))
     if rest is not None:
-        single = staged(rest.mapInArrow(_single_windows, "w binary, k long, begin long, n long"), "single")
+        cores = staged(rest.mapInArrow(tidied(_cores), "w binary, k long, at long, a long, n long"), "cores")
+        shared = cores.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
+        alive = (cores.join(shared, "w", "left_semi").groupBy("k", "at")
+                 .agg(F.collect_set("a").alias("starts")))  # SPREAD / STEP at most
+        single = staged(rest.join(alive, ["k", "at"])
+                        .select("k", "at", "lo", "hi", "n", "before", "after", "starts")
+                        .mapInArrow(tidied(_single_windows), "w binary, k long, begin long, n long"), "single")
         often = single.groupBy("w").agg(F.sum("n").alias("t")).where("t > 1").select("w")
         edges = edges.unionByName(single.where("n = 1").join(often, "w", "left_semi")
                                   .select("k", "begin", (F.col("begin") + LENGTH).alias("end")))
     spans = (whole.unionByName(edges).groupBy("k")  # a document's own spans
-             .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")))
+             .agg(_merged(F.array_sort(F.collect_set(F.struct("begin", "end")))).alias("spans")))
     return marked, staged(spans.join(marked.where("copies = 1").select("k").distinct(), "k", "left_semi"), "spans")
 
 
+def _merged(spans: Column) -> Column:
+    """Sorted spans, those that touch or overlap joined: few are left for each document."""
+    kind = "array<struct<begin:bigint,end:bigint>>"
+
+    def add(done, span):
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
+        return (F.when(last["end"] >= span["begin"],
+                       F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+                .otherwise(F.concat(done, F.array(span))).cast(kind))
+    return F.aggregate(spans, F.array().cast(kind), add)
+
+
 def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
     """The text without the union of the spans; removed bytes and maximal removed runs."""
     kept, removed, runs, at = [], 0, 0, 0
@@ -418,7 +453,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names[:5 + texts])
 
     keyed = _keyed(docs, id_col, text_col)
-    cut = keyed.join(small, "k").select("doc_id", "spans", "text").mapInArrow(run, out)
+    cut = keyed.join(small, "k").select("doc_id", "spans", "text").mapInArrow(tidied(run), out)
     if texts:
         rest = keyed.join(sized(touched), "k", "left_anti").join(marked.drop("doc_id").distinct(), "k")
         kept = F.when(copied, F.lit("")).otherwise(F.col("text")).cast("binary")
