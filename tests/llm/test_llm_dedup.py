@@ -291,6 +291,39 @@ def test_fuzzy_passage(spark):
     assert .85 <= got.identity < 1
 
 
+def test_edit_path_has_the_columns_of_edit_columns():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in range(2))
+        path, x, y = chain_dedup.edit_path(a, b), 0, 0
+        for c in path:
+            if c in (chain_dedup.SAME, chain_dedup.OTHER):
+                assert (a[x] == b[y]) == (c == chain_dedup.SAME)
+            x, y = x + (c != chain_dedup.ONLY_B), y + (c != chain_dedup.ONLY_A)
+        assert (x, y) == (len(a), len(b))
+        assert (path.count(chain_dedup.SAME), len(path)) == chain_dedup.edit_columns(a, b)
+
+
+def test_exact_passages_with_a_weak_stretch_between(spark):
+    rng = random.Random(14)
+    mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    one, two = mk(55), mk(55)
+    seeds = [(i, i) for i in range(0, 50, 5)] + [(103 + i, 103 + i) for i in range(0, 50, 5)]
+    a, b = ([*range(55), *range(n, n + 48), *range(55, 110)] for n in (1000, 2000))
+    assert [p[:2] for p in chain_dedup.align(seeds, a, 0, b, 0)] == [(0, 55), (103, 158)]
+    data = []
+    for i in range(12):
+        one, two = mk(55), mk(55)
+        for j in range(2):
+            data.append((2 * i + j, " ".join(mk(30) + one + mk(48) + two + mk(30)), None, None, None))
+    cover = defaultdict(set)
+    for r in chain_dedup.passages(frame(spark, data)).collect():
+        assert r.identity >= .75 and r.end_word - r.begin_word >= 50
+        cover[r.doc_id].update(range(r.begin_word, r.end_word))
+    for i in range(12):
+        assert cover[2 * i + 1] == {*range(30, 85), *range(133, 188)}
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
