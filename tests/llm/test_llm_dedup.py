@@ -324,6 +324,29 @@ def test_exact_passages_with_a_weak_stretch_between(spark):
         assert cover[2 * i + 1] == {*range(30, 85), *range(133, 188)}
 
 
+def test_exact_passages_of_frequent_lines(spark):
+    # every line, and every half of a passage, occurs in an earlier document that has no more of it
+    rng = random.Random(21)
+    mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    lines = [mk(rng.randrange(10, 22)) for _ in range(40)]
+    texts = [sum(([*line, *mk(4)] for line in rng.sample(lines, 20)), []) for _ in range(12)]
+    shared = [sum(rng.sample(lines, 5), [])[:n] for n in (50, 50, 51, 55, 60, 60, 70, 80)]
+    texts += [[*mk(9), *p[at:at + 42], *mk(9)] for p in shared for at in (0, 8, len(p) - 42)]
+    texts += [[*mk(rng.randrange(5, 70)), *p, *mk(rng.randrange(5, 70))] for p in shared * 2]
+    data = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    cover, first = defaultdict(set), {}
+    for r in chain_dedup.passages(frame(spark, data)).collect():
+        assert r.end_word - r.begin_word >= 50 and .75 <= r.identity <= 1
+        cover[r.doc_id].update(range(r.begin_word, r.end_word))
+    found = 0
+    for i, w in enumerate(texts):
+        for at in range(len(w) - 49):
+            if first.setdefault(tuple(w[at:at + 50]), i) != i:
+                found += 1
+                assert cover[i] >= set(range(at, at + 50)), (i, at)
+    assert found > 50
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
