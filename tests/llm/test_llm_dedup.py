@@ -347,6 +347,27 @@ def test_exact_passages_of_frequent_lines(spark):
     assert found > 50
 
 
+def edited_pairs(rng, cases, trials):
+    """Pairs of documents that share a passage of n words of which a share is replaced, as rows;
+    the earlier document of pair i has the id 2 * i."""
+    mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    data = []
+    for n, share in cases:
+        for _ in range(trials):
+            passage = mk(n)
+            gone = set(rng.sample(range(1, n - 1), int(n * share)))
+            for p in (passage, [f"x{rng.randrange(10 ** 9)}" if i in gone else w for i, w in enumerate(passage)]):
+                data.append((len(data), " ".join(mk(60) + p + mk(60)), None, None, None))
+    return data
+
+
+def test_recall_of_edited_passages(spark):
+    cases = [(n, share) for n in (55, 60, 100) for share in (.1, .15, .2, .24)]
+    found = {r.doc_id for r in chain_dedup.passages(frame(spark, edited_pairs(random.Random(31), cases, 40))).collect()}
+    for c, case in enumerate(cases):
+        assert sum(2 * i + 1 in found for i in range(40 * c, 40 * c + 40)) >= 36, case
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
