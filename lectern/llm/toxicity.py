@@ -22,6 +22,7 @@ DIM, HIDDEN = 16, 12
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
 TRAIN_WINDOWS = 70_000       # windows seen in training, over all rounds
 DROPOUT = 0.4                # of a word's features, in training
+LONGEST = 40                 # bytes of a word; longer runs are cut into pieces, each a word of its own
 PART = 1 << 20               # bytes scored at once
 HOLD = 30.0                  # update-gate input that keeps the state as it is (padding)
 
@@ -39,7 +40,8 @@ def byte_tables():
 
 def read_words(texts: list[bytes]):
     """Words of the texts: place of each word among the distinct ones, bounds per text, and per
-    distinct word its features (rows of the embedding table) with their bounds."""
+    distinct word its features (rows of the embedding table) with their bounds. A run of over
+    LONGEST bytes is as many words as it takes."""
     import numpy as np
 
     low, gap = byte_tables()
@@ -50,7 +52,7 @@ def read_words(texts: list[bytes]):
         end = min(len(buf), at + SEGMENT)
         while end < len(buf) and not gap[buf[end]]:
             end += 1
-        a, b, c = _segment_words(buf[at:end], low, gap)
+        a, b, c = _pieces(buf[at:end], low, *_segment_words(buf[at:end], low, gap))
         s.append(a + at), e.append(b + at), h.append(c)
         at = end
     s, e, h = np.concatenate(s), np.concatenate(e), np.concatenate(h)
@@ -59,12 +61,54 @@ def read_words(texts: list[bytes]):
     return place, bounds, *features(low[buf], s[first], e[first], u)
 
 
+def _pieces(buf, low, s, e, h):
+    """Words of a byte array with those of over LONGEST bytes cut into consecutive pieces. A cut is
+    never within a character of valid UTF-8."""
+    import numpy as np
+
+    long = np.nonzero(e - s > LONGEST)[0]
+    if not len(long):
+        return s, e, h
+    inside = (buf & 0xC0) == 0x80  # bytes that go on with a character
+    begins, ends = [], []
+    for a, b in zip(s[long].tolist(), e[long].tolist()):
+        while a < b:
+            cut = min(b, a + LONGEST)
+            while cut < b and cut > a + LONGEST - 4 and inside[cut]:
+                cut -= 1
+            begins.append(a), ends.append(cut)
+            a = cut
+    begins, ends = np.array(begins), np.array(ends)
+    n = ends - begins
+    marked = np.cumsum(n + 1) - (n + 1)  # the pieces, a separator after each, hashed like words
+    text = np.full(int((n + 1).sum()), 32, np.uint8)
+    inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    text[np.repeat(marked, n) + inner] = buf[np.repeat(begins, n) + inner]
+    hashes, at = [], 0
+    while at < len(marked):
+        to = max(at + 1, int(np.searchsorted(marked, marked[at] + SEGMENT - LONGEST)))
+        hashes.append(_segment_words(text[marked[at]:marked[to] if to < len(marked) else len(text)], low, text_gap())[2])
+        at = to
+    keep = np.ones(len(s), bool)
+    keep[long] = False
+    s, e, h = (np.concatenate([x[keep], y]) for x, y in ((s, begins), (e, ends), (h, np.concatenate(hashes))))
+    order = np.argsort(s, kind="stable")
+    return s[order], e[order], h[order]
+
+
+def text_gap():
+    """The one separator of the pieces: no byte of a word is a space."""
+    import numpy as np
+
+    return np.arange(256) == 32
+
+
 def features(buf, s, e, h):
     """Embedding rows of each word, as one array with bounds: the word itself, all its runs of
     four bytes (with a mark at either end), and its first 2, 4 and 5 bytes."""
     import numpy as np
 
-    n = np.minimum(e - s, 40)  # bytes of a word looked at one by one; the word's hash has them all
+    n = e - s
     marked = np.cumsum(n + 2) - (n + 2)
     text = np.full(int((n + 2).sum()) + 4, 60, dtype=np.uint64)  # '<' before each word
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -254,7 +298,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 5) -> dict:
 
     rng, p = np.random.default_rng(seed), fresh(seed)
     data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    sizes = [max(1, t.count(b" ") // WINDOW) for t in data]
+    sizes = [max(1, t.count(b" ") // WINDOW, len(t) // (LONGEST * WINDOW)) for t in data]
     rounds = int(np.clip(TRAIN_WINDOWS / max(1, sum(sizes)), 4, 40))
     m = {k: np.zeros_like(v) for k, v in p.items() if k != "emb"}
     s = {k: np.zeros_like(v) for k, v in p.items()}

@@ -180,6 +180,23 @@ def test_windows_cover_whole_texts():
         assert all(ids[i, 0] == i * toxicity.STRIDE for i in range(len(ids)))
 
 
+def test_long_runs_are_read_whole():
+    p = toxicity.fresh()
+    for run in ("字" * 300, "z" * 900, "é1" * 400):
+        for at in (5, 100, len(run) - 1):
+            a, b = toxicity.score_texts(p, [run.encode(), (run[:at] + "q" + run[at + 1:]).encode()])
+            assert a != b, (run[:2], at)
+    # pieces are words in order: they cover the run, end between characters and are what they are alone
+    data = ("ab " + "字" * 50 + " " + "x" * 81 + " cd").encode()
+    place, bounds, _, _ = toxicity.read_words([data])
+    parts = [b"ab", *["字".encode() * 13] * 3, "字".encode() * 11, b"x" * 40, b"x" * 40, b"x", b"cd"]
+    alone, _, _, _ = toxicity.read_words([b" ".join(parts)])
+    assert place.tolist() == alone.tolist() and bounds.tolist() == [0, len(parts)]
+    ids, _ = toxicity.windows(*toxicity.read_words(["字".encode() * 13 * 200])[:2], toxicity.STRIDE)
+    assert len(ids) == 1 + -(-(200 - toxicity.WINDOW) // toxicity.STRIDE)
+    assert toxicity.read_words([b"\x80" * 500])[1].tolist()[1] >= 500 // toxicity.LONGEST
+
+
 def toxic_table(spark, n=400, seed=3):
     rng = random.Random(seed)
     docs, labels = [], []
