@@ -7,8 +7,6 @@ import heapq
 import json
 import re
 import struct
-import unicodedata
-from unicodedata import category
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,39 +16,11 @@ from .encode import tokenizer_path, words_of
 
 # Parts (and words) whose ids a Python worker keeps, in two tables of this size.
 KEPT_PARTS, KEPT_CHARS = 400_000, 16 << 20
-# White space of the tokenizer's normaliser (Unicode White_Space), and the contractions of its
-# word pattern: fixed values.
-SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200b)}
+# The tokenizer's word pattern for ASCII text: contractions, runs of letters, single digits, runs of the rest.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 ASCII_WORD = re.compile("|".join(CONTRACTIONS) + r"|[A-Za-z]+|[0-9]|[^\t-\r A-Za-z0-9]+")
 
 
-def split_words(text: str) -> list[str]:
-    """The tokenizer's words of a normalised text: a contraction's end, a run of letters, one
-    number, or a run of anything else but white space, whichever fits first."""
-    if text.isalpha():
-        return [text]
-    if text.isascii():
-        return ASCII_WORD.findall(text)
-    kinds = ["S" if c in SPACES else category(c)[0] for c in text]
-    out, i = [], 0
-    while i < len(text):
-        j = i + 1
-        end = next((c for c in CONTRACTIONS if text.startswith(c, i)), None) if text[i] == "'" else None
-        if end:
-            j = i + len(end)
-        elif kinds[i] == "L":
-            while j < len(text) and kinds[j] == "L":
-                j += 1
-        elif kinds[i] not in ("N", "S") or (kinds[i] == "S" and text[i] not in SPACES):
-            while j < len(text) and kinds[j] not in ("L", "N") and text[j] not in SPACES:
-                j += 1
-        if text[i] not in SPACES:
-            out.append(text[i:j])
-        i = j
-    return out
-
-
 def byte_letters() -> list[str]:
     """The visible character that stands for each byte in a byte-level vocabulary: printable
     Latin-1 characters for themselves, the other bytes in order from U+0100."""
@@ -64,9 +34,15 @@ class MergeTable:
 
     Supports what the public BPE files use: NFC, white space to one space, lower case;
     a word pattern; byte-level letters; a word-end suffix; added tokens taken from the raw text.
+    Beyond ASCII, case, composition and character classes are those of the library's own
+    normaliser and pre-tokenizer, as Python's ``unicodedata`` may know another Unicode version.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -79,6 +55,7 @@ class MergeTable:
             self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.lowered = tuple(t.lower() for t in self.added)
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
                                       + ")") if self.added else None
         self.word_ids: dict[str, list[int]] = {}
@@ -113,6 +90,14 @@ class MergeTable:
                     heapq.heappush(queue, (m[0], p, ids[p], ids[q], m[1]))
         return [i for i in ids if i != -1]
 
+    def split_words(self, text: str) -> list[str]:
+        """The words of a raw text without added tokens, as letters of their bytes."""
+        if not text.isascii():
+            normal = self.normalizer.normalize_str(text)
+            return [word for word, _ in self.pre_tokenizer.pre_tokenize_str(normal)]
+        letters = self.letters
+        return ["".join([letters[b] for b in word.encode()]) for word in ASCII_WORD.findall(text.lower())]
+
     def encode_part(self, part: str) -> list[int]:
         """Ids of a text without white space inside (or of any text, part by part)."""
         out: list[int] = []
@@ -120,13 +105,10 @@ class MergeTable:
             if piece in self.added:
                 out.append(self.added[piece])
                 continue
-            plain = unicodedata.normalize("NFC", piece)
-            plain = plain.lower() if plain.isascii() else "".join(c.lower() for c in plain)
-            for word in split_words(plain):
+            for word in self.split_words(piece):
                 ids = self.word_ids.get(word)
                 if ids is None:
-                    ids = self.merge("".join(self.letters[b] for b in word.encode("utf-8")))
-                    self.word_ids[word] = ids
+                    ids = self.word_ids[word] = self.merge(word)
                 out.extend(ids)
         return out
 
@@ -140,7 +122,7 @@ class MergeTable:
         if max(len(self.part_ids), len(self.word_ids)) > KEPT_PARTS or self.chars > KEPT_CHARS:
             # the older table goes; parts met again move back, so frequent ones stay
             self.part_ids, self.older, self.word_ids, self.chars = {}, self.part_ids, {}, 0
-        known, parts = self.part_ids, words_of(text or "")
+        known, parts = self.part_ids, words_of(text or "", self.lowered)
         for part in set(parts).difference(known):
             got = self.older.get(part)
             if got is None:

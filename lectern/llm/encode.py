@@ -27,14 +27,15 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: str, added: tuple[str, ...] = ()) -> list[str]:
     """The text's parts between white space, lower-cased where that is safe. The tokenizer never
     joins characters across white space and lower-cases itself, so the ids of a text are its
-    parts' ids one after the other."""
-    if text.isascii():
-        text = text.lower()
-    elif not MARKS.search(text):
-        text = text.lower()
+    parts' ids one after the other. It takes the ``added`` tokens out of the raw text first: a
+    text that holds one of them in any case is left as it is."""
+    if text.isascii() or not MARKS.search(text):
+        low = text.lower()
+        if not any(a in low for a in added):
+            text = low
     return text.split() if not SEPARATORS.search(text) else [w for w in ASCII_SPACE.split(text) if w]
 
 
@@ -65,6 +66,7 @@ class WordEncoder:
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
+        self.added = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends, self.letters = self._for_letters(path)
 
     def _for_letters(self, path: str):
@@ -96,7 +98,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none), as bytes. Memory: the texts' words and two tables of
         KEPT_WORDS words."""
-        lists = [words_of(t or "") for t in texts]
+        lists = [words_of(t or "", self.added) for t in texts]
         if len(self.ids) > KEPT_WORDS or self.chars > KEPT_CHARS:
             self.ids, self.older, self.chars = {}, self.ids, 0
         new = set().union(*lists).difference(self.ids)

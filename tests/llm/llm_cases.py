@@ -24,7 +24,8 @@ def rows(seed: int = 3) -> list[tuple]:
     passage = prose(rng, 80)
     texts = [*base, base[0], base[0].upper(), " ".join(near), base[1], prose(rng, 40) + " " + passage + " " + prose(rng, 30),
              passage + " " + prose(rng, 50), prose(rng, 20) + "\n" + passage, None, "", "   ", "one two three", "one two three",
-             "a", "word" * 3000, prose(rng, 6000), "La " * 900, "été́ Σίσυφος 😀 x y", "<|endoftext|> it's 3.14!!"]
+             "a", "word" * 3000, prose(rng, 6000), "La " * 900, "été́ Σίσυφος 😀 x y", "<|endoftext|> it's 3.14!!",
+             "<|ENDOFTEXT|>", "a <|EndOfText|> b", "x<|STARTOFTEXT|>y"]
     out = [(i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
     out.append((2, base[2], None, None, None))          # a repeated row
     out.append((None, base[3], "en", None, 3))          # null id, copy of another text

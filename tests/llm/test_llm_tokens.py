@@ -40,6 +40,28 @@ def test_encoders_agree_with_the_library(text):
     assert decoded.decode() == tok.decode(ids, skip_special_tokens=False) == table.decode(ids)
 
 
+@pytest.mark.parametrize("pattern", [":{}", "a{}", "{}z9"])
+def test_every_code_point(tokenizer, pattern):
+    """All planes with characters: classes, case and composition are the library's."""
+    points = [c for c in (*range(0x80, 0x32400), *range(0xE0000, 0xE0200)) if not 0xD800 <= c <= 0xDFFF]
+    enc, table = encode.WordEncoder(encode.tokenizer_path()), bpe.MergeTable(encode.tokenizer_path())
+    wrong = []
+    for at in range(0, len(points), 50_000):
+        texts = [pattern.format(chr(c)) for c in points[at:at + 50_000]]
+        exp = [as_bytes(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        got = enc.encode(texts)
+        wrong += [t for t, e, g in zip(texts, exp, got) if g != e or table.both(t)[0] != e]
+    assert wrong == []
+
+
+def test_added_tokens_in_other_cases(tokenizer):
+    enc, table = encode.WordEncoder(encode.tokenizer_path()), bpe.MergeTable(encode.tokenizer_path())
+    for text in ("<|ENDOFTEXT|>", "a <|EndOfText|> b", "x<|STARTOFTEXT|>y", "<|endoftext|>X <|ENDOFTEXT|>",
+                 "É<|startoftext|>É", "<|endofteXt|>́"):
+        ids = as_bytes(tokenizer.encode(text, add_special_tokens=False).ids)
+        assert enc.encode([text])[0] == ids == table.both(text)[0], text
+
+
 def test_word_table_rolls_over(tokenizer, monkeypatch):
     monkeypatch.setattr(encode, "KEPT_WORDS", 5)
     monkeypatch.setattr(bpe, "KEPT_PARTS", 5)
