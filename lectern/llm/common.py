@@ -167,7 +167,7 @@ def _free(keep: str | None) -> None:
 
     import pyarrow as pa
 
-    for name, tables in (("encode", "_ENCODERS"), ("bpe", "_TABLES")):
+    for name, tables in (("encode", "_ENCODERS"), ("bpe", "_TABLES"), ("cross_align", "_PAIRS")):
         module = sys.modules.get(f"{__package__}.{name}")
         if name != keep and module is not None and getattr(module, tables):
             getattr(module, tables).clear()

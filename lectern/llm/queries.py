@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from . import bitplane, bpe, chain_dedup, chunk_dedup, multi_index, packing, shards, suffix_dedup, superminhash, toxicity
-from .common import scan_table
+from . import (bitplane, bpe, chain_dedup, chunk_dedup, cross_align, multi_index, order_minhash, packing, shards,
+               suffix_dedup, superminhash, toxicity, turn_repair)
+from .common import scan_table, staged
 from .registry import ORACLE, REGISTRY, register
 
 N_SHARDS = 40
@@ -79,6 +80,32 @@ def op10(spark, sf_dir):
         F.col("toxicity_flag").alias("predicted"))
 
 
+@register("op11_cross_align")
+def op11(spark, sf_dir):
+    aligned, _ = cross_align.align_tokenizers(scan_table(spark, sf_dir, "documents"), digests=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@register("op12_order_minhash")
+def op12(spark, sf_dir):
+    return order_minhash.against_next(scan_table(spark, sf_dir, "documents"))
+
+
+@register("op13_turn_repair")
+def op13(spark, sf_dir):
+    table = scan_table(spark, sf_dir, "conversations")
+    rows = turn_repair.damaged(table)
+    found = staged(turn_repair.diagnose(rows), "diagnoses")
+    hashes = turn_repair.digests(turn_repair.repair(rows, found))
+    every = table.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (every.join(found, every["conv_id"].eqNullSafe(found["conv_id"]), "left").drop(found["conv_id"])
+            .join(hashes, every["conv_id"].eqNullSafe(hashes["conv_id"]), "left").drop(hashes["conv_id"])
+            .select("conv_id", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256")))
+
+
 def queries():
     return dict(REGISTRY)
 
