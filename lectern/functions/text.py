@@ -128,6 +128,12 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(_c(c), F.lit(TOKEN), F.lit(0))
 
 
+def leading(token_array, max_length: int) -> Column:
+    """The tokens that a text of ``max_length`` places keeps beside its start and end token: what
+    token ids hold and what a truncating scorer reads."""
+    return F.slice(_c(token_array), 1, max_length - 2)
+
+
 def letter_words(c) -> Column:
     """Lower-cased runs of letters, for language profiles."""
     return F.filter(F.split(F.lower(_c(c)), LETTER_SPLIT), lambda x: x != "")

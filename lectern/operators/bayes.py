@@ -29,9 +29,13 @@ def model_tokens(text_col: str = "text", sep_replacement: str = " [SEP] "):
     return TF.tokens(TF.model_text(F.col(text_col), sep_replacement))
 
 
-def term_counts(texts: DataFrame, ids=("row_id",), text_col: str = "text") -> DataFrame:
-    """``(ids…, token, tf)``: the one table that fits and scores share."""
-    return (texts.select(*ids, F.explode(model_tokens(text_col)).alias("token"))
+def term_counts(texts: DataFrame, ids=("row_id",), text_col: str = "text", max_length: int | None = None) -> DataFrame:
+    """``(ids…, token, tf)``: the one table that fits and scores share. With ``max_length`` only
+    the tokens that fixed-length ids would hold are counted."""
+    tokens = model_tokens(text_col)
+    if max_length is not None:
+        tokens = TF.leading(tokens, max_length)
+    return (texts.select(*ids, F.explode(tokens).alias("token"))
             .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 

@@ -7,6 +7,9 @@ present in truth; micro averages equal accuracy (one label per row).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +65,69 @@ def metric_columns(tp="tp", fp="fp", fn="fn", tn="tn") -> list[Column]:
     return [vals[m].alias(m) for m in METRICS]
 
 
-def eval_metrics(df: DataFrame, keys, truth: str = "label", pred: str = "pred") -> DataFrame:
-    """Fourteen metrics per group of ``keys`` from one confusion aggregate."""
-    conf = confusion(df, keys, truth, pred)
-    return conf.select(*keys, *metric_columns())
+@dataclass(frozen=True)
+class UserMetric:
+    """A metric of one's own as a state that can be merged.
+
+    ``state`` maps a row's truth, prediction and probability to named numbers, which are added
+    up within a group; ``finish`` turns the sums into the metric. States of parts of the data
+    (partitions, days, folds) merge by adding, so a metric never needs its rows again.
+    """
+
+    name: str
+    state: Callable[[Column, Column, Column], dict[str, Column]]
+    finish: Callable[[dict[str, Column]], Column]
+
+
+def _state_columns(metrics, row: tuple[Column, Column, Column]) -> dict[str, Column]:
+    return {f"{m.name}__{k}": c for m in metrics for k, c in m.state(*row).items()}
+
+
+def metric_states(df: DataFrame, keys, metrics, truth: str = "label", pred: str = "pred", prob: str | None = "prob") -> DataFrame:
+    """One row of summed states per group; ``prob`` may be absent (None) for metrics that ignore it."""
+    row = (F.col(truth), F.col(pred), F.col(prob) if prob else F.lit(None).cast("double"))
+    return df.groupBy(*keys).agg(*[F.sum(c).alias(k) for k, c in _state_columns(metrics, row).items()])
+
+
+def merge_states(states: DataFrame, keys) -> DataFrame:
+    """States of finer groups, or of several tables united, added up to ``keys``."""
+    return states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in states.columns if "__" in c])
+
+
+def finish_states(states: DataFrame, keys, metrics) -> DataFrame:
+    """``(keys…, one column a metric)``."""
+    def of(m):
+        prefix = f"{m.name}__"
+        return m.finish({c[len(prefix):]: F.col(c) for c in states.columns if c.startswith(prefix)}).alias(m.name)
+
+    return states.select(*keys, *[of(m) for m in metrics])
+
+
+def _cells(t: Column, p: Column, _: Column) -> dict[str, Column]:
+    cell = lambda a, b: ((t == a) & (p == b)).cast("long")
+    return {"tp": cell(1, 1), "fp": cell(0, 1), "fn": cell(1, 0), "tn": cell(0, 0)}
+
+
+def _matthews(s: dict[str, Column]) -> Column:
+    tp, fp, fn, tn = (s[k].cast("double") for k in ("tp", "fp", "fn", "tn"))
+    return _div(tp * tn - fp * fn, F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)))
+
+
+MATTHEWS = UserMetric("mcc", _cells, _matthews)
+BRIER = UserMetric("brier", lambda t, _, p: {"sq": (p - t) * (p - t), "n": F.when(p.isNotNull() & t.isNotNull(), 1).otherwise(0)},
+                   lambda s: _div(s["sq"], s["n"]))
+
+
+def eval_metrics(df: DataFrame, keys, truth: str = "label", pred: str = "pred", user=(), prob: str = "prob") -> DataFrame:
+    """Fourteen metrics per group of ``keys`` from one confusion aggregate; ``user`` metrics
+    are computed by the same aggregate."""
+    if not user:
+        return confusion(df, keys, truth, pred).select(*keys, *metric_columns())
+    states = metric_states(df, keys, [UserMetric("conf", _cells, _matthews), *user], truth, pred, prob)
+    own = finish_states(states, keys, user).columns[len(list(keys)):]
+    done = states.select("*", *[m.finish({c[len(m.name) + 2:]: F.col(c) for c in states.columns if c.startswith(f"{m.name}__")})
+                                .alias(m.name) for m in user])
+    return done.select(*keys, *metric_columns(*[f"conf__{k}" for k in ("tp", "fp", "fn", "tn")]), *own)
 
 
 def trainer_metrics(df: DataFrame, keys, truth: str = "label", pred: str = "pred") -> DataFrame:

@@ -46,7 +46,7 @@ def special_id(token: Column) -> Column:
 
 def fixed_length(ids: Column, max_length: int) -> dict[str, Column]:
     """Start + first ``max_length - 2`` ids + end, padded to ``max_length``; with its mask."""
-    body = F.slice(ids, 1, max_length - 2)
+    body = TF.leading(ids, max_length)
     used = F.size(body) + 2
     pad = F.array_repeat(F.lit(PAD), F.lit(max_length) - used)
     input_ids = F.concat(F.array(F.lit(CLS)), body, F.array(F.lit(SEP)), pad)
@@ -54,25 +54,25 @@ def fixed_length(ids: Column, max_length: int) -> dict[str, Column]:
     return {"input_ids": input_ids, "attention_mask": mask}
 
 
-def token_ids(df: DataFrame, vocab: DataFrame, max_length: int, id_col: str = "row_id",
+def token_ids(df: DataFrame, vocab: DataFrame, max_length: int, ids=("row_id",),
               text_col: str = "text", keep=()) -> DataFrame:
-    """``(id, keep…, n_tokens, input_ids, attention_mask)`` for every row of ``df``.
+    """``(ids…, keep…, n_tokens, input_ids, attention_mask)`` for every row of ``df``, which
+    the columns ``ids`` name.
 
     Tokens are looked up in the vocabulary with a left join (AQE broadcasts a small
     vocabulary); unknown tokens get ``[UNK]``. The whole text is
     tokenised; ``n_tokens`` is its full length before truncation.
     """
-    toks = df.select(id_col, *keep, text_tokens(F.col(text_col)).alias("_t"))
+    toks = df.select(*ids, *keep, text_tokens(F.col(text_col)).alias("_t"))
     # The whole text is tokenised and counted (``n_tokens``); only the positions that fit
     # the fixed length are looked up, so the vocabulary join never grows with document length.
-    pos_tok = (toks.select(id_col, *keep, F.size("_t").alias("n_tokens"),
-                           F.posexplode_outer(F.slice("_t", 1, max_length - 2)).alias("_at", "token")))
+    pos_tok = (toks.select(*ids, *keep, F.size("_t").alias("n_tokens"),
+                           F.posexplode_outer(TF.leading("_t", max_length)).alias("_at", "token")))
     ided = pos_tok.join(vocab.select("token", "token_id"), "token", "left").withColumn(
         "_id", F.coalesce(special_id(F.col("token")), F.col("token_id"), F.lit(UNK)))
     pairs = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("_at", "_id")))
     carried = [F.first(c).alias(c) for c in (*keep, "n_tokens")]  # the same on all of a row's tokens
-    grouped = ided.groupBy(id_col).agg(F.sort_array(pairs).alias("_p"), *carried)
-    ids = F.transform(F.col("_p"), lambda p: p["_id"])
-    fx = fixed_length(ids, max_length)
-    return grouped.select(id_col, *keep, "n_tokens",
+    grouped = ided.groupBy(*ids).agg(F.sort_array(pairs).alias("_p"), *carried)
+    fx = fixed_length(F.transform(F.col("_p"), lambda p: p["_id"]), max_length)
+    return grouped.select(*ids, *keep, "n_tokens",
                           fx["input_ids"].alias("input_ids"), fx["attention_mask"].alias("attention_mask"))

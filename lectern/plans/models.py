@@ -54,12 +54,18 @@ def per_category(tf, h, cats, strict=False, mix=None, carry=()):
 def per_fold(tf, kf, cats, mix=None):
     """Every fold model of every category at once: a fold model's counts are the sum of the
     other folds' cells, and a row is scored by its own fold's model."""
+    rows, weights, bias = fold_models(tf, kf, cats, mix)
+    return NB.score(tf, rows.select("row_id", "category", "label", "fold", F.col("cell").alias("m")),
+                    weights, bias, len(cats) * Q.K)
+
+
+def fold_models(tf, kf, cats, mix=None):
+    """``(rows with their cell, weights, bias)`` of all fold models; a cell's model is that of its
+    category without its fold."""
     rows = numbered(kf, cats, Q.K)
     trains = [[c * Q.K + g for g in range(Q.K) if g != f] for c in range(len(cats)) for f in range(Q.K)]
-    weights, bias = NB.fit(tf, rows, len(cats) * Q.K, trains, mix=mix,
-                           views=None if mix is None else [f for _ in cats for f in range(Q.K)])
-    return NB.score(tf, rows.select("row_id", "category", "label", "fold", F.col("cell").alias("m")),
-                    weights, bias, len(trains))
+    return rows, *NB.fit(tf, rows, len(cats) * Q.K, trains, mix=mix,
+                         views=None if mix is None else [f for _ in cats for f in range(Q.K)])
 
 
 def binary_scores(spark, sf_dir, h=None, tf=None):
@@ -321,6 +327,37 @@ def score_binary(spark, sf_dir):
     return rounded(binary_scores(spark, sf_dir).select("row_id", "category", "label", "prob", "pred"), ["prob"])
 
 
+# What a model of MAX_LENGTH places reads: the tokens that fixed-length ids hold.
+MAX_LENGTH = 256
+SQL_BIN_TRUNCATED = SQL_BIN.replace(f"unnest({S.tokens(S.model_text('text'))})",
+                                    f"unnest(({S.tokens(S.model_text('text'))})[1:{MAX_LENGTH - 2}])")
+
+
+@register("score_binary_truncated", SQL_BIN_TRUNCATED + f"""
+SELECT row_id, category, label, round(prob, {DIGITS}) AS prob, pred FROM bs
+""")
+def score_binary_truncated(spark, sf_dir):
+    """Fitted on and applied to the tokens that fit MAX_LENGTH places with start and end."""
+    tf = materialize(NB.term_counts(texts(spark, sf_dir), max_length=MAX_LENGTH))
+    return rounded(binary_scores(spark, sf_dir, tf=tf).select("row_id", "category", "label", "prob", "pred"), ["prob"])
+
+
+@register("eval_metrics_user", SQL_CV + f""",
+uc AS (SELECT category, CAST(sum(CAST(label = 1 AND pred = 1 AS INTEGER)) AS DOUBLE) AS tp,
+              CAST(sum(CAST(label = 0 AND pred = 1 AS INTEGER)) AS DOUBLE) AS fp,
+              CAST(sum(CAST(label = 1 AND pred = 0 AS INTEGER)) AS DOUBLE) AS fn,
+              CAST(sum(CAST(label = 0 AND pred = 0 AS INTEGER)) AS DOUBLE) AS tn,
+              avg((prob - label) * (prob - label)) AS brier FROM cs GROUP BY category)
+SELECT category, round(coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0.0), {{DIGITS}}) AS mcc,
+       round(brier, {{DIGITS}}) AS brier FROM uc
+""".replace("{DIGITS}", str(DIGITS)))
+def eval_metrics_user(spark, sf_dir):
+    """Two metrics given as mergeable states: summed per fold, merged to the category, finished."""
+    own = [M.MATTHEWS, M.BRIER]
+    per_fold = M.metric_states(cv_scores(spark, sf_dir), ["category", "fold"], own)
+    return rounded(M.finish_states(M.merge_states(per_fold, ["category"]), ["category"], own), ["mcc", "brier"])
+
+
 @register("eval_metrics", SQL_BIN + "," + sql_metrics("bs", ["category"]))
 def eval_metrics(spark, sf_dir):
     return rounded(M.eval_metrics(binary_scores(spark, sf_dir), ["category"]), M.METRICS)
@@ -566,8 +603,9 @@ def model_registry_scores(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- Spark ML plug-in
-def lr_scores(spark, sf_dir, roundtrip: bool = False):
-    """Scores of the test rows; with ``roundtrip`` also the saved and loaded model's (``prob2``)."""
+def lr_scores(spark, sf_dir, roundtrip: bool = False, train_too: bool = False):
+    """Scores of the test rows (with ``train_too`` of all rows, by ``split``); with ``roundtrip`` also
+    the saved and loaded model's (``prob2``)."""
     from ..operators import ml as ML
     from ..session import scratch_path
     h = materialize(Q.holdout(spark, sf_dir).select("row_id", "category", "label", "split"))
@@ -575,7 +613,9 @@ def lr_scores(spark, sf_dir, roundtrip: bool = False):
     fmodel = ML.fit_features(tx, h.where(F.col("split") == SP.TRAIN))
     feats = materialize(ML.featurize(fmodel, tx).join(h, "row_id"))
     train, test = feats.where(F.col("split") == SP.TRAIN), feats.where(F.col("split") == SP.TEST)
-    heads = ML.fit_heads(train, CATS)
+    heads = ML.fit_heads(train, CATS, max_iter=100, reg_param=0.01)
+    if train_too:
+        return ML.score_heads(heads, feats).join(h.select("row_id", "category", "split"), ["row_id", "category"])
     scored = ML.score_heads(heads, test)
     if roundtrip:
         path = scratch_path(spark, "lr-model")
@@ -592,13 +632,20 @@ SELECT category, count(*) AS n_scored, CAST(0 AS BIGINT) AS {bad} FROM h WHERE s
 """
 
 
-@register("fit_binary_lr", _SQL_LR.format(bad="n_bad_prob"))
+@register("fit_binary_lr", Q.SQL_HOLDOUT + """
+SELECT category, CAST(sum(CAST(split = 'test' AS INTEGER)) AS BIGINT) AS n_scored, CAST(0 AS BIGINT) AS n_bad_prob,
+       CAST(sum(CASE WHEN split = 'train' THEN label ELSE 0 END) AS DOUBLE) AS train_positives
+FROM h GROUP BY category
+""")
 def fit_binary_lr(spark, sf_dir):
-    """Logistic regression heads over hashed TF-IDF features: rows scored per category, and how
-    many have no probability between 0 and 1."""
+    """Logistic regression heads over hashed TF-IDF features: test rows scored per category, how
+    many have no probability between 0 and 1, and the sum of the training rows' probabilities,
+    which at the optimum (the intercept is not penalised) is the number of positive labels."""
     good = F.col("prob").isNotNull() & ~F.isnan("prob") & F.col("prob").between(0, 1)
-    return (lr_scores(spark, sf_dir).groupBy("category")
-            .agg(F.count(F.lit(1)).alias("n_scored"), F.sum((~good).cast("long")).alias("n_bad_prob")))
+    test = F.col("split") == SP.TEST
+    return (lr_scores(spark, sf_dir, train_too=True).groupBy("category")
+            .agg(F.sum(test.cast("long")).alias("n_scored"), F.sum((test & ~good).cast("long")).alias("n_bad_prob"),
+                 F.round(F.sum(F.when(~test, F.col("prob"))), 1).alias("train_positives")))
 
 
 @register("model_roundtrip_lr", _SQL_LR.format(bad="n_changed"))
@@ -628,7 +675,7 @@ def _load_cue_scorer():
     return model
 
 
-def external_scores(spark, sf_dir):
+def external_scores(spark, sf_dir, batched: bool = False):
     """Each test text is scored once for all categories (one UDF pass over the text); the
     long test rows then pick their category's score list by position."""
     from ..functions import scoring as SC
@@ -636,7 +683,10 @@ def external_scores(spark, sf_dir):
     h = materialize(Q.holdout(spark, sf_dir))
     test = h.where(F.col("split") == SP.TEST).select("row_id", "category", "label")
     tx = texts(spark, sf_dir).join(test.select("row_id").distinct(), "row_id", "left_semi")
-    per_text = tx.select("row_id", EX.external_scores(F.col("text"), _load_cue_scorer, nested=True).alias("all"))
+    if batched:
+        per_text = EX.with_batched_scores(tx, "text", _load_cue_scorer, len(EXT_CUES), "all").select("row_id", "all")
+    else:
+        per_text = tx.select("row_id", EX.external_scores(F.col("text"), _load_cue_scorer, nested=True).alias("all"))
     ordinal = F.array_position(F.array(*[F.lit(c) for c in EXT_CUES]), F.col("category")) - 1
     return (test.join(per_text, "row_id")
             .select("row_id", "category", "label", SC.score_of(F.get(F.col("all"), ordinal.cast("int")), 1).alias("prob"))
@@ -659,6 +709,18 @@ def score_external(spark, sf_dir):
     return rounded(external_scores(spark, sf_dir), ["prob"])
 
 
+@register("score_external_batched", Q.SQL_HOLDOUT + SQL_TEXTS + f""",
+es AS (SELECT h.row_id, h.category, h.label,
+              1.0 / (1.0 + exp(-(CASE h.category """ + " ".join(
+    f"WHEN {S.q(c)} THEN {_sql_cue_count('tx.text', cue)}" for c, cue in EXT_CUES.items()) + f""" END - 3.0))) AS prob
+       FROM h JOIN tx ON h.row_id = tx.row_id WHERE h.split = 'test')
+SELECT row_id, category, label, round(prob, {DIGITS}) AS prob, CAST(prob >= 0.5 AS INTEGER) AS pred FROM es
+""")
+def score_external_batched(spark, sf_dir):
+    """The same scorer in batches of a fixed size (``predict_batch_udf``)."""
+    return rounded(external_scores(spark, sf_dir, batched=True), ["prob"])
+
+
 @register("predictions_binary", SQL_BIN + f"""
 SELECT bs.category, bs.row_id, l.doc_id, bs.pred AS yes_class, round(bs.prob, {DIGITS}) AS yes_prob
 FROM bs JOIN labels l ON bs.row_id = l.doc_id

@@ -7,8 +7,10 @@ from pyspark.sql import types as T
 
 from ..operators import bayes as NB
 from ..operators import metrics as M
+from ..operators.ranking import materialize
 from ..session import scratch_path
 from ..sources import io as IO
+from ..sources import model_store as MS
 from ..sources import tables as ST
 from . import models as MD
 from . import splits as Q
@@ -151,6 +153,32 @@ def prediction_sink_roundtrip(spark, sf_dir):
                        F.col("run_date").cast("string").alias("run_date"), "row_id", "doc_id", "value")
 
 
+@register("model_store_roundtrip", MD.SQL_CV + f"""
+SELECT row_id, category, fold, label, round(prob, {MD.DIGITS}) AS prob, pred FROM cs
+""")
+def model_store_roundtrip(spark, sf_dir):
+    """All fold models saved under their keys, category by category, loaded back and applied."""
+    kf = materialize(Q.kfold(spark, sf_dir).select("row_id", "category", "label", "fold"))
+    tf = MD.terms(spark, sf_dir)
+    rows, weights, bias = MD.fold_models(tf, kf, CATS)
+    names = [f"{c}/{f}" for c in CATS for f in range(1, Q.K + 1)]
+
+    def keyed(df):
+        part = F.split("category", "/")
+        return df.select(F.lit("binary").alias("approach"), F.get(part, F.lit(0)).alias("category"),
+                         F.get(part, F.lit(1)).cast("int").alias("fold"), *[c for c in df.columns if c != "category"])
+
+    long_weights, long_bias = materialize(keyed(NB.long_weights(weights, names))), materialize(keyed(NB.long_bias(bias, names)))
+    path = scratch_path(spark, "model-store")
+    for c in CATS:  # a later save leaves the earlier models alone
+        MS.save(long_weights.where(F.col("category") == c), long_bias.where(F.col("category") == c), path)
+    w, b = MS.load(spark, path, [("binary", c, f) for c in CATS for f in range(1, Q.K + 1)])
+    named = F.concat_ws("/", "category", "fold").alias("category")
+    s = NB.score(tf, rows.select("row_id", "category", "label", "fold", F.col("cell").alias("m")),
+                 NB.wide_weights(w.select(named, "token", "weight"), names), NB.wide_bias(b.select(named, "bias"), names), len(names))
+    return MD.rounded(s.select("row_id", "category", "fold", "label", "prob", "pred"), ["prob"])
+
+
 @register("model_roundtrip", MD.SQL_BIN + f"""
 SELECT row_id, category, label, round(prob, {MD.DIGITS}) AS prob, pred FROM bs
 """)

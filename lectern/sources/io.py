@@ -54,11 +54,18 @@ def write_csv(df: DataFrame, path: str, partition_by=(), mode: str = "overwrite"
                                        *[c for c in ("fold", "train_size") if c in df.columns])
     if spaced_metric_names:
         out = out.select(*[F.col(c).alias(SINK_NAMES.get(c, c)) for c in df.columns])
-    (out.write.mode(mode).options(**CSV_OPTIONS)
+    (out.write.mode(mode).options(**CSV_OPTIONS).options(**_replacing(partition_by))
      .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .partitionBy(*partition_by).csv(path))
 
 
+def _replacing(partition_by) -> dict:
+    """Overwriting replaces the partitions that are written and leaves the others as they are
+    (one category's run keeps the rest); a table without partitions is replaced whole. New files
+    are moved in when the job commits, which Spark marks with ``_SUCCESS``."""
+    return {"partitionOverwriteMode": "dynamic"} if partition_by else {}
+
+
 def read_metrics_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Reads a metric CSV written by ``write_csv`` back to snake-case columns."""
     spaced = T.StructType([T.StructField(SINK_NAMES.get(f.name, f.name), f.dataType, f.nullable)
@@ -72,7 +79,8 @@ def write_predictions(df: DataFrame, path: str,
                       partition_by=("approach", "kind", "category", "variant", "run_date"),
                       mode: str = "overwrite") -> None:
     """Prediction tables as gzip parquet, partitioned like the reference's file names."""
-    (df.write.mode(mode).option("compression", "gzip").partitionBy(*partition_by).parquet(path))
+    (df.write.mode(mode).option("compression", "gzip").options(**_replacing(partition_by))
+     .partitionBy(*partition_by).parquet(path))
 
 
 def read_predictions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -82,7 +90,7 @@ def read_predictions(spark: SparkSession, path: str, schema: T.StructType) -> Da
 def save_table_model(weights: DataFrame, bias: DataFrame, path: str, partition_by=("category",)) -> None:
     """A bag-of-words model (weights + bias tables) as parquet, one folder per model key."""
     parts = [c for c in partition_by if c in weights.columns]
-    weights.write.mode("overwrite").partitionBy(*parts).parquet(f"{path}/weights")
+    weights.write.mode("overwrite").options(**_replacing(parts)).partitionBy(*parts).parquet(f"{path}/weights")
     bias.write.mode("overwrite").parquet(f"{path}/bias")
 
 
