@@ -70,9 +70,11 @@ def without_ids(df: DataFrame, drop: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(drop) if n <= BROADCAST_IDS else drop, on, "left_anti")
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
-    """A staged thin table with a broadcast hint if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= rows else df
+def sized(df: DataFrame, lists: str | None = None, most: int = BROADCAST_IDS) -> DataFrame:
+    """A staged thin table with a broadcast hint if its rows, and the elements of its list column
+    ``lists``, together are counted within the bound."""
+    n = df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.size(lists)), F.lit(0)) if lists else F.count(F.lit(1))).first()[0]
+    return F.broadcast(df) if n <= most else df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

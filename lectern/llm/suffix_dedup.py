@@ -438,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     touched = spans.select("k")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts
-    small = sized(spans)
+    small = sized(spans, "spans")
 
     def run(batches):
         import pyarrow as pa

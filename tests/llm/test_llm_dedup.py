@@ -347,16 +347,21 @@ def test_exact_passages_of_frequent_lines(spark):
     assert found > 50
 
 
-def edited_pairs(rng, cases, trials):
-    """Pairs of documents that share a passage of n words of which a share is replaced, as rows;
-    the earlier document of pair i has the id 2 * i."""
+def edited_pairs(rng, cases, trials, kind="replaced"):
+    """Pairs of documents that share a passage of n words of which a share is edited, as rows; the
+    earlier document of pair i has the id 2 * i. Edits replace words, or else half of them insert
+    a word and half delete one."""
     mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
     data = []
     for n, share in cases:
         for _ in range(trials):
             passage = mk(n)
             gone = set(rng.sample(range(1, n - 1), int(n * share)))
-            for p in (passage, [f"x{rng.randrange(10 ** 9)}" if i in gone else w for i, w in enumerate(passage)]):
+            out = sorted(rng.sample(sorted(gone), len(gone) // 2)) if kind != "replaced" else []
+            new = lambda: f"x{rng.randrange(10 ** 9)}"
+            other = [w for i, v in enumerate(passage) for w in (
+                [v] if i not in gone else [new()] if kind == "replaced" else [] if i in out else [new(), v])]
+            for p in (passage, other):
                 data.append((len(data), " ".join(mk(60) + p + mk(60)), None, None, None))
     return data
 
@@ -368,6 +373,32 @@ def test_recall_of_edited_passages(spark):
         assert sum(2 * i + 1 in found for i in range(40 * c, 40 * c + 40)) >= 36, case
 
 
+def test_recall_of_inserted_and_deleted_words(spark):
+    cases = [(n, share) for n in (55, 70, 100) for share in (.1, .2)]
+    rows = edited_pairs(random.Random(32), cases, 40, "moved")
+    found = {r.doc_id for r in chain_dedup.passages(frame(spark, rows)).collect()}
+    got = {case: sum(2 * i + 1 in found for i in range(40 * c, 40 * c + 40)) for c, case in enumerate(cases)}
+    assert all(n >= 36 for n in got.values()), got
+
+
+def test_walk_takes_the_shortest_detour():
+    same, other, only_a, only_b = chain_dedup.SAME, chain_dedup.OTHER, chain_dedup.ONLY_A, chain_dedup.ONLY_B
+    a = list("abcdefgh")
+    assert list(chain_dedup.walk(a, a)) == [same] * 8
+    assert list(chain_dedup.walk(a, list("abXdefgh"))) == [same] * 2 + [other] + [same] * 5
+    assert list(chain_dedup.walk(a, list("abXcdefgh"))) == [same] * 2 + [only_b] + [same] * 6
+    assert list(chain_dedup.walk(a, list("abdefgh"))) == [same] * 2 + [only_a] + [same] * 5
+    for _ in range(200):
+        rng = random.Random(_)
+        b = [rng.choice("abcdefghX") for _ in range(rng.randrange(12))]
+        x = y = 0
+        for c in chain_dedup.walk(a, b):
+            if c in (same, other):
+                assert (a[x] == b[y]) == (c == same)
+            x, y = x + (c != only_b), y + (c != only_a)
+        assert x <= len(a) and y <= len(b) and (x == len(a) or y == len(b))
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
