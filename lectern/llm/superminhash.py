@@ -211,11 +211,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with the document of the smallest id of each component."""
-    key, = free_names(docs.columns, "gone_id")
-    gone = staged(near_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
-                  .select(F.col("doc_id").alias(key)).distinct(), "gone")
-    return without_ids(docs.withColumn(key, F.col(id_col).cast("long")), gone, [key]).select(*docs.columns)
+    """``docs``, all columns, with one row of each component: the one with the smallest id.
+
+    The rows are staged with a number of their own, and it is these numbers that are grouped, so
+    an id says which row of a component stays and nothing else.
+
+    Defined cases: those of :func:`near_groups`; rows that share an id are rows of their own, and
+    only those that have a near copy go; of repeated rows one stays, as of other copies; a null
+    id stays only where its component has no other; rows without shingles all stay; columns of
+    any name are kept; an empty table gives no rows.
+    """
+    row, = free_names(docs.columns, "row_number")
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_groups(numbered, row, text_col).select(F.col("doc_id").alias("at"), "component_id")
+    ids = numbered.select(F.col(row).alias("at"), F.col(id_col).cast("long").alias("id"))
+    placed = staged(groups.join(ids, "at"), "near-rows")
+    first = staged(placed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")),
+                   "near-first")
+    gone = staged(placed.join(first, "component_id").where("at <> first.at").select(F.col("at").alias(row)), "gone")
+    return without_ids(numbered, gone, [row]).select(*docs.columns)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
