@@ -124,10 +124,9 @@ def eval_metrics(df: DataFrame, keys, truth: str = "label", pred: str = "pred",
     if not user:
         return confusion(df, keys, truth, pred).select(*keys, *metric_columns())
     states = metric_states(df, keys, [UserMetric("conf", _cells, _matthews), *user], truth, pred, prob)
-    own = finish_states(states, keys, user).columns[len(list(keys)):]
-    done = states.select("*", *[m.finish({c[len(m.name) + 2:]: F.col(c) for c in states.columns if c.startswith(f"{m.name}__")})
-                                .alias(m.name) for m in user])
-    return done.select(*keys, *metric_columns(*[f"conf__{k}" for k in ("tp", "fp", "fn", "tn")]), *own)
+    cells = [f"conf__{k}" for k in ("tp", "fp", "fn", "tn")]
+    done = finish_states(states, [*keys, *cells], user)
+    return done.select(*keys, *metric_columns(*cells), *[m.name for m in user])
 
 
 def trainer_metrics(df: DataFrame, keys, truth: str = "label", pred: str = "pred") -> DataFrame:

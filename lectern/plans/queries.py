@@ -112,6 +112,21 @@ def labels_long(spark, sf_dir):
     return LO.to_long(_labels_wide(spark, sf_dir), CATS)
 
 
+@register("label_counts", f"""
+SELECT c.ordinal, c.category, CAST(sum(l.label) AS BIGINT) AS n_yes, count(*) AS n_rows
+FROM (VALUES (0, 'none'), (1, 'quality'), (2, 'toxic')) AS c(ordinal, category)
+JOIN (SELECT 'none' AS category, CAST(quality + toxic = 0 AS INTEGER) AS label FROM labels
+      UNION ALL SELECT 'quality', quality FROM labels UNION ALL SELECT 'toxic', toxic FROM labels) l USING (category)
+GROUP BY c.ordinal, c.category
+""")
+def label_counts(spark, sf_dir):
+    """Rows and positive labels of every category of the category dimension, with its place."""
+    rows = LO.to_long(LO.add_none(_labels_wide(spark, sf_dir), CATS, after="doc_id"), ML_CATS)
+    counts = rows.groupBy("category").agg(F.sum("label").cast("long").alias("n_yes"), F.count(F.lit(1)).alias("n_rows"))
+    return (ST.category_dimension(spark, CATS, with_none=True).join(counts, "category")
+            .select("ordinal", "category", "n_yes", "n_rows"))
+
+
 @register("label_none", f"""
 SELECT row_id, doc_id,
        CAST((coalesce(quality, 0) + coalesce(toxic, 0)) = 0 AS INTEGER) AS none,
