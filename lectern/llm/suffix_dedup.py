@@ -118,16 +118,29 @@ def _anchor_hashes(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view("int64"))], ["h"])
 
 
-def _anchor_rows(batches):
-    import numpy as np
-    import pyarrow as pa
+def _digests(texts: list[bytes], doc, place, lo, hi) -> list[bytes]:
+    """128-bit digests of the surroundings (the bytes of all windows) of anchors, and of the
+    anchor's place among them."""
+    at = zip(doc.tolist(), (place - hi).tolist(), (place - lo + LENGTH).tolist(), lo.tolist())
+    return [hashlib.blake2b(texts[x][b:e] + bytes((least,)), digest_size=16).digest() for x, b, e, least in at]
 
-    for part, texts in _texts(batches):
-        k = part.column("k").to_numpy()
-        for doc, place, lo, hi, h, c in text_anchors(texts):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view("int64")), pa.array(c.view("int64")), pa.array(k[doc]), pa.array(place),
-                 pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["h", "c", "k", "at", "lo", "hi"])
+
+def _anchor_rows(hash_bits: int):
+    """Rows of all anchors; of the surroundings' hash ``hash_bits`` bits are kept."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        bits = np.uint64((1 << hash_bits) - 1)
+        for part, texts in _texts(batches):
+            k = part.column("k").to_numpy()
+            for doc, place, lo, hi, h, c in text_anchors(texts):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view("int64")), pa.array((c & bits).view("int64")),
+                     pa.array(_digests(texts, doc, place, lo, hi), pa.binary()), pa.array(k[doc]), pa.array(place),
+                     pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                    ["h", "c", "d", "k", "at", "lo", "hi"])
+    return run
 
 
 def _surroundings(batches):
@@ -322,7 +335,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select(F.xxhash64("doc_id", "text").alias("k"), "doc_id", "text"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """What :func:`remove_repeats` removes: all documents ``(k, doc_id, n_bytes, sha, copies)``, and
     for those without a copy ``(k, spans array<begin, end>)`` where something repeats.
 
@@ -330,12 +344,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
        place where others' strings may occur.
     2. Anchor strings are counted (8 bytes an anchor, about one in 69 places); the texts are
        scanned again for the anchors whose string occurs twice.
-    3. Anchors whose surroundings (all bytes of their windows) occur twice are settled by
-       count. Of the others, and one of each kind of the former, the surroundings are fetched,
+    3. Anchors whose surroundings (all bytes of their windows) occur twice, equal by hash and
+       verified by a 128-bit digest of the bytes, are settled by count. Of the others, and one of each kind of the former, the surroundings are fetched,
        brought together by anchor string and suffix-sorted.
     4. An anchor string with more than GROUP different surroundings (a passage many documents
        share, at its edges) is not collected: what every STEP windows have in common is counted
        as a digest, and only where that occurs twice are the windows counted one by one.
+
+    ``hash_bits`` weakens the surroundings' hash: with fewer, more of them collide and are told
+    apart by the digests; the result is the same.
     """
     prepare(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
@@ -350,13 +367,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     twice = staged(some.select("text").mapInArrow(tidied(_anchor_hashes), "h long").groupBy("h").agg(F.count("*").alias("n"))
                    .where("n > 1").select("h"), "twice")
-    found = staged(some.mapInArrow(tidied(_anchor_rows), "h long, c long, k long, at long, lo int, hi int")
+    found = staged(some.mapInArrow(tidied(_anchor_rows(hash_bits)),
+                                                      "h long, c long, d binary, k long, at long, lo int, hi int")
                    .join(twice, "h", "left_semi"), "anchors")
 
-    kinds = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "lo", "hi")).alias("one"))
+    kinds = found.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "lo", "hi")).alias("one"))
     kinds = staged(kinds, "kinds")
     # anchors whose surroundings occur again: every window repeats
-    whole = (found.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    whole = (found.join(kinds.where("n > 1").select("h", "c", "d"), ["h", "c", "d"], "left_semi")
              .select("k", (F.col("at") - F.col("hi")).alias("begin"), (F.col("at") - F.col("lo") + LENGTH).alias("end")))
     # strings with several kinds of surroundings, one of them seen once at least
     open_ = (kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1"))
@@ -423,7 +441,7 @@ def _cut(text: bytes, spans) -> tuple[bytes, int, int]:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   texts: bool = False) -> DataFrame:
+                   texts: bool = False, hash_bits: int = 64) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, with ``texts`` also ``kept_text``
     (bytes), one row per document: every byte that a LENGTH-byte string covers which also
     starts anywhere else, in this or any document, is removed. Strings are judged on the input.
@@ -434,7 +452,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fall inside a character (bytes are what counts); an empty table gives no rows; other
     columns are not read.
     """
-    marked, spans = repeats(docs, id_col, text_col)
+    marked, spans = repeats(docs, id_col, text_col, hash_bits)
     copied = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     touched = spans.select("k")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text binary" * texts

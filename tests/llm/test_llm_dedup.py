@@ -204,6 +204,13 @@ def test_remove_repeats(spark, monkeypatch, group, segment):
     assert Counter(tuple(r) for r in got) == repeats_expected(data)
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_remove_repeats_survives_collisions_of_the_surroundings_hash(spark, bits):
+    data = repeated_rows()
+    got = suffix_dedup.remove_repeats(frame(spark, data), hash_bits=bits).collect()
+    assert Counter(tuple(r) for r in got) == repeats_expected(data)
+
+
 def test_remove_repeats_texts_and_columns(spark):
     got = suffix_dedup.remove_repeats(clashing(spark), texts=True).collect()
     assert Counter(tuple(r)[:5] for r in got) == repeats_expected(rows())
