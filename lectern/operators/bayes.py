@@ -1,10 +1,10 @@
 """Bag-of-words multinomial Naive Bayes for many models at once, with DataFrame aggregations.
 
 Everything runs on one table of term counts ``(row_id, token, tf)``. Training rows carry a
-*cell* (e.g. category x fold); a model trains on a list of cells. One aggregate over the
-tokens gives the counts of every cell, and the models are array arithmetic inside the
-token's row: a k-fold model is the sum of the other folds' cells, a learning-curve model
-the sum of the first chunks. A fitted set of models is
+*cell* (e.g. category x fold); a model trains on a list of cells. One aggregate over tokens
+and cells gives the counts of every cell, and the models are array arithmetic inside the
+token's row, so plans do not grow with cells and models: a k-fold model is the sum of the other
+folds' cells, a learning-curve model the sum of the first chunks. A fitted set of models is
 
 * ``weights (token, w array<double>)``: one row per token, one element per model;
 * ``bias (bias array<double>)``: one row.
@@ -23,6 +23,7 @@ from ..functions import scoring as SC
 from ..functions import text as TF
 
 ALPHA = 1.0
+WIDTH = 16  # models whose sums one aggregate holds
 
 
 def model_tokens(text_col: str = "text", sep_replacement: str = " [SEP] "):
@@ -39,13 +40,6 @@ def term_counts(texts: DataFrame, ids=("row_id",), text_col: str = "text", max_l
             .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _sum(cols: list[Column]) -> Column:
-    out = cols[0]
-    for c in cols[1:]:
-        out = out + c
-    return out
-
-
 def fit(tf: DataFrame, rows: DataFrame, n_cells: int, trains: list[list[int]], alpha: float = ALPHA,
         mix: DataFrame | None = None, views: list[int] | None = None):
     """``(weights, bias)`` of ``len(trains)`` models.
@@ -57,52 +51,91 @@ def fit(tf: DataFrame, rows: DataFrame, n_cells: int, trains: list[list[int]], a
     ``alpha`` per token of the view's vocabulary, is spread by the mix's token distribution
     (a row counts as often as it is mixed in).
     """
-    cells = range(n_cells)
-    marked = rows.select("row_id", "cell", "label", F.lit(None).cast("int").alias("view"))
+    # marks: 2 * cell + label for a labelled row, and a number a view for a mixed row
     n_views = max(views) + 1 if mix is not None else 0
+    marks = (rows.where(F.col("cell").between(0, n_cells - 1) & F.col("label").isin(0, 1))
+             .select("row_id", (F.col("cell") * 2 + F.col("label")).cast("int").alias("mark")))
     if mix is not None:
-        marked = marked.unionByName(mix.select("row_id", F.lit(None).cast("int").alias("cell"),
-                                               F.lit(None).cast("int").alias("label"), "view"))
-    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    inc = {f"i{c}_{y}": count((F.col("cell") == c) & (F.col("label") == y)) for c in cells for y in (0, 1)}
-    inc |= {f"v{v}": count(F.col("view") == v) for v in range(n_views)}
-    per_row = marked.groupBy("row_id").agg(*[e.alias(k) for k, e in inc.items()])
-
-    tok = (tf.join(per_row, "row_id").groupBy("token")
-           .agg(*[F.sum(F.col("tf") * F.col(k)).alias(k) for k in inc]))
-    models = range(len(trains))
-    n = {(m, y): _sum([F.col(f"i{c}_{y}") for c in trains[m]]) for m in models for y in (0, 1)}
-    per = tok.select("token", *[n[m, y].alias(f"n{m}_{y}") for m in models for y in (0, 1)],
-                     *[f"v{v}" for v in range(n_views)])
-    seen = {m: (F.col(f"n{m}_1") + F.col(f"n{m}_0")) > 0 for m in models}
-    if mix is not None:  # the view's vocabulary: tokens of any of its models' training rows
-        groups = {v: [seen[m] for m in models if views[m] == v] for v in range(n_views)}
-        any_seen = {v: F.greatest(*[s.cast("int") for s in ss], F.lit(0)) > 0 for v, ss in groups.items()}
-        seen = {m: any_seen[views[m]] for m in models}
-    totals = per.agg(*[F.sum(f"n{m}_{y}").alias(f"t{m}_{y}") for m in models for y in (0, 1)],
-                     *[F.sum(seen[m].cast("long")).alias(f"size{m}") for m in models],
-                     *[F.sum(f"v{v}").alias(f"mixed{v}") for v in range(n_views)])
+        marks = marks.unionByName(mix.where(F.col("view").between(0, n_views - 1)).select(
+            "row_id", (F.col("view") + 2 * n_cells).cast("int").alias("mark")))
+    marks = marks.groupBy("row_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    per_row = marks.groupBy("row_id").agg(F.collect_list(F.struct("mark", "n")).alias("marks"))  # a mark once
+    counts = (tf.join(per_row, "row_id").select("token", "tf", F.inline("marks"))
+              .groupBy("token", "mark").agg(F.sum(F.col("tf") * F.col("n")).alias("n")))
+    n_marks = 2 * n_cells + n_views
+    per = _by_model(_dense(counts.groupBy("token"), n_marks, "token"), trains, "token",
+                    F.slice("dense", 2 * n_cells + 1, n_views).alias("mixed"))
+    # the model's vocabulary; with a mix, that of all models of its view
+    peers = [[i] if mix is None else [m for m in range(len(trains)) if views[m] == views[i]]
+             for i in range(len(trains))]
+    per = per.withColumn("seen", F.transform(_lists(peers), lambda ms: F.exists(
+        ms, lambda i: F.get("n1", i) + F.get("n0", i) > 0)))
+    totals = (per.select(F.posexplode(F.arrays_zip("n1", "n0", "seen")).alias("m", "x"))
+              .groupBy("m").agg(F.sum("x.n1").alias("t1"), F.sum("x.n0").alias("t0"),
+                                F.sum(F.col("x.seen").cast("long")).alias("size"))
+              .agg(F.array_sort(F.collect_list(F.struct("m", "t1", "t0", "size"))).alias("t")))
     a = F.lit(alpha)
+    models = F.sequence(F.lit(0), F.lit(len(trains) - 1))
+    per = per.join(F.broadcast(totals))  # one row, an element a model
+    if mix is not None:
+        mixed = (per.select(F.posexplode("mixed").alias("v", "x")).groupBy("v").agg(F.sum("x").alias("x"))
+                 .agg(F.array_sort(F.collect_list(F.struct("v", "x"))).alias("all_mixed")))
+        per = per.join(F.broadcast(mixed))  # one row, an element a view
+        view = _ints(views)
 
-    def ratio(m: int, y: int) -> Column:
-        size = F.col(f"size{m}")
+    def ratio(m: Column, y: int) -> Column:
+        n, t, size = F.get(f"n{y}", m), F.get("t", m)[f"t{y}"], F.get("t", m)["size"]
         if mix is None:
-            return (F.col(f"n{m}_{y}") + a) / (F.col(f"t{m}_{y}") + a * size)
-        share = (F.col(f"v{views[m]}") + 1) / (F.col(f"mixed{views[m]}") + size)
-        return (F.col(f"n{m}_{y}") + a * size * share) / (F.col(f"t{m}_{y}") + a * size)
-
-    weight = [F.when(seen[m], F.log(ratio(m, 1)) - F.log(ratio(m, 0))).otherwise(0.0) for m in models]
-    weights = per.join(F.broadcast(totals)).select("token", F.array(*weight).alias("w"))  # totals: one row
-    docs = per_row.agg(*[F.sum(k).alias(k) for k in inc])
-    bias = docs.select(F.array(*[F.log((F.coalesce(n[m, 1], F.lit(0)) + a) / (F.coalesce(n[m, 0], F.lit(0)) + a))
-                                 for m in models]).alias("bias"))
+            return (n + a) / (t + a * size)
+        v = F.get(view, m)
+        share = (F.get("mixed", v) + 1) / (F.get("all_mixed", v)["x"] + size)
+        return (n + a * size * share) / (t + a * size)
+
+    weights = per.select("token", F.transform(models, lambda m: F.when(
+        F.get("seen", m), F.log(ratio(m, 1)) - F.log(ratio(m, 0))).otherwise(0.0)).alias("w"))
+    docs = _by_model(_dense(marks.groupBy("mark").agg(F.sum("n").alias("n")).groupBy(), n_marks), trains)
+    bias = docs.select(F.transform(models, lambda m: F.log((F.get("n1", m) + a) / (F.get("n0", m) + a))).alias("bias"))
     return weights, bias
 
 
+def _ints(values: list[int]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<int>")
+
+
+def _lists(values: list[list[int]]) -> Column:
+    return F.array(*[_ints(v) for v in values])
+
+
+def _dense(grouped, n_marks: int, *keys: str) -> DataFrame:
+    """``(keys…, dense array<long>)`` of n_marks counts from groups of rows ``(mark, n)``."""
+    found = grouped.agg(F.map_from_entries(F.collect_list(F.struct("mark", "n"))).alias("found"))
+    return found.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(n_marks - 1)), lambda i: F.coalesce(
+        F.try_element_at(F.col("found"), i), F.lit(0).cast("long"))).alias("dense"))
+
+
+def _by_model(dense: DataFrame, trains: list[list[int]], *keep) -> DataFrame:
+    """``(keep…, n1, n0)``: for each model the sum of its cells' counts, by label."""
+    def total(y: int) -> Column:
+        return F.transform(_lists(trains), lambda cells: F.aggregate(
+            cells, F.lit(0).cast("long"), lambda done, c: done + F.get("dense", c * 2 + y)))
+    return dense.select(*keep, total(1).alias("n1"), total(0).alias("n0"))
+
+
 def sums(tf: DataFrame, weights: DataFrame, n_models: int, ids=("row_id",)) -> DataFrame:
-    """``(ids…, s array<double>)``: each row's weight sum under every model."""
-    return (tf.join(weights, "token").groupBy(*ids)
-            .agg(F.array(*[F.sum(F.col("tf") * F.get("w", F.lit(m))) for m in range(n_models)]).alias("s")))
+    """``(ids…, s array<double>)``: each row's weight sum under every model, WIDTH models in an
+    aggregate at a time: code for more does not compile well."""
+    joined = tf.join(weights, "token")
+
+    def total(width: int) -> Column:
+        return F.array(*[F.sum(F.col("tf") * F.get("w", F.lit(m))) for m in range(width)])
+
+    if n_models <= WIDTH:
+        return joined.groupBy(*ids).agg(total(n_models).alias("s"))
+    parts = F.array(*[F.slice("w", at + 1, WIDTH) for at in range(0, n_models, WIDTH)])
+    return (joined.select(*ids, "tf", F.posexplode(parts).alias("_part", "w"))
+            .groupBy(*ids, "_part").agg(total(WIDTH).alias("s"))
+            .groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_part", "s"))).alias("s"))  # one a part
+            .select(*ids, F.slice(F.flatten("s.s"), 1, n_models).alias("s")))
 
 
 def score(tf: DataFrame, rows: DataFrame, weights: DataFrame, bias: DataFrame, n_models: int,

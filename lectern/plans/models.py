@@ -516,7 +516,9 @@ def _sql_lang_cte() -> str:
     return f"SELECT doc_id, text, {case} AS lang_detected FROM documents"
 
 
-SQL_SENT_SCORES = SQL_SENT + f""",
+def sql_sentence_scores(models: str) -> str:
+    """CTE ``sp``: every sentence of every English review under the models ``bs`` of ``models``."""
+    return models + f""",
 en AS (SELECT * FROM ({_sql_lang_cte()}) WHERE lang_detected = 'en'),
 cl AS (SELECT doc_id, {S.sentence_array(S.clean('text'))} AS arr FROM en),
 se AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, lower(arr[i]) AS sentence
@@ -533,6 +535,9 @@ sp AS (SELECT s.doc_id, s.pos, s.category,
        FROM ssum s JOIN bs_b b ON s.category = b.category)"""
 
 
+SQL_SENT_SCORES = sql_sentence_scores(SQL_SENT)
+
+
 @register("sentences_by_model", SQL_SENT_SCORES + f"""
 SELECT doc_id, pos, category, round(prob, {DIGITS}) AS prob, prob > 0.5 AS is_yes FROM sp
 """)
@@ -572,36 +577,6 @@ def language_gate(spark, sf_dir):
     return en.select("doc_id", "n_chars")
 
 
-# Registry of the review models: the display names of the templates, scored here by the model that a
-# hash of the name picks among the categories the tables have labels for.
-def _registry_rows():
-    from ..sources import templates as TP
-    return [(title, f"review-{c.replace('_', '-')}", c, CATS[i % len(CATS)])
-            for i, (c, title, _, _) in enumerate(TP.REVIEW_TEMPLATES)]
-
-
-@register("model_registry_scores", SQL_SENT_SCORES + ",\nreg AS (SELECT * FROM (VALUES "
-          + ", ".join("(" + ", ".join(S.q(x) for x in r) + ")" for r in _registry_rows())
-          + f""") AS v(display_name, model_id, review_category, category))
-SELECT display_name, model_id, count(*) AS n_sentences, CAST(sum(CAST(prob > 0.5 AS INTEGER)) AS BIGINT) AS n_yes
-FROM reg JOIN sp ON reg.category = sp.category
-WHERE review_category <> 'rationale' GROUP BY display_name, model_id
-""")
-def model_registry_scores(spark, sf_dir):
-    """Sentences flagged by each registered review model; the unreliable ``rationale`` model is
-    taken out of the registry by an anti-join with the exclusion table."""
-    from ..sources import templates as TP
-    registry = TP.model_registry(spark)
-    excluded = spark.createDataFrame([("rationale",)], "category string")
-    model_of = {review: category for _, _, review, category in _registry_rows()}
-    used = registry.join(F.broadcast(excluded), "category", "left_anti")
-    pairs = F.create_map(*[F.lit(x) for kv in model_of.items() for x in kv])
-    counts = sentence_scores(spark, sf_dir).groupBy("category").agg(
-        F.count(F.lit(1)).alias("n_sentences"), F.sum(F.col("is_yes").cast("int")).alias("n_yes"))
-    return (used.withColumn("category", pairs[F.col("category")]).join(counts, "category")
-            .select("display_name", "model_id", "n_sentences", "n_yes"))
-
-
 # --------------------------------------------------------------------------- Spark ML plug-in
 def lr_scores(spark, sf_dir, roundtrip: bool = False, train_too: bool = False):
     """Scores of the test rows (with ``train_too`` of all rows, by ``split``); with ``roundtrip`` also

@@ -191,6 +191,7 @@ def label_combinations(spark, sf_dir):
 
 from . import splits as _splits  # noqa: E402,F401  (registers its queries)
 from . import models as _models  # noqa: E402,F401
+from . import many as _many  # noqa: E402,F401
 from . import features as _features  # noqa: E402,F401
 from . import language as _language  # noqa: E402,F401
 from . import linear as _linear  # noqa: E402,F401
