@@ -63,18 +63,46 @@ def flatten_whitespace(c) -> Column:
 
 
 def collapse_whitespace(c, unicode: bool = True) -> Column:
-    """Runs of whitespace become one space. ``unicode`` gives Python's meaning of ``\\s``."""
-    return F.regexp_replace(_c(c), r"(?U)\s+" if unicode else r"\s+", " ")
+    """Runs of whitespace become one space; a space that stands alone is not touched.
+    ``unicode`` gives Python's meaning of ``\\s``."""
+    pattern = r"\s{2,}|[^\S ]"
+    return F.regexp_replace(_c(c), "(?U)" + pattern if unicode else pattern, " ")
+
+
+def is_ascii(c) -> Column:
+    return F.octet_length(_c(c)) == F.char_length(_c(c))
 
 
 def clean_review(c, titles=SECTION_TITLES, line_anchored: bool = False,
                  unicode: bool = True) -> Column:
-    """Headings, titles, line breaks and extra spaces removed; ends stripped."""
-    t = strip_headings(c, line_anchored=line_anchored, unicode=unicode)
-    t = strip_titles(t, titles)
-    t = flatten_whitespace(t)
-    t = collapse_whitespace(t, unicode=unicode)
-    return F.trim(t)
+    """Headings, titles, line breaks and extra spaces removed; ends stripped.
+
+    The dear patterns run only where they can matter: Unicode classes on texts beyond ASCII, the
+    titles on texts that hold one of them in some case. Headings end at a line break, so removing
+    them brings no title about that was not there.
+    """
+    def chain(wide: bool, with_titles: bool) -> Column:
+        t = strip_headings(c, line_anchored=line_anchored, unicode=wide)
+        t = strip_titles(t, titles) if with_titles else t
+        return F.trim(collapse_whitespace(flatten_whitespace(t), unicode=wide))
+
+    def by_script(with_titles: bool) -> Column:
+        narrow = chain(False, with_titles)
+        return F.when(is_ascii(c), narrow).otherwise(chain(True, with_titles)) if unicode else narrow
+
+    if not titles:
+        return by_script(False)
+    if not all(x.isascii() and "\n" not in x for x in titles):
+        return by_script(True)
+    low = F.lower(_c(c))
+    return F.when(_any([F.contains(low, F.lit(x.lower())) for x in titles]), by_script(True)).otherwise(by_script(False))
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def split_sentences(c, boundary: str = SENTENCE_BOUNDARY) -> Column:

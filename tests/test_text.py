@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as TF
@@ -41,6 +43,22 @@ def test_clean_review_shape(spark):
     assert one(spark, TF.clean_review, raw) == "The topic is good. It is new. Fine. Done. Strong."
 
 
+def test_clean_review_equals_the_plain_chain(spark):
+    rng = random.Random(3)
+    bits = ["1. Head", "٣. Kopf", "2020.\u00a0x", "strengths:", "WEAKNESSES:", "General Comment:", "overall assessment",
+            "Stren", "gths:", "\n", "\t", "  ", " ", "\u00a0", "\u2003", "\x0b", "\x0c\r", "\x1f", "é", "K", "ſ", "a.", "B", ""]
+    texts = [None, ""] + ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(800)]
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for titles in (TF.SECTION_TITLES, ("Größe:", "Strengths:"), ("a\nb",), ()):
+        for anchored in (False, True):
+            for wide in (False, True):
+                t = TF.strip_headings(F.col("v"), line_anchored=anchored, unicode=wide)
+                t = TF.flatten_whitespace(TF.strip_titles(t, titles) if titles else t)
+                plain = F.trim(F.regexp_replace(t, r"(?U)\s+" if wide else r"\s+", " "))
+                got = TF.clean_review(F.col("v"), titles, anchored, wide)
+                assert df.where(~got.eqNullSafe(plain)).count() == 0
+
+
 def test_tokens_keep_special_tokens(spark):
     assert one(spark, lambda c: TF.tokens(TF.model_text(c)), "a xxx[SEP]b") == ["a", "[UNK]", "[SEP]", "b"]
 
