@@ -48,15 +48,23 @@ def fit_words(x, k: int, rounds: int = 15):
     return words
 
 
-def margins(x, words):
+def distances(words):
+    """Distances between codewords, from their products: (k, k), however long the words are."""
+    import numpy as np
+
+    size = (words * words).sum(1)
+    return np.sqrt(np.maximum(size[:, None] + size[None] - 2 * words @ words.T, 1e-18))
+
+
+def margins(x, words, apart):
     """Nearest codeword of each row, and the squared distance from the row to the boundary
-    of every codeword's region as seen from its own (0 for its own)."""
+    of every codeword's region as seen from its own (0 for its own); ``apart`` holds the
+    codewords' :func:`distances`."""
     import numpy as np
 
     d = (x * x).sum(1)[:, None] + (words * words).sum(1)[None] - 2 * x @ words.T
     own = d.argmin(1)
     rows = np.arange(len(x))
-    apart = np.sqrt(np.maximum(((words[:, None] - words[None]) ** 2).sum(-1), 1e-18))
     gap = np.maximum(d - d[rows, own][:, None], 0) / (2 * apart[own])
     gap[rows, own] = 0
     return own, gap * gap
@@ -73,6 +81,7 @@ class MultiIndex:
         k = 2 ** round(np.log2(max(4.0, (n_rows / PER_CELL) ** 0.5)))
         self.k = int(min(MAX_WORDS, k, max(1, len(u))))
         self.words = (fit_words(u[:, :self.half], self.k), fit_words(u[:, self.half:], self.k))
+        self.apart = tuple(map(distances, self.words))  # once an index, not once a batch
         # depth: sample vectors and partners turned away to the threshold in random directions;
         # a pair counts as found when either visits the other's cell
         rng = np.random.default_rng(11)
@@ -87,7 +96,7 @@ class MultiIndex:
         self.depth = float(np.quantile(need, target)) + 1e-12
 
     def _halves(self, u):
-        return margins(u[:, :self.half], self.words[0]), margins(u[:, self.half:], self.words[1])
+        return tuple(margins(part, w, a) for part, w, a in zip((u[:, :self.half], u[:, self.half:]), self.words, self.apart))
 
     def cells(self, u):
         """Per row of ``u``: its own cell and the cells it visits, own cell first."""
@@ -277,8 +286,7 @@ def _block(homes, guests, cell, index: MultiIndex, threshold: float):
     h_root, g_root = h_cls.copy(), g_cls.copy()
     g_cell = np.full(len(guests), cell)
     if not own.all():
-        a, _ = margins(gv[:, :index.half], index.words[0])
-        b, _ = margins(gv[:, index.half:], index.words[1])
+        (a, _), (b, _) = index._halves(gv)
         g_cell = np.where(own, cell, a * index.k + b)
     for at in range(0, len(guests), 256):
         part = slice(at, at + 256)
