@@ -8,7 +8,7 @@ cover the whole text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,8 @@ from .hashing import SEGMENT, _segment_words, mix
 
 WINDOW, STRIDE = 64, 48      # words of a window; the next one begins STRIDE words later
 PER_LABEL = 2000             # labelled rows of each class that the model is fitted on, at most
+TEXT_BYTES = 1 << 20         # a longer labelled text is not learned from
+FIT_BYTES = 1 << 28          # of the texts of one class that the model is fitted on, at most
 THRESHOLD = 0.3
 DIM, HIDDEN = 16, 12
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 15
@@ -339,15 +341,27 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "toxic") -> dict | None:
     """A model of at most ``per_label`` labelled, not held-out rows of each class (those whose
-    id hashes lowest); None where a class has no rows."""
+    id hashes lowest), as far as their texts take TEXT_BYTES each and FIT_BYTES a class; None
+    where a class has no rows.
+
+    Defined cases: rows without an id or a label of 0 or 1 are not learned from; a null text is
+    empty; an id with several texts or labels counts as often as it occurs, within ``per_label``;
+    empty tables give None; other columns are not read.
+    """
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("label"))
              .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))))
     some = [known.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for c in (0, 1)]
     chosen = staged(some[0].unionByName(some[1]), "labelled")
-    rows = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-            .join(sized(chosen), "doc_id").select("doc_id", "text", "label")
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(2 * per_label)
-            .collect())  # bounded by per_label
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    size = F.octet_length("text").cast("long")
+    rows = (docs.where(F.octet_length(text) <= TEXT_BYTES)
+            .select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+            .join(sized(chosen), "doc_id").select("doc_id", "text", "label").orderBy(*order).limit(2 * per_label)
+            # at most 2 * per_label rows, so two tasks of this window are small
+            .withColumn("upto", F.sum(size).over(Window.partitionBy("label").orderBy(*order, "text").rowsBetween(
+                Window.unboundedPreceding, 0)))
+            .where(F.col("upto") <= FIT_BYTES).orderBy(*order).collect())
     if len({r["label"] for r in rows}) < 2:
         return None
     return train([r["text"] for r in rows], [r["label"] for r in rows])
