@@ -158,6 +158,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it: a part's offset (prefix sums over one
     total per part) and the place within the part. Blocks are read alone, in any order; a
     document over several blocks is put together from its pieces' checksums.
+
+    Defined cases: documents of null or empty texts hold the end id alone; null ids come first;
+    rows that share an id, repeats included, are documents of their own; files of an empty table
+    give no rows.
     """
     prepare(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)

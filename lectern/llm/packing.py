@@ -75,7 +75,11 @@ PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long, p
 def cut_documents(docs: DataFrame, size: int = MAX_TOKENS, end_id: int = END_ID, tokenizer: str | None = None,
                   id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``size`` ids of every whole text (with ``end_id`` at its end): full
-    pieces and a last, shorter one. ``with_ids`` adds the ids themselves, little-endian."""
+    pieces and a last, shorter one. ``with_ids`` adds the ids themselves, little-endian.
+
+    Defined cases: null and empty texts are the end id alone; null ids, repeated rows and rows that
+    share an id are documents of their own; very long texts are read whole; an empty table gives
+    no rows; other columns are not read."""
     prepare(docs.sparkSession)
     source = tokenizer or tokenizer_path()
 

@@ -58,7 +58,11 @@ def shard_by_bytes(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_
 
 def write_shards(docs: DataFrame, placement: DataFrame, path: str, id_col: str = "doc_id") -> None:
     """The rows of ``docs`` as Parquet folders ``shard=<n>``, each sorted by slot. ``id_col``
-    must be unique. A shard may be written by several tasks (range of slots each)."""
+    must be unique. A shard may be written by several tasks (range of slots each).
+
+    Defined cases: null texts are written as null; a row whose id is null or not placed is not
+    written; texts of any length are written whole; an empty table writes no folder; all columns
+    are kept, and where one is called ``shard`` or ``slot`` the folder's name differs."""
     key, slot, shard = free_names(docs.columns, "placed_id", "slot", "shard")
     moved = docs.join(placement.select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot)),
                       F.col(id_col) == F.col(key)).drop(key)

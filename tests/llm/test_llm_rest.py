@@ -278,3 +278,70 @@ def test_pipeline_against_plain_stages(spark, tmp_path, monkeypatch):
     assert max(size.values()) <= 2048 and sorted(size) == list(range(len(size)))
     got = Counter(tuple(r) for r in corpus_pipeline.run(spark, SF_SMALL).select("doc_id", "start", "length", "ids_crc32").collect())
     assert got == Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in pieces)
+
+
+def pipeline_tables(spark, folder, data, labels):
+    data.write.parquet(f"file://{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{folder}/labels.parquet")
+    return f"file://{folder}"
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    import corpus_pipeline
+    from test_llm_dedup import LOW, near_expected
+    from tokenizers import Tokenizer
+
+    from lectern.llm.encode import tokenizer_path
+
+    sf_dir = pipeline_tables(spark, tmp_path, clashing(spark), [(0, 1, 0), (None, 0, 1), (1, None, None)])
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"file://{tmp_path}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        assert docs.columns == columns
+        kept[name] = [(r.doc_id, r.text or "") for r in docs.collect()]
+    assert Counter(kept["toxicity"]) == Counter((r[0], r[1] or "") for r in rows())  # one class only: none is toxic
+    best = {}
+    for i, t in kept["toxicity"]:
+        low = t.translate(LOW)
+        best[low] = max(best.get(low, -1), -1 if i is None else i)
+    assert Counter(kept["exact_dedup"]) == Counter(
+        (i, t) for i, t in kept["toxicity"] if best[t.translate(LOW)] == (-1 if i is None else i))
+    expected = near_expected(list(enumerate(t for _, t in kept["exact_dedup"])))
+    assert len(kept["near_dedup"]) == sum(r[3] for r in expected)
+    assert Counter(i for i, _ in kept["substring_dedup"]) == Counter(i for i, _ in kept["near_dedup"])
+    tok = Tokenizer.from_file(tokenizer_path())
+    sizes = Counter((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in kept["substring_dedup"])
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0) == sizes
+    assert sum(r.length for r in pieces) == sum(n * c for (_, n), c in sizes.items())
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    sf_dir = pipeline_tables(spark, tmp_path, clashing(spark).where("false"), [])
+    assert corpus_pipeline.run(spark, sf_dir).count() == 0
+
+
+def test_toxicity_fit_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WINDOWS", 500)
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append(list(zip(texts, labels))) or {})
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 5 else 100)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 50)
+    toxicity.fit(docs, labels)
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 and i % 5 > 0 for i in range(40))
+    assert len(seen[0]) == learned and {len(t) for t, _ in seen[0]} == {10}
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 35)
+    toxicity.fit(docs, labels)
+    assert Counter(y for _, y in seen[1]) == {0: 3, 1: 3} and set(seen[1]) <= set(seen[0])
+
+
+def test_distances_of_codewords():
+    words = np.random.default_rng(1).normal(size=(9, 5))
+    plain = np.sqrt(((words[:, None] - words[None]) ** 2).sum(-1))
+    assert np.allclose(multi_index.distances(words), plain, atol=1e-7)
