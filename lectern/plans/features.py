@@ -90,10 +90,13 @@ def token_ids_multi_hot(spark, sf_dir):
                     F.array_join(F.transform("hot", lambda x: x.cast("int").cast("string")), ",").alias("labels"))
 
 
-@register("token_ids_context", "WITH " + SQL_VOCAB + f""",
+SQL_SENTENCES = f""",
 sa AS (SELECT doc_id, {S.sentence_array(S.clean('text'))} AS arr FROM documents),
 ss AS (SELECT doc_id, i - 1 AS pos, arr[i - 1] AS pre, arr[i] AS sentence, arr[i + 1] AS post
-       FROM (SELECT doc_id, arr, unnest(generate_series(1, len(arr))) AS i FROM sa)),
+       FROM (SELECT doc_id, arr, unnest(generate_series(1, len(arr))) AS i FROM sa))"""
+
+
+@register("token_ids_context", "WITH " + SQL_VOCAB + SQL_SENTENCES + """,
 src AS (SELECT doc_id, pos,
                concat_ws(' ', coalesce(CASE WHEN pos > 0 THEN pre END, ''), coalesce(sentence, ''), coalesce(post, '')) AS text FROM ss)"""
           + sql_token_ids("src", "doc_id, pos", 512) + """
@@ -103,10 +106,26 @@ FROM tk
 """)
 def token_ids_context(spark, sf_dir):
     """Ids of every sentence with its neighbours, at the length that goes with context (512)."""
+    return _sentence_ids(spark, sf_dir, single_sentence=False)
+
+
+@register("token_ids_sentence", "WITH " + SQL_VOCAB + SQL_SENTENCES + """,
+src AS (SELECT doc_id, pos, coalesce(sentence, '') AS text FROM ss)"""
+          + sql_token_ids("src", "doc_id, pos", 256) + """
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, n_tokens, CAST(len(input_ids) AS INTEGER) AS length,
+       md5(array_to_string(input_ids, ',')) AS input_ids_md5
+FROM tk
+""")
+def token_ids_sentence(spark, sf_dir):
+    """Ids of every sentence alone, at the length that goes without context (256)."""
+    return _sentence_ids(spark, sf_dir, single_sentence=True)
+
+
+def _sentence_ids(spark, sf_dir, single_sentence: bool):
     from ..operators import sentences as SO
     rows = SO.sentences_with_context(SO.clean_documents(ST.documents(spark, sf_dir)))
-    rows = SO.model_input(rows, single_sentence=False).select("doc_id", "pos", "text")
-    t = TK.token_ids(rows, vocab(spark, sf_dir), SO.max_length_for(False), ids=("doc_id", "pos"))
+    rows = SO.model_input(rows, single_sentence=single_sentence).select("doc_id", "pos", "text")
+    t = TK.token_ids(rows, vocab(spark, sf_dir), SO.max_length_for(single_sentence), ids=("doc_id", "pos"))
     return t.select("doc_id", "pos", "n_tokens", F.size("input_ids").alias("length"),
                     F.md5(F.array_join("input_ids", ",")).alias("input_ids_md5"))
 

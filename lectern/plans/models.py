@@ -380,6 +380,21 @@ def trainer_metrics(spark, sf_dir):
     return rounded(M.trainer_metrics(binary_scores(spark, sf_dir), ["category"]), M.TRAINER_METRICS)
 
 
+@register("softmax_labels", SQL_ML + f"""
+, top AS (SELECT row_id, max(margin) AS most FROM ms GROUP BY row_id),
+ex AS (SELECT row_id, category, exp(margin - most) AS e FROM ms JOIN top USING (row_id))
+SELECT row_id, category, round(e / sum(e) OVER (PARTITION BY row_id), {DIGITS}) AS share FROM ex
+""")
+def softmax_labels(spark, sf_dir):
+    """The multi-label margins of a row as one distribution over its categories (softmax)."""
+    from ..functions import scoring as SC
+    listed = (multilabel_scores(spark, sf_dir).groupBy("row_id")  # a row's categories
+              .agg(F.array_sort(F.collect_list(F.struct("category", "margin"))).alias("c"))
+              .select("row_id", F.arrays_zip(F.col("c.category").alias("category"),
+                                             SC.softmax(F.col("c.margin")).alias("share")).alias("c")))
+    return rounded(listed.select("row_id", F.inline("c")).toDF("row_id", "category", "share"), ["share"])
+
+
 @register("argmax_label", SQL_BIN + f"""
 , arr AS (SELECT row_id, category, [1.0 - prob, prob] AS scores FROM bs)
 SELECT row_id, category,
