@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ from .common import prefix_offsets, prepare, staged, tidied
 from .encode import encoder, tokenizer_path
 
 BLOCK = 65_536
+KEPT_WORDS = 900_000  # words whose ids a worker keeps in each of two tables, about 180 MB
 END_ID = 2
 BLOCK_SCHEMA = ("part int, first long, n_ids int, planes array<binary>, plane_bytes array<int>, "
                 "head_doc long, head_at long, head_n long, "
@@ -63,26 +65,36 @@ def from_planes(planes: list[bytes], n_ids: int):
 def crc32_join(a: int, b: int, n_bytes: int) -> int:
     """crc32 of two byte strings one after the other, from their own crc32 and the second's
     length. Appending n zero bytes is a linear map over GF(2); its power is taken by squaring."""
-    def times(m, v):
-        r, i = 0, 0
-        while v:
-            if v & 1:
-                r ^= m[i]
-            v >>= 1
-            i += 1
-        return r
-
-    step = [0xEDB88320] + [1 << i for i in range(31)]  # one zero bit
-    for _ in range(3):
-        step = [times(step, c) for c in step]          # one zero byte
-    while n_bytes:
-        if n_bytes & 1:
-            a = times(step, a)
-        step = [times(step, c) for c in step]
-        n_bytes >>= 1
+    power = 0
+    while n_bytes >> power:
+        if n_bytes >> power & 1:
+            a = _times(_zeros(power), a)
+        power += 1
     return a ^ b
 
 
+def _times(matrix, v: int) -> int:
+    r, i = 0, 0
+    while v:
+        if v & 1:
+            r ^= matrix[i]
+        v >>= 1
+        i += 1
+    return r
+
+
+@lru_cache(maxsize=None)
+def _zeros(power: int) -> tuple[int, ...]:
+    """The map of appending 2 ** power zero bytes (at most 64 of these are asked for)."""
+    if power:
+        half = _zeros(power - 1)
+        return tuple(_times(half, c) for c in half)
+    step = (0xEDB88320, *(1 << i for i in range(31)))  # one zero bit
+    for _ in range(3):
+        step = tuple(_times(step, c) for c in step)
+    return step
+
+
 def write_token_blocks(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID,
                        id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every whole text, appends ``end_id`` and writes the blocks to ``path``.
@@ -113,7 +125,7 @@ def _blocks(batches, source: str, end_id: int) -> Iterator:
     import pyarrow as pa
     from pyspark import TaskContext
 
-    part, enc = TaskContext.get().partitionId(), encoder(source)
+    part, enc = TaskContext.get().partitionId(), encoder(source, KEPT_WORDS)
     end = np.array([end_id], dtype="<u4").tobytes()
     pending, at, first, head, docs = bytearray(), 0, 0, None, []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections.abc import Iterator
 
@@ -17,8 +18,9 @@ ASCII_SPACE = re.compile("[ \t\n\r]+")
 # Texts with these are not lower-cased before the tokenizer does it: a mark may compose with a
 # lower-cased letter only, and two capitals have no single, context-free lower-case letter.
 MARKS = re.compile("[\u0300-\u036f\u0130\u03a3]")
-# Sentence marks that may end a word; between a letter and one of them there always is a break.
-TAIL = ".,;:!?|"
+# Marks that may end a word; between a letter and one of them there always is a break. The
+# apostrophe is none (``'s``), nor are the signs around added tokens.
+TAIL = "".join(set(string.punctuation) - set("'<>"))
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,9 +54,9 @@ def _normal(word: str) -> str | None:
 
 class WordEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids with the tokenizers library; a word's
-    ids are computed once per worker."""
+    ids are computed once per worker, which keeps those of ``kept`` words in each of two tables."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
@@ -63,6 +65,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.kept = kept
         self.ids: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
@@ -97,9 +100,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none), as bytes. Memory: the texts' words and two tables of
-        KEPT_WORDS words."""
+        ``kept`` words."""
         lists = [words_of(t or "", self.added) for t in texts]
-        if len(self.ids) > KEPT_WORDS or self.chars > KEPT_CHARS:
+        if len(self.ids) > self.kept or self.chars > KEPT_CHARS:
             self.ids, self.older, self.chars = {}, self.ids, 0
         new = set().union(*lists).difference(self.ids)
         if new:
@@ -134,7 +137,9 @@ class WordEncoder:
         known, plain, ended, rest = self.ids, {}, [], []
         for w in new:
             s = w if w.isalpha() else w.rstrip(TAIL)
-            n = _normal(s) if self.letters and s.isalpha() else None
+            n = None
+            if self.letters and s.isalpha():
+                n = s.lower() if s.isascii() else _normal(s)
             if n is None:
                 rest.append(w)
                 continue
@@ -172,8 +177,9 @@ class WordEncoder:
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
     """The worker's encoder for a tokenizer file; kept from task to task."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
+        _ENCODERS[path] = WordEncoder(path, kept)
+    _ENCODERS[path].kept = kept
     return _ENCODERS[path]

@@ -161,3 +161,24 @@ def test_empty_tables(spark, tmp_path):
     assert bitplane.read_documents(spark, f"file://{tmp_path}/none").count() == 0
     assert bpe.encode_documents(none).count() == 0
     assert packing.pack_documents(none).count() == 0
+
+
+def test_words_with_any_marks_at_their_end():
+    import string
+
+    tok = Tokenizer.from_file(encode.tokenizer_path())
+    enc = encode.WordEncoder(encode.tokenizer_path())
+    words = [w + a + b for w in ("stone", "Été", "ΣΣ", "x", "don't", "3a") for a in string.punctuation for b in ["", *string.punctuation]]
+    words += ["a<|endoftext|>", "a<|ENDOFTEXT|>", "a$$$$$$$$", "a_b", "a-'s", "a's", "a.'", "a*'ll"]
+    for w, ids in zip(words, enc.encode(words)):
+        assert ids == as_bytes(tok.encode(w, add_special_tokens=False).ids), w
+    joined = " ".join(words)
+    assert enc.encode([joined])[0] == as_bytes(tok.encode(joined, add_special_tokens=False).ids)
+
+
+def test_crc32_of_joined_strings():
+    import zlib
+
+    for n in (0, 1, 5, 64, 4097, 70_001):
+        a, b = b"xyz" * 9, bytes(i * 7 % 256 for i in range(n))
+        assert bitplane.crc32_join(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
