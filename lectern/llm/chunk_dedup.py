@@ -98,16 +98,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that :func:`exact_groups` does not keep.
 
-    Defined cases: those of :func:`exact_groups`; a row without an id goes where its text has a row
-    with one; rows that repeat the id and text that stay all stay; columns of any name are kept.
+    Defined cases: those of :func:`exact_groups`; rows without an id all stay; rows that repeat the id
+    and text that stay all stay; columns of any name are kept.
     """
-    key, none, sha = free_names(docs.columns, "gone_id", "gone_null", "gone_sha")
-
-    def keys(number, digest):
-        return {key: F.coalesce(number, F.lit(0).cast("long")), none: number.isNull(), sha: digest}
-
-    gone = exact_groups(docs, id_col, text_col).where("not kept")
-    gone = staged(gone.select(*[c.alias(n) for n, c in keys(F.col("doc_id"), F.col("text_sha256")).items()]).distinct(),
-                  "gone")
-    keyed = docs.withColumns(keys(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256)))
-    return without_ids(keyed, gone, [key, none, sha]).select(*docs.columns)
+    key, sha = free_names(docs.columns, "gone_id", "gone_sha")
+    gone = staged(exact_groups(docs, id_col, text_col).where("not kept and doc_id is not null")
+                  .select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)).distinct(), "gone")
+    keyed = docs.withColumns({key: F.col(id_col).cast("long"),
+                              sha: F.sha2(normalised(F.col(text_col)).cast("binary"), 256)})
+    return without_ids(keyed, gone, [key, sha]).select(*docs.columns)
