@@ -31,6 +31,8 @@ from .ranking import materialize
 N_FEATURES = 1 << 13
 MODEL_BYTES = 256 << 20  # most that a model may take, on the driver and on a worker
 CELLS = 2 << 20          # values of a batch x heads table in a task at once
+BLOCK = 1 << 19          # cells of a block of rows with its zeros
+FULL = 64                # rows with more than a feature in so many are multiplied in such blocks
 
 
 @dataclass
@@ -47,12 +49,24 @@ class Model:
 
 
 # --------------------------------------------------------------------------- features
+def hashed(tf: DataFrame, n_features: int = N_FEATURES) -> DataFrame:
+    """``(row_id, c array<struct<at, tf>>)`` from ``(row_id, token, tf)``, staged: the hashed tokens of a row,
+    repeats included. The one time that the counts are sent by row."""
+    return materialize(tf.select("row_id", F.struct(_bucket(n_features).alias("at"), F.col("tf").cast("long").alias("tf")).alias("c"))
+                       .groupBy("row_id").agg(F.collect_list("c").alias("c")))
+
+
 def document_frequencies(tf: DataFrame, train_rows: DataFrame, n_features: int = N_FEATURES) -> np.ndarray:
     """Smoothed inverse document frequencies of the hashed tokens over the training rows: a
     table of ``n_features`` rows at most."""
+    return hashed_frequencies(hashed(tf, n_features), train_rows, n_features)
+
+
+def hashed_frequencies(cells: DataFrame, train_rows: DataFrame, n_features: int) -> np.ndarray:
+    """``document_frequencies`` of the table that ``hashed`` gives."""
     train = train_rows.select("row_id").distinct()
     n = train.count()
-    seen = (tf.join(train, "row_id", "left_semi").select("row_id", _bucket(n_features).alias("at")).distinct()
+    seen = (cells.join(train, "row_id", "left_semi").select(F.explode(F.array_distinct("c.at")).alias("at"))
             .groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect())
     df = np.zeros(n_features)
     for r in seen:
@@ -66,28 +80,67 @@ def _bucket(n_features: int):
 
 def features(tf: DataFrame, idf: np.ndarray) -> DataFrame:
     """``(row_id, at array<int>, value array<double>)`` from ``(row_id, token, tf)``: TF-IDF of the hashed
-    tokens, scaled to length 1. Rows whose tokens all weigh nothing have empty arrays."""
-    n = len(idf)
-    weights = tf.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(idf)], "at int, idf double")
-    cells = (tf.select("row_id", _bucket(n).alias("at"), "tf").groupBy("row_id", "at").agg(F.sum("tf").alias("tf"))
-             .join(F.broadcast(weights), "at")  # n_features rows
-             .groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("at", (F.col("tf") * F.col("idf")).alias("v")))).alias("c")))
-    norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda a, c: a + c["v"] * c["v"]))
-    return (cells.withColumn("norm", norm)
-            .select("row_id", F.transform("c", lambda c: c["at"]).alias("at"),
-                    F.transform("c", lambda c: F.when(F.col("norm") > 0, c["v"] / F.col("norm")).otherwise(0.0)).alias("value")))
+    tokens, scaled to length 1. The values of rows whose tokens all weigh nothing are 0."""
+    return hashed_features(hashed(tf, len(idf)), idf)
+
+
+def hashed_features(cells: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``features`` of the table that ``hashed`` gives."""
+    _ship()
+    shared = cells.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches):
+        import pyarrow as pa
+
+        weights = shared.value
+        n = len(weights)
+        for batch in batches:
+            lists = batch.column("c")
+            rows = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            at, tf = (x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten())
+            cells, which = np.unique(rows * n + at, return_inverse=True)  # a row's places, rising
+            rows, at = np.divmod(cells, n)
+            value = np.bincount(which, tf, len(cells)) * weights[at]
+            length = np.sqrt(np.bincount(rows, value * value, batch.num_rows))
+            value = value / np.where(length > 0, length, 1.0)[rows]
+            ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=batch.num_rows)))), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id"), pa.ListArray.from_arrays(ends, pa.array(at, pa.int32())),
+                 pa.ListArray.from_arrays(ends, pa.array(value))], ["row_id", "at", "value"])
+
+    kind = cells.schema["row_id"].dataType.simpleString()
+    return cells.mapInArrow(run, f"row_id {kind}, at array<int>, value array<double>")
 
 
 def training_rows(feats: DataFrame, tasks: DataFrame) -> DataFrame:
     """``feats`` with ``heads array<int>`` and ``labels array<int>`` from the long table
-    ``tasks (row_id, head, label)``, staged. A repeated (row, head) trains twice. Rows without
+    ``tasks (row_id, head, label)``, staged; ``at`` and ``value`` as the bytes of their int32 and doubles, which
+    every pass reads without a step per element. A repeated (row, head) trains twice. Rows without
     tokens keep their place, with empty features."""
+    _ship()
     listed = tasks.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("head").cast("int").alias("h"),
                                                                               F.col("label").cast("int").alias("y")))).alias("t"))
-    return materialize(listed.join(feats, "row_id", "left").select(
+    rows = listed.join(feats, "row_id", "left").select(
         "row_id", F.coalesce("at", F.array().cast("array<int>")).alias("at"),
         F.coalesce("value", F.array().cast("array<double>")).alias("value"),
-        F.transform("t", lambda t: t["h"]).alias("heads"), F.transform("t", lambda t: t["y"]).alias("labels")))
+        F.transform("t", lambda t: t["h"]).alias("heads"), F.transform("t", lambda t: t["y"]).alias("labels"))
+    kind = rows.schema["row_id"].dataType.simpleString()
+    return materialize(rows.mapInArrow(_packed, f"row_id {kind}, at binary, value binary, heads array<int>, labels array<int>"))
+
+
+def _packed(batches):
+    """``at`` and ``value`` of rows -> their bytes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        packed = []
+        for name in ("at", "value"):
+            lens, values = _lists(batch.column(name))
+            ends = np.concatenate(([0], np.cumsum(lens))) * values.itemsize
+            packed.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [
+                None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))]))
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), *packed, batch.column("heads"), batch.column("labels")],
+                                         ["row_id", "at", "value", "heads", "labels"])
 
 
 # --------------------------------------------------------------------------- one pass
@@ -96,6 +149,14 @@ def _lists(column):
     return column.value_lengths().to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
 
 
+def _unpacked(column, kind):
+    """Lengths and values of an Arrow column that ``_packed`` wrote."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].view(kind) if data and ends[-1] > ends[0] else np.zeros(0, kind)
+    return np.diff(ends) // values.itemsize, values
+
+
 def _times(lens, at, value, matrix):
     """Sparse rows times a matrix."""
     out = np.zeros((len(lens), matrix.shape[1]))
@@ -121,17 +182,40 @@ def _sigmoid(x):
     return np.where(x >= 0, 1.0 / (1.0 + e), e / (1.0 + e))
 
 
-def _slices(batch, width: int):
-    """Parts of a batch of which features x ``width`` stay within CELLS."""
-    lens = np.cumsum(np.maximum(batch.column("at").value_lengths().to_numpy(zero_copy_only=False), 1))
+def _ranges(lens, width: int, n_features: int):
+    """Ranges of rows, and whether they are multiplied with their zeros written out. That is several
+    times faster than by their features alone, but for rows of few; it takes BLOCK cells. Otherwise
+    features x ``width`` stay within CELLS."""
+    if lens.sum() * FULL > n_features * len(lens):
+        step = max(1, BLOCK // n_features)
+        yield from ((lo, min(lo + step, len(lens)), True) for lo in range(0, len(lens), step))
+        return
+    done = np.cumsum(np.maximum(lens, 1))
     lo = 0
-    while lo < batch.num_rows:
-        before = lens[lo - 1] if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(lens, before + CELLS // width, side="right")))
-        yield batch.slice(lo, hi - lo)
+    while lo < len(lens):
+        before = done[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(done, before + CELLS // width, side="right")))
+        yield lo, hi, False
         lo = hi
 
 
+class _Full:
+    """A block of sparse rows with its zeros; the cells are used again for the next."""
+
+    def __init__(self):
+        self.cells = np.zeros(0)
+
+    def of(self, lens, at, value, n_features: int):
+        if len(self.cells) < len(lens) * n_features:
+            self.cells = np.zeros(len(lens) * n_features)
+        self.used = np.repeat(np.arange(len(lens)) * n_features, lens) + at
+        self.cells[self.used] = value
+        return self.cells[:len(lens) * n_features].reshape(len(lens), n_features)
+
+    def clear(self):
+        self.cells[self.used] = 0
+
+
 def _gradient_pass(shared):
     """Rows of training tables -> one row a task with its summed gradients (key, data)."""
     def run(batches):
@@ -139,17 +223,22 @@ def _gradient_pass(shared):
         from pyspark import TaskContext
 
         model = shared.value
-        n_heads = len(model.bias)
+        first = model.coef if model.encoder is None else model.encoder
+        n_heads, n_features, block = len(model.bias), len(first), _Full()
         sums = _empty(model)
         for batch in batches:
-            for part in _slices(batch, max(n_heads, 0 if model.encoder is None else model.encoder.shape[1])):
-                lens, at = _lists(part.column("at"))
-                value = part.column("value").flatten().to_numpy(zero_copy_only=False)
-                times, heads = _lists(part.column("heads"))
-                labels = part.column("labels").flatten().to_numpy(zero_copy_only=False)
-                rows = np.repeat(np.arange(part.num_rows), times)
-                hidden = None if model.encoder is None else _times(lens, at, value, model.encoder)
-                margin = (_times(lens, at, value, model.coef) if hidden is None else hidden @ model.coef) + model.bias
+            all_lens, all_at = _unpacked(batch.column("at"), np.int32)
+            all_value = _unpacked(batch.column("value"), np.float64)[1]
+            all_times, all_heads = _lists(batch.column("heads"))
+            all_labels = _lists(batch.column("labels"))[1]
+            ends, trained = (np.concatenate(([0], np.cumsum(x))) for x in (all_lens, all_times))
+            for lo, hi, full in _ranges(all_lens, max(n_heads, first.shape[1]), n_features):
+                lens, at, value = all_lens[lo:hi], all_at[ends[lo]:ends[hi]], all_value[ends[lo]:ends[hi]]
+                heads, labels = all_heads[trained[lo]:trained[hi]], all_labels[trained[lo]:trained[hi]]
+                rows = np.repeat(np.arange(hi - lo), all_times[lo:hi])
+                x = block.of(lens, at, value, n_features) if full else None
+                hidden = x @ first if full else _times(lens, at, value, first)
+                margin = (hidden if model.encoder is None else hidden @ model.coef) + model.bias
                 p = _sigmoid(margin)
                 rest = np.zeros_like(p)
                 np.add.at(rest, (rows, heads), p[rows, heads] - labels)
@@ -157,11 +246,14 @@ def _gradient_pass(shared):
                     rest *= model.weight
                 sums["bias"] += rest.sum(axis=0)
                 np.add.at(sums["curve"], heads, p[rows, heads] * (1 - p[rows, heads]))
-                if hidden is None:
-                    _add_transposed(sums["coef"], lens, at, value, rest)
-                else:
+                if model.encoder is not None:
                     sums["coef"] += hidden.T @ rest
-                    _add_transposed(sums["encoder"], lens, at, value, rest @ model.coef.T)
+                name, back = ("coef", rest) if model.encoder is None else ("encoder", rest @ model.coef.T)
+                if full:
+                    sums[name] += x.T @ back
+                    block.clear()
+                else:
+                    _add_transposed(sums[name], lens, at, value, back)
         task = TaskContext.get()
         yield pa.RecordBatch.from_arrays([pa.array([task.partitionId() if task else 0], pa.int32()),
                                           pa.array([_flat(sums).tobytes()], pa.binary())], ["part", "data"])
@@ -291,14 +383,21 @@ def margins(feats: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         m = shared.value
+        first, block = m.coef if m.encoder is None else m.encoder, _Full()
         for batch in batches:
-            for part in _slices(batch, max(len(m.bias), 0 if m.encoder is None else m.encoder.shape[1])):
-                lens, at = _lists(part.column("at"))
-                value = part.column("value").flatten().to_numpy(zero_copy_only=False)
-                out = _times(lens, at, value, m.coef if m.encoder is None else m.encoder)
+            all_lens, all_at = _lists(batch.column("at"))
+            all_value = batch.column("value").flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(all_lens)))
+            for lo, hi, full in _ranges(all_lens, max(len(m.bias), first.shape[1]), len(first)):
+                lens, at, value = all_lens[lo:hi], all_at[ends[lo]:ends[hi]], all_value[ends[lo]:ends[hi]]
+                if full:
+                    out = block.of(lens, at, value, len(first)) @ first
+                    block.clear()
+                else:
+                    out = _times(lens, at, value, first)
                 out = (out if m.encoder is None else out @ m.coef) + m.bias
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1) * out.shape[1], pa.int32()), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("row_id"), listed], ["row_id", "margins"])
+                yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(lo, hi - lo), listed], ["row_id", "margins"])
 
     return feats.select("row_id", "at", "value").mapInArrow(run, "row_id long, margins array<double>")
 

@@ -32,8 +32,9 @@ def fitted(tf: DataFrame, tasks: DataFrame, n_heads: int, shared: bool = False,
     """``(model, features)``: document frequencies over the rows that train, features of all rows,
     and the heads fitted on ``tasks (row_id, head, label)``."""
     tasks = materialize(tasks.select("row_id", "head", "label"))
-    idf = LI.document_frequencies(tf, tasks, n_features)
-    feats = materialize(LI.features(tf, idf))
+    cells = LI.hashed(tf, n_features)
+    idf = LI.hashed_frequencies(cells, tasks, n_features)
+    feats = materialize(LI.hashed_features(cells, idf))
     rows = LI.training_rows(feats, tasks)
     return (LI.fit_shared if shared else LI.fit)(rows, idf, n_heads, **kw), feats, tasks
 

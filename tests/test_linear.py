@@ -113,3 +113,41 @@ def test_logistic_against_bayes(spark):
     assert lr[("quality",)]["balanced_accuracy"] > .9
     shared = by_category(PL.multitask_lr(spark, SF_CHECK, rounds=15)[0])
     assert shared[("quality",)]["accuracy"] > .8
+
+
+def test_counts_are_sent_by_row_once(spark, small):
+    tf, tasks, idf, feats = small
+    cells = LI.hashed(tf, len(idf))
+    assert np.allclose(LI.hashed_frequencies(cells, tasks, len(idf)), idf)
+    again = LI.hashed_features(cells, idf)
+    assert np.allclose(dense(again, len(idf)), dense(feats, len(idf)))
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_with_and_without_their_zeros(spark, small, monkeypatch):
+    _, tasks, idf, feats = small
+    rows = LI.training_rows(feats, tasks)
+    assert dict(rows.dtypes)["at"] == dict(rows.dtypes)["value"] == "binary"
+    rng = np.random.default_rng(1)
+    model = LI.Model(idf, rng.normal(size=(64, 3)), rng.normal(size=3))
+    got = []
+    for full in (1 << 30, 0):  # always, never
+        monkeypatch.setattr(LI, "FULL", full)
+        assert [f for *_, f in LI._ranges(np.array([3, 0, 5]), 3, 64)] == [bool(full)]
+        batch = next(LI._packed([rows_as_arrow(feats, tasks)]))
+        shared = type("Shared", (), {"value": model})
+        got.append(np.frombuffer(next(LI._gradient_pass(shared)([batch])).column("data")[0].as_py()))
+    assert np.allclose(*got) and got[0].any()
+
+
+def rows_as_arrow(feats, tasks):
+    import pyarrow as pa
+
+    listed = tasks.groupBy("row_id").agg(F.collect_list(F.struct("head", "label")).alias("t"))
+    found = listed.join(feats, "row_id", "left").collect()
+    ints = pa.list_(pa.int32())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r.row_id for r in found]), pa.array([r["at"] or [] for r in found], ints),
+         pa.array([r["value"] or [] for r in found], pa.list_(pa.float64())),
+         pa.array([[x["head"] for x in r.t] for r in found], ints), pa.array([[x["label"] for x in r.t] for r in found], ints)],
+        ["row_id", "at", "value", "heads", "labels"])
