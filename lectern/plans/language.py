@@ -25,7 +25,7 @@ def detected(spark, sf_dir):
     """``(doc_id, held_out, lang, lang_detected, n_grams, margin)``; the model sees the labels of
     documents that are not held out."""
     docs = ST.documents(spark, sf_dir).select("doc_id", "text", "lang", "n_chars")
-    counts = materialize(NG.word_counts(docs))
+    counts = materialize(NG.word_lists(docs))
     train = docs.where(~held_out()).select("doc_id", "lang")
     langs = NG.languages(train)
     weights, head = NG.fit(counts, train, langs)

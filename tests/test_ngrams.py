@@ -51,6 +51,23 @@ def test_posteriors_against_plain(spark):
         assert got[i].margin == pytest.approx(abs(s["de"] - s["en"]) / len(grams))
 
 
+def test_words_of_rows_as_counts(spark, monkeypatch):
+    """Scores in the tasks, in joins beyond the bound, and of single counts: all the same."""
+    df = spark.createDataFrame([*DOCS, (1, "die Katze der the", "de"), (None, "the cat", "en"), (9, "zzz日本 qq", None)],
+                               "doc_id long, text string, lang string").repartition(3)
+    lists = NG.word_lists(df)
+    assert "hashpartitioning" not in lists._jdf.queryExecution().executedPlan().toString()
+    langs = NG.languages(df)
+    got = []
+    for counts, held in ((NG.word_counts(df), 0), (lists, 0), (lists, 1 << 17)):
+        monkeypatch.setattr(NG, "HELD_GRAMS", held)
+        weights, head = NG.fit(counts, df, langs)
+        assert counts is not lists or (NG._held(weights, head) is None) == (not held)
+        got.append(sorted((r.doc_id or 0, r.lang_detected, r.n_grams, -1 if r.margin is None else round(r.margin, 9))
+                          for r in NG.detect(counts, df, weights, head, langs).collect()))
+    assert got[0] == got[1] == got[2] and len(got[0]) == len(DOCS) + 3
+
+
 def test_held_out_accuracy(spark):
     rows = Q.REGISTRY["language_ngrams_accuracy"](spark, SF_SMALL).collect()
     assert rows and sum(r.n_right for r in rows) / sum(r.n_docs for r in rows) > .95
