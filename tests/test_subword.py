@@ -71,3 +71,24 @@ def test_ids_by_several_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, pos int, text string")
     vocab = TK.vocabulary(df)
     assert TK.token_ids(df, vocab, 8, ids=("doc_id", "pos")).count() == 2
+
+
+def test_large_vocabulary_and_rows_that_share_an_id(spark, monkeypatch):
+    """A vocabulary that tasks hold and one that meets the words in joins give the same rows."""
+    vocab = SW.read_vocabulary(spark)
+    rows = [(1, "The unbelievable [SEP] größe."), (1, "a second naïve row"), (1, "a second naïve row"), (2, None), (None, "x" * 101),
+            (None, "of no id"), (3, "")]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    words = df.select(F.explode(TK.text_tokens(F.col("text"))).alias("word"))
+
+    def both():
+        ids = SW.subword_ids(df, vocab, 16)
+        return (sorted(ids.collect(), key=str), sorted(SW.word_pieces(words, vocab).collect(), key=str),
+                ids._jdf.queryExecution().toString())
+
+    held = both()
+    monkeypatch.setattr(SW, "HELD_PIECES", 100)
+    joined = both()
+    assert held[:2] == joined[:2] and len(held[0]) == 4
+    # no row a word is sent: one exchange of rows by id
+    assert "Generate" not in held[2] and "Join" not in held[2] and "Join" in joined[2]
