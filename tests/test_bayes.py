@@ -99,3 +99,20 @@ def test_multitask_differs_from_binary(spark):
     both = two.keys() & mt.keys()
     assert both and sum(two[k] != mt[k] for k in both) > len(both) / 2
     assert max(abs(m) for m in two.values()) > 50  # no clamp
+
+
+def test_only_the_test_rows_counts_meet_the_weights(spark, monkeypatch):
+    from lectern.plans import models as MD
+    tf, _ = frames(spark, [])
+    h = spark.createDataFrame([(i, f"d{i}", "quality", LABELS[i], "test" if i in (2, 5) else "train") for i in range(1, 6)],
+                              "row_id long, doc_id string, category string, label int, split string")
+    seen, score = [], NB.score
+
+    def spy(counts, *args, **kwargs):
+        seen.append({r.row_id for r in counts.select("row_id").distinct().collect()})
+        return score(counts, *args, **kwargs)
+
+    monkeypatch.setattr(NB, "score", spy)
+    got = {r.row_id: r.prob for r in MD.per_category(tf, h, ["quality"]).collect()}
+    assert seen == [{2, 5}]
+    assert got == pytest.approx({i: brute([1, 3, 4], dict(TEXTS)[i]) for i in (2, 5)})
