@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, sized, staged, tidied
+from .common import freed, prepare, sized, staged, tidied
 from .hashing import SEGMENT, _segment_words, mix
 
 WINDOW, STRIDE = 64, 48      # words of a window; the next one begins STRIDE words later
@@ -364,7 +364,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, id_col:
             .where(F.col("upto") <= FIT_BYTES).orderBy(*order).collect())
     if len({r["label"] for r in rows}) < 2:
         return None
-    return train([r["text"] for r in rows], [r["label"] for r in rows])
+    texts, marks = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    model = train(texts, marks)
+    del texts
+    freed()  # what the fit needed must not stay with the driver for the stages that follow
+    return model
 
 
 def score_documents(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col: str = "text",

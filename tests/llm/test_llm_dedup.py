@@ -39,6 +39,18 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(df.where("a < 0")).count() == 0
 
 
+def test_components_sign_each_table_of_edges_once(spark, monkeypatch):
+    from lectern.llm import common
+    signed, staged, signature = [], [], common._signature
+    monkeypatch.setattr(common, "_signature", lambda e: signed.append(e) or signature(e))
+    real = common.staged
+    monkeypatch.setattr(common, "staged", lambda df, name: staged.append(name) or real(df, name))
+    df = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").repartition(8)
+    got = {r.node: r.component for r in components(df).collect()}
+    assert got == dict.fromkeys(range(41), 0)
+    assert len(signed) == 1 + staged.count("star")  # the first edges and those of each round
+
+
 # ---------------------------------------------------------------- exact copies
 def exact_expected():
     groups = defaultdict(list)

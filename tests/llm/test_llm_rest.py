@@ -345,3 +345,14 @@ def test_distances_of_codewords():
     words = np.random.default_rng(1).normal(size=(9, 5))
     plain = np.sqrt(((words[:, None] - words[None]) ** 2).sum(-1))
     assert np.allclose(multi_index.distances(words), plain, atol=1e-7)
+
+
+def test_toxicity_fit_gives_its_memory_back(spark, monkeypatch):
+    """The driver runs the stages that follow; what the fit freed goes back to the system after it."""
+    done = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: done.append(len(texts)) or {"m": 1})
+    monkeypatch.setattr(toxicity, "freed", lambda: done.append("freed"), raising=False)
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels) == {"m": 1}
+    assert len(done) == 2 and done[1] == "freed"
