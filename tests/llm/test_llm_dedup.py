@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import clashing, frame, prose, rows, texts_by_id
 
@@ -427,6 +429,43 @@ def test_walk_takes_the_shortest_detour():
         assert x <= len(a) and y <= len(b) and (x == len(a) or y == len(b))
 
 
+def test_seeds_are_counted_in_blocks(monkeypatch):
+    rng = random.Random(41)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(90))) for _ in range(60)] + ["la " * 500, "", None]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    seeds = Counter(chain_dedup.all_seeds([(t or "").encode() for t in texts])[2].view("int64").tolist())
+    for size in (1, 400, 1 << 21):  # of a block of one text, of some, of all
+        monkeypatch.setattr(chain_dedup, "PACKED", size)
+        packed = [b for i in range(len(texts)) for b in chain_dedup._seed_hashes([batch.slice(i, 1)])] \
+            if size == 1 else list(chain_dedup._seed_hashes([batch]))
+        table = pa.Table.from_batches(packed).sort_by("block")
+        assert sum(map(len, table["hashes"].to_pylist())) <= 16 * len(seeds) * len(packed)
+        found = [h for b in chain_dedup._repeated(table.to_batches(50)) for h in b.column("h").to_pylist()]
+        assert sorted(found) == sorted(h for h, n in seeds.items() if n > 1)
+    assert not list(chain_dedup._seed_hashes([batch.slice(len(texts) - 2)])) and not list(chain_dedup._repeated([]))
+
+
+def test_chains_with_the_same_words_are_aligned_once(monkeypatch):
+    # a line said over and over: each of its chains has the same words around it
+    line = np.tile(np.arange(1, 13, dtype=np.uint32), 60)
+    source = np.concatenate([np.arange(1000, 1064, dtype=np.uint32), line[:120], np.arange(2000, 2200, dtype=np.uint32)])
+    places = [(120 + 12 * i, 64) for i in range(30)] + [(0, 64), (700, 64)]
+    seeds = [[v for s in range(0, 20, 4) for v in (x + s, y + s)] for x, y in places]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": [7] * 32, "k": [8] * 32, "s_doc": [1] * 32, "seeds": seeds, "f": [0] * 32, "words": [line.tobytes()] * 32,
+        "sf": [0] * 32, "s_words": [source.tobytes()] * 32})
+    calls, plain = [], chain_dedup.align
+    monkeypatch.setattr(chain_dedup, "align", lambda *args: calls.append(1) or plain(*args))
+    got = pa.Table.from_batches(chain_dedup._aligned([batch]))
+    assert len(calls) == 3 and got.num_rows >= 30  # inside, at the start, at the end
+    monkeypatch.setattr(chain_dedup, "KEPT_BYTES", -1)
+    assert pa.Table.from_batches(chain_dedup._aligned([batch])).equals(got) and len(calls) == 35
+    plainly = [(x0, x1, y0, y1, m) for s in seeds for x0, x1, y0, y1, m, _ in
+               plain(list(zip(s[::2], s[1::2])), line.tolist(), 0, source.tolist(), 0)]
+    names = ("begin_word", "end_word", "source_begin", "source_end", "matches")
+    assert list(zip(*(got[c].to_pylist() for c in names))) == plainly
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
