@@ -58,3 +58,22 @@ def test_odd_rows(spark):
     wide = PV.score_sentences_wide(sents, w, spark.createDataFrame([([0.0] * 20,)], "bias array<double>"),
                                    [f"c{i}" for i in range(20)], keep_text=True).collect()
     assert {r.doc_id: r.c0 > 0.6 for r in wide} == {None: True, 1: True, 2: False, 3: False, 4: False}
+
+
+def test_few_batches_are_held_at_once(spark, monkeypatch):
+    """A file holds few batches, as readers take up to 4,096 of its rows at once; a lookup takes one batch."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(CO, "IN_FILE", 3)
+    df = common(spark, 200).select("row_id", F.split("text", " ").alias("t"))
+    b = CO.batched(df.coalesce(1), "t", size=30)
+    files = [f for path in b.inputFiles() for f in glob.glob(path.removeprefix("file://"))]
+    assert b.count() == 20 and max(pq.read_metadata(f).num_rows for f in files) == 3
+    found = CO.words(b).where("token = 'every'").withColumn("v", F.lit(7))
+    values = CO.token_values(b, found, "v", "x", -1)
+    assert "CoGroup" in plan(values) and "collect_list" not in plan(values)
+    assert {tuple(r.x) for r in values.collect()} == {(7, 7, -1)}
+    none = CO.token_values(b, found.where("false"), "v", "x", -1)  # nothing is found
+    assert {tuple(r.x) for r in none.collect()} == {(-1, -1, -1)}
