@@ -466,6 +466,44 @@ def test_chains_with_the_same_words_are_aligned_once(monkeypatch):
     assert list(zip(*(got[c].to_pylist() for c in names))) == plainly
 
 
+def test_edited_passages_whose_seeds_were_seen_elsewhere(spark):
+    # every two lines of a passage are first seen in a document of their own; no 35 words in a row are the same
+    rng = random.Random(51)
+    mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    lines = [mk(11) for _ in range(48)]
+    texts = [[*mk(20), *lines[i], *lines[i + 1], *mk(20)] for i in range(47)]
+    first = len(texts)
+    for i in range(8):
+        passage = sum(lines[6 * i:6 * i + 6], [])
+        texts.append([*mk(15), *passage, *mk(15)])
+        texts.append([*mk(25), *(w if n % 12 != 5 else f"x{rng.randrange(10 ** 9)}" for n, w in enumerate(passage)), *mk(25)])
+    data = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    got = defaultdict(set)
+    for r in chain_dedup.passages(frame(spark, data)).collect():
+        got[r.doc_id, r.source_id].update(range(r.begin_word, r.end_word))
+    assert set(got) == {(first + 2 * i + 1, first + 2 * i) for i in range(8)}
+    assert all(len(v) >= 58 for v in got.values())
+
+
+def test_each_earlier_holder_is_met(spark, monkeypatch):
+    # three documents share a passage, whatever the blocks and the number of seeds looked at together
+    rng = random.Random(52)
+    mk = lambda n: [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    passage = mk(60)
+    texts = [[*mk(9 * i), *passage, *mk(7)] for i in range(6)] + [["la"] * 200, [*mk(3), *["la"] * 90, *mk(3)], ["la", "lo"] * 60]
+    ids = [3, 1, None, 8, 5, 5, 20, 21, 22]
+    rows = [(i, k, hash(k) % 2, chain_dedup.words(" ".join(t).encode())[2].astype(np.uint32).tobytes(),
+             *chain_dedup.all_seeds([" ".join(t).encode()])[1:]) for k, (i, t) in enumerate(zip(ids, texts))]
+    for size in (1 << 20, 50, 1):
+        monkeypatch.setattr(chain_dedup, "MATCHES", size)
+        found = [b for i, j in ((0, 0), (0, 1), (1, 1)) for b in chain_dedup._aligned(chain_dedup._chained(
+            [r for r in rows if r[2] in (i, j)], i, j))]
+        got = {(r["doc_id"], r["source_id"], r["k"]): r for r in pa.Table.from_batches(found).to_pylist()}
+        order = [None, 1, 3, 5, 5, 8]
+        assert {k[:2] for k in got if k[0] is None or k[0] < 20} == {(b, a) for i, b in enumerate(order) for a in order[:i] if a != b}
+        assert (21, 20) in {k[:2] for k in got} and all(r["end_word"] - r["begin_word"] >= 50 for r in got.values())
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert chunk_dedup.exact_groups(none).count() == 0 and chunk_dedup.drop_exact(none).count() == 0
