@@ -77,3 +77,12 @@ def test_few_batches_are_held_at_once(spark, monkeypatch):
     assert {tuple(r.x) for r in values.collect()} == {(7, 7, -1)}
     none = CO.token_values(b, found.where("false"), "v", "x", -1)  # nothing is found
     assert {tuple(r.x) for r in none.collect()} == {(-1, -1, -1)}
+
+
+def test_sentence_scores_look_up_one_batch_at_a_time(spark):
+    sents = common(spark, 50).select(F.col("row_id").alias("doc_id"), F.lit(0).alias("pos"), F.col("text").alias("sentence"))
+    w = spark.createDataFrame([("every", [1.0, 2.0])], "token string, w array<double>")
+    bias = spark.createDataFrame([([0.0, -4.0],)], "bias array<double>")
+    scores = PV.score_sentences(sents, w, bias, ["a", "b"])
+    assert "CoGroup" in plan(scores) and "collect_list" not in plan(scores)
+    assert {(r.category, round(r.prob, 6)) for r in scores.collect()} == {("a", .880797), ("b", .5)}
